@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import decontaminate, maxscore, mixing, secrets, toxicity
+from simloom.llm import decontaminate, language_model, maxscore, mixing, quality, secrets, toxicity
 from simloom.llm.arrow import fold
 from simloom.storage import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model, host=F.col("source"), path=F.col("lang"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -28,6 +34,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score_texts(table(spark, sf_dir, "documents"), learn=fold(F.col("doc_id"), 5) != 1)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 100 == 0, k=10, scale=1024).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -44,7 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_mix_sources, op4_toxicity, op9_top_k, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_mix_sources, op4_toxicity, op7_language_model, op9_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
