@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import decontaminate, language_model, maxscore, mixing, quality, secrets, toxicity
+from simloom.llm import decontaminate, jaccard_join, language_model, line_dedup, maxscore, mixing, quality, secrets, toxicity, warc
 from simloom.llm.arrow import fold
 from simloom.storage import table
 
@@ -34,11 +34,24 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = language_model.score_texts(table(spark, sf_dir, "documents"), learn=fold(F.col("doc_id"), 5) != 1)
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_deleted", "copy_of", "text")
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 100 == 0, k=10, scale=1024).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -55,7 +68,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_mix_sources, op4_toxicity, op7_language_model, op9_top_k, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_mix_sources, op4_toxicity, op5_jaccard_join, op6_warc, op7_language_model, op8_line_dedup, op9_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
