@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from simloom.llm.arrow import small_batches, utf8, words
-from simloom.storage import materialize
+from simloom.llm.line_dedup import KEY, document_key
+from simloom.storage import join_small, materialize
 
 #: Words of a window.
 WINDOW = 13
@@ -260,3 +261,11 @@ def search_phrases(index: DataFrame, phrases: list[tuple[str, str]], slop: int |
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
     return index.mapInArrow(search, schema)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that decontaminate doesn't call contaminated."""
+    keyed = document_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text"))
+    found = decontaminate(keyed.select(F.struct(*KEY).alias("doc_id"), "text"), items)
+    bad = materialize(found.filter("contaminated").select("doc_id._d", "doc_id._h").distinct(), "contaminated")
+    return join_small(keyed, bad, KEY, "left_anti").select(*[F.col(f"_row.`{c}`") for c in docs.columns])

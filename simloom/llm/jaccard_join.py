@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.llm.arrow import batch, small_batches, utf8, words
@@ -297,6 +297,11 @@ def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def repeated(keyed: DataFrame) -> bool:
+    """Whether any document key occurs twice."""
+    return keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count() > 0
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """Which documents share enough of their word 5-grams: a row per row of docs.
 
@@ -349,5 +354,24 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     out = marks.select(*KEY, "_c").join(materialize(heads, "jaccard-heads"), "_c", "left")
     alone = F.col("_c").isNull()
     out = out.withColumn("_first", F.when(alone, True).otherwise((F.col("_d") == F.col("_cd")) & (F.col("_h") == F.col("_ch"))))
+    if repeated(marks):
+        once = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1))) == 1
+        out = out.withColumn("_first", F.when(alone, True).otherwise(F.col("_first") & once))
     null_id = lambda c: F.when(c < 2**63 - 1, c)
     return out.select(null_id(F.col("_d")).alias("doc_id"), F.col("_h").alias("text_hash"), null_id(F.coalesce("_cd", "_d")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("_first").alias("keep"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without all but one of each class of jaccard_join; texts without words stay."""
+    told = jaccard_join(docs)
+    gone = told.filter(~F.col("keep")).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    # rows that repeat are gone in part: the key stays if one of its rows does
+    stay = told.filter("keep").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_d"), F.col("text_hash").alias("_h"))
+    gone = materialize(gone, "jaccard-gone")
+    both = materialize(gone.join(stay, KEY, "left_semi"), "jaccard-repeated")
+    keyed = document_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text"))
+    kept = join_small(keyed, gone.join(both, KEY, "left_anti"), KEY, "left_anti")
+    if both.limit(1).count():
+        again = join_small(kept, both, KEY, "left_semi").dropDuplicates(KEY)
+        kept = join_small(kept, both, KEY, "left_anti").unionByName(again)
+    return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])

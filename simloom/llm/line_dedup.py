@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from simloom.llm.arrow import small_batches
 from simloom.storage import join_small, materialize
@@ -155,7 +156,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     told = materialize(told, "lines-runs")
     kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted", "copy_of")]
     # other columns travel in a struct, so that no name of theirs can clash
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*kept).alias("_row"))
+    base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"))
     rows = join_small(document_key(base), told, KEY, "left")
     keys = document_key(docs.select("doc_id", "text")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     if keys.limit(1).count():
@@ -171,7 +172,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             texts, lines, gone = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(0).type), pa.array(lines, pa.int32()), pa.array(gone, pa.int32()), b.column(3), b.column(4)], names=["text", "n_lines", "n_deleted", "copy_of", "_row"])
 
-    row = docs.select(F.struct(*kept).alias("_row")).dtypes[0][1]
-    done = rows.mapInArrow(rebuild, f"text string, n_lines int, n_deleted int, copy_of array<bigint>, _row {row}")
-    columns = ["text" if c == "text" else f"_row.`{c}`" for c in docs.columns if c in kept or c == "text"]
+    schema = T.StructType([*T._parse_datatype_string("text string, n_lines int, n_deleted int, copy_of array<bigint>").fields, base.schema["_row"]])
+    done = rows.mapInArrow(rebuild, schema)
+    columns = [F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c in kept or c == "text"]
     return done.select(*columns, "n_lines", "n_deleted", "copy_of")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from simloom.llm import decontaminate, jaccard_join, language_model, line_dedup, maxscore, mixing, quality, secrets, toxicity, warc
 from simloom.llm.arrow import fold
 from simloom.storage import table
@@ -68,7 +69,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_mix_sources, op4_toxicity, op5_jaccard_join, op6_warc, op7_language_model, op8_line_dedup, op9_top_k, op10_secret_scan)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_mix_sources, op4_toxicity, op5_jaccard_join, op6_warc, op7_language_model, op8_line_dedup, op9_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

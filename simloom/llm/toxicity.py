@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from simloom.llm.arrow import sample_by_hash, small_batches, words
 
@@ -213,26 +212,28 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, most:
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """docs with toxicity (0 to 1): the calibrated probability of the most toxic window of the whole text.
 
-    Null and empty texts, and texts without words, get the prior. All columns of docs named in keep
-    (doc_id unless given) are passed on.
+    Null and empty texts, and texts without words, get the prior. The columns of docs named in keep
+    (doc_id unless given) are passed on; a column toxicity of docs is replaced. Rows that repeat are
+    scored each. An empty table gives no rows.
 
     Scale: a map over batches with a model of a fixed size; windows are means of running sums, so a
     text costs the same per word at any length.
     """
     small_batches(docs.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c != "toxicity"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("toxicity", T.DoubleType())])
-    arrow = to_arrow_schema(schema)
+    # columns travel in a struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.lower(F.col("text").cast("string")).cast("binary").alias("_text"))
+    schema = T.StructType([rows.schema["_row"], T.StructField("toxicity", T.DoubleType())])
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         known: dict[bytes, float] = {}
         for b in batches:
-            tokens = [words(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            tokens = [words(t) for t in b.column(1).to_pylist()]
             new = list({w for d in tokens for w in d if w not in known})
-            for k in range(0, len(new), 50_000):
-                known.update(zip(new[k : k + 50_000], model.words(new[k : k + 50_000]).tolist(), strict=True))
+            for k in range(0, len(new), 20_000):
+                known.update(zip(new[k : k + 20_000], model.words(new[k : k + 20_000]).tolist(), strict=True))
             out = np.full(len(tokens), model.prior)
             for k, d in enumerate(tokens):
                 if d:
@@ -240,6 +241,6 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
                     out[k] = model.score(_best_windows(values)[0] + model.bias)
             if len(known) > CACHE_WORDS:
                 known.clear()
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(keep))], pa.array(out)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["_row", "toxicity"])
 
-    return docs.select(*keep, F.lower(F.col("text").cast("string")).cast("binary").alias("_text")).mapInArrow(scored, schema)
+    return rows.mapInArrow(scored, schema).select(*[F.col(f"_row.`{c}`") for c in keep], "toxicity")
