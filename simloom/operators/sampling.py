@@ -132,6 +132,6 @@ def substituted_at_random(df: DataFrame, rules: dict[str, str], most: int, seed:
     """name with up to `most` characters, drawn by hash from those with a rule, replaced; unchanged rows go. df: id, name."""
     table = F.create_map(*[x for k, v in rules.items() for x in (F.lit(k), F.lit(v))])
     places = F.filter(F.transform(F.split("name", ""), lambda c, i: F.struct(F.sha2(F.concat_ws("|", F.lit(seed), F.col("id"), i).cast("binary"), 256).alias("h"), i.alias("i"), c.alias("c"))), lambda s: F.map_contains_key(table, s["c"]))
-    picked = F.transform(F.slice(F.array_sort(places), 1, most), lambda s: s["i"])
-    new = F.array_join(F.transform(F.split("name", ""), lambda c, i: F.when(F.array_contains(picked, i), F.element_at(table, c)).otherwise(c)), "")
+    # folded over the few picked places, so that they are worked out once and not for each character
+    new = F.aggregate(F.array_sort(F.slice(F.array_sort(places), 1, most), lambda a, b: b["i"] - a["i"]), F.col("name"), lambda n, s: F.overlay(n, F.element_at(table, s["c"]), s["i"] + 1, F.lit(1)))
     return df.withColumn("generated", new).filter("generated != name")
