@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from simloom.llm import decontaminate, jaccard_join, language_model, line_dedup, maxscore, mixing, quality, secrets, toxicity, warc
+from simloom.llm import decontaminate, jaccard_join, language_model, line_dedup, maxscore, mixing, oracle, quality, secrets, toxicity, warc
 from simloom.llm.arrow import fold
 from simloom.storage import table
 
@@ -73,4 +73,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries can't be expressed: models, clusters and runs are tested against brute force or held-out labels."""
+    return {
+        "op2_decontaminate": oracle.DECONTAMINATE,
+        "op3_mix_sources": oracle.MIX,
+        "op6_warc": oracle.WARC,
+        "op9_top_k": oracle.TOP_K,
+        "op10_secret_scan": oracle.secrets_sql(secrets.KINDS, secrets.SCOPE),
+    }
