@@ -63,7 +63,7 @@ def candidate_edits(names: DataFrame, rules: DataFrame) -> DataFrame:
     """
     found = contains_join(rules, names.select("name").distinct().withColumn("row_idx", F.lit(0)))
     edit = F.struct(F.col("priority").cast("int"), (-F.col("score")).alias("negscore"), F.col("start").alias("position"), "replacement", "family", "source", F.col("score").cast("double"), "operation").cast(EDIT)
-    edits = found.join(F.broadcast(rules), "source").groupBy("name").agg(F.array_sort(F.collect_list(edit)).alias("edits"))
+    edits = found.join(rules, "source").groupBy("name").agg(F.array_sort(F.collect_list(edit)).alias("edits"))
     return names.join(edits, "name", "left").withColumn("edits", F.coalesce("edits", F.array().cast(f"array<{EDIT}>")))
 
 
@@ -93,7 +93,7 @@ def edit_variants(edited: DataFrame, preferred: int = 1, pairs_of: int = 48, max
 
 def rule_examples(rules: DataFrame, names: DataFrame, most: int | None = None) -> DataFrame:
     """Names in which a rule applies, with the name after it: source, replacement, name, start, generated."""
-    found = contains_join(rules, names, most).join(F.broadcast(rules.select("source", "replacement")), "source")
+    found = contains_join(rules, names, most).join(rules.select("source", "replacement"), "source")
     return found.select("source", "replacement", "name", "start", F.overlay("name", F.col("replacement"), F.col("start") + 1, F.length("source")).alias("generated"))
 
 

@@ -40,7 +40,7 @@ def holdout(df: DataFrame, label: str, key: str, share: float, seed: int) -> Dat
     quota = F.when(F.col("_all") < 2, 0).otherwise(F.greatest(F.lit(1), F.bround(F.col("_all") * share))).cast("long")
     buckets = marked.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    buckets = buckets.withColumn("_before", before).join(F.broadcast(sizes.withColumn("_quota", quota)), label).select(label, "_b", "_before", "_quota")
+    buckets = buckets.withColumn("_before", before).join(sizes.withColumn("_quota", quota), label).select(label, "_b", "_before", "_quota")
     inner = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
     return marked.withColumn("_n", inner).join(buckets, [label, "_b"]).withColumn("held_out", F.col("_before") + F.col("_n") <= F.col("_quota")).select(*df.columns, "held_out")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from simloom.storage import join_small, materialize
 
 #: Longest text whose deletion variants are enumerated; longer ones are indexed by segments.
 DELETION_LENGTH = 24
+#: Rows of a block that is broadcast where every row must meet every other side's row.
+BLOCK_ROWS = 5_000
 
 
 def deletions(x: Column, radius: int) -> Column:
@@ -107,12 +111,13 @@ def pick_at_distance(targets: DataFrame, names: DataFrame, goal: int, reach: int
     rest = targets.select(F.col("name").alias("target")).distinct().join(picked, "target", "left_anti")
     if not rest.limit(1).count():
         return picked
-    # a name for each length, met over lengths: as many rows as there are lengths
-    by_length = names.groupBy(F.length("name").alias("_l")).agg(F.array_sort(F.collect_set("name")).alias("_all")).select("_l", F.slice("_all", 1, 2).alias("_all"))
+    # two names of each length are enough; lengths are few, and meet each other
+    by_length = names.select("name", F.length("name").alias("_l")).distinct().withColumn("_m", F.row_number().over(Window.partitionBy("_l").orderBy("name"))).filter("_m <= 2")
     wanted = rest.groupBy(F.length("target").alias("_t")).agg(F.count(F.lit(1)).alias("_c")).select("_t")
-    near = wanted.join(F.broadcast(by_length)).withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy(F.abs(F.col("_l") - F.col("_t")), F.element_at("_all", 1)))).filter("_n <= 2")
-    near = near.groupBy("_t").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_all"))), lambda s: s["_all"])).alias("_names"))
-    far = rest.withColumn("_t", F.length("target")).join(F.broadcast(near), "_t").withColumn("neighbor", F.try_element_at(F.filter("_names", lambda v: v != F.col("target")), F.lit(1))).filter("neighbor IS NOT NULL")
+    near = join_blocks(wanted, by_length, lambda w, n: w.join(n))
+    near = near.withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy(F.abs(F.col("_l") - F.col("_t")), "name"))).filter("_n <= 2")
+    near = near.groupBy("_t").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "name"))), lambda s: s["name"]).alias("_names"))
+    far = rest.withColumn("_t", F.length("target")).join(near, "_t").withColumn("neighbor", F.try_element_at(F.filter("_names", lambda v: v != F.col("target")), F.lit(1))).filter("neighbor IS NOT NULL")
     return picked.unionByName(far.select("target", "neighbor", F.levenshtein("target", "neighbor").alias("distance"), F.lit("global_length_fallback").alias("mode")))
 
 
@@ -120,12 +125,12 @@ def length_ring(targets: DataFrame, names: DataFrame, count: int, reach: int = 4
     """For each target the names of the nearest lengths, radius by radius until there are count (the last radius whole)."""
     lengths = names.groupBy(F.length("name").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     own = targets.select(F.length("name").alias("_t")).distinct()
-    rings = own.withColumn("_l", F.explode(F.sequence(F.col("_t") - reach, F.col("_t") + reach))).join(F.broadcast(lengths), "_l")
+    rings = own.withColumn("_l", F.explode(F.sequence(F.col("_t") - reach, F.col("_t") + reach))).join(lengths, "_l")
     rings = rings.withColumn("_r", F.abs(F.col("_l") - F.col("_t")))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_t").orderBy("_r").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rings = rings.withColumn("_before", before).filter(F.col("_before") < count).select("_t", "_l", "_r")
     pool = names.select(F.col("name").alias("candidate"), F.length("name").alias("_l"))
-    return targets.select(F.col("name").alias("target"), F.length("name").alias("_t")).join(F.broadcast(rings), "_t").join(pool, "_l").filter("target != candidate").select("target", "candidate", F.col("_r").alias("radius"))
+    return targets.select(F.col("name").alias("target"), F.length("name").alias("_t")).join(rings, "_t").join(pool, "_l").filter("target != candidate").select("target", "candidate", F.col("_r").alias("radius"))
 
 
 def contains_join(rules: DataFrame, names: DataFrame, most: int | None = None, scan_order: bool = True, seed: int = 0) -> DataFrame:
@@ -141,7 +146,7 @@ def contains_join(rules: DataFrame, names: DataFrame, most: int | None = None, s
         return F.when(F.length("name") >= w, F.transform(F.sequence(F.lit(1), F.length("name") - w + 1), lambda i: F.substring(F.col("name"), i, F.lit(w)))).otherwise(none)
 
     grams = F.flatten(F.array(none, *[cut(w) for w in widths]))
-    met = names.select("name", "row_idx", F.explode(F.array_distinct(grams)).alias("source")).join(F.broadcast(rules.select("source").distinct()), "source")
+    met = names.select("name", "row_idx", F.explode(F.array_distinct(grams)).alias("source")).join(rules.select("source").distinct(), "source")
     out = met.withColumn("start", F.explode(find_starts(F.col("name"), F.col("source"))))
     if most is None:
         return out.select("source", "name", "row_idx", "start")
@@ -149,26 +154,33 @@ def contains_join(rules: DataFrame, names: DataFrame, most: int | None = None, s
     return out.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy(*by))).filter(F.col("_n") <= most).select("source", "name", "row_idx", "start")
 
 
-def knn_cosine(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 1) -> DataFrame:
+def join_blocks(rows: DataFrame, small: DataFrame, pair: Callable[[DataFrame, DataFrame], DataFrame], block: int = BLOCK_ROWS) -> DataFrame:
+    """pair(rows, part) for every part of `small`, united. Parts have about `block` rows at most, so each can be broadcast."""
+    parts = max(1, -(-small.count() // block))
+    number = F.pmod(F.xxhash64(*[F.col(c) for c in small.columns]), F.lit(parts))
+    found = None
+    for n in range(parts):
+        some = pair(rows, F.broadcast(small if parts == 1 else small.filter(number == n)))
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+def knn_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k vectors (id, vector) of the highest cosine for each query (query_id, query): exact, ties by id.
 
     Queries go in blocks, of which each is broadcast; a block's partial top k needs no shuffle of vectors.
     """
-    found = None
     v = vectors.select("id", "vector", F.greatest(norm(F.col("vector")), F.lit(1e-6)).alias("_nv"))
-    for b in range(blocks):
-        q = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        q = q.select("query_id", "query", F.greatest(norm(F.col("query")), F.lit(1e-6)).alias("_nq"))
-        pairs = v.join(F.broadcast(q), F.col("id") != F.col("query_id"))
-        scored = pairs.select("query_id", "id", F.round(dot(F.col("query"), F.col("vector")) / (F.col("_nq") * F.col("_nv")), 9).alias("similarity"))
-        found = scored if found is None else found.unionByName(scored)
+    q = queries.select("query_id", "query", F.greatest(norm(F.col("query")), F.lit(1e-6)).alias("_nq"))
+    pairs = join_blocks(v, q, lambda v, q: v.join(q, F.col("id") != F.col("query_id")))
+    scored = pairs.select("query_id", "id", F.round(dot(F.col("query"), F.col("vector")) / (F.col("_nq") * F.col("_nv")), 9).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def nearest_prototype(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
     """For each vector (id, vector) the prototype (label, prototype) of the highest dot product; ties go to the least label."""
-    pairs = vectors.join(F.broadcast(prototypes)).withColumn("_s", F.round(dot(F.col("vector"), F.col("prototype")), 9))
+    pairs = join_blocks(vectors, prototypes, lambda v, p: v.join(p)).withColumn("_s", F.round(dot(F.col("vector"), F.col("prototype")), 9))
     best = F.max_by(F.struct("label", "_s"), F.struct("_s", (-F.col("label")).alias("_l")))
     return pairs.groupBy("id").agg(best.alias("b")).select("id", F.col("b.label").alias("label"), F.col("b._s").alias("similarity"))
 
@@ -176,9 +188,9 @@ def nearest_prototype(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
 def similar_to_sources(sources: DataFrame, candidates: DataFrame, least: float, margin: float = 0.0) -> DataFrame:
     """Candidates (id, vector) that are near a source (source, vector) and not as near to any other.
 
-    sources are a fixed small table. Returns source, id, similarity, other, other_similarity, margin.
+    Every candidate meets every source, in blocks of sources. Returns source, id, similarity, other, other_similarity, margin.
     """
-    scored = candidates.join(F.broadcast(sources.select("source", F.col("vector").alias("_v")))).select("id", "source", F.round(cosine(F.col("vector"), F.col("_v")), 9).alias("similarity"))
+    scored = join_blocks(candidates, sources.select("source", F.col("vector").alias("_v")), lambda c, s: c.join(s)).select("id", "source", F.round(cosine(F.col("vector"), F.col("_v")), 9).alias("similarity"))
     per = scored.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("n"), "source"))).alias("_all"))
     first, second = F.col("_all")[0], F.try_element_at("_all", F.lit(2))
     rows = per.select("id", F.explode("_all").alias("s"), first.alias("f"), second.alias("g"))
