@@ -19,6 +19,8 @@ MAGIC = "WARC/1.0\r\n"
 BREAK = "\r\n\r\n"
 #: Equal payloads of so many bytes are written once.
 REVISIT_BYTES = 100
+#: Bits of the sketch of payloads that occur more than once (a megabyte).
+SKETCH_BITS = 2**23
 #: Bytes of a cell in which a record meets its pieces.
 CELL = 65_536
 
@@ -32,6 +34,48 @@ def _record_id(page: Column, digest: Column, copy: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
+def _bit(digest: Column) -> tuple[Column, Column]:
+    """Row and place of a digest in a table of SKETCH_BITS bits, 32,768 a row."""
+    at = F.pmod(F.xxhash64(digest), F.lit(SKETCH_BITS))
+    return F.floor(at / 32_768).cast("long"), (at % 32_768).cast("long")
+
+
+def _sketch(digests: DataFrame) -> DataFrame:
+    """Which bits the digests set: a table of a fixed size, however many they are."""
+    row, place = _bit(F.col("_digest"))
+    return digests.select(row.alias("_sketch_row"), place.alias("_place")).groupBy("_sketch_row").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+
+
+def _maybe_in(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """rows with _maybe: False only for digests that aren't among those of the sketch."""
+    row, place = _bit(F.col("_digest"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, (place % 8).cast("int")) == 1
+    joined = rows.withColumn("_sketch_row", row).join(F.broadcast(sketch), "_sketch_row", "left")
+    return joined.withColumn("_maybe", F.coalesce(is_set, F.lit(False))).drop("_sketch_row", "_bits")
+
+
+def _record(again: Column, copy: Column, first: Column, date: str) -> Column:
+    only = lambda c: F.when(again, c)
+    url = F.regexp_replace(F.regexp_replace(F.col("_url"), "\r", "%0D"), "\n", "%0A")
+    header = F.concat(
+        F.lit(MAGIC),
+        _line("WARC-Type", F.when(again, "revisit").otherwise("response")),
+        _line("WARC-Record-ID", _record_id(F.col("_p"), F.col("_digest"), copy)),
+        _line("WARC-Date", F.lit(date)),
+        _line("WARC-Target-URI", url),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("_digest"))),
+        _line("WARC-Profile", only(F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))),
+        _line("WARC-Refers-To", only(_record_id(first.cast("string"), F.col("_digest"), F.lit(1)))),
+        _line("X-Page-Id", F.col("_page")),
+        _line("X-Refers-To-Page-Id", only(first.cast("string"))),
+        _line("X-Payload-Length", F.col("_bytes").cast("string")),
+        F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "),
+        F.when(again, F.lit("0")).otherwise(F.col("_bytes").cast("string")),
+    )
+    return F.concat(header, F.lit(BREAK), F.when(again, F.lit("")).otherwise(F.col("_html")))
+
+
 def write_archive(pages: DataFrame, path: str | None = None, date: str = "2020-01-01T00:00:00Z") -> str:
     """Write a record for each row of pages (page_id, url, html) under path; returns the path.
 
@@ -40,7 +84,8 @@ def write_archive(pages: DataFrame, path: str | None = None, date: str = "2020-0
     responses. A null html is an empty payload. Of rows that repeat a page_id and its payload one is
     the response. A row without page_id is never referred to, but revisits one that has a page_id.
 
-    Scale: equal payloads are found on digests alone. The payloads are shuffled once, by digest and
+    Scale: equal payloads are found on digests alone. A sketch of a fixed size tells most payloads
+    that occur once; these are written where they are read. The others are shuffled, by digest and
     page_id, so that no digest is a hot key. Files are written by Spark's text writer, with the
     record's end as line separator, to any file system that Spark reaches.
     """
@@ -50,32 +95,17 @@ def write_archive(pages: DataFrame, path: str | None = None, date: str = "2020-0
     rows = pages.select(F.col("page_id").cast("string").alias("_page"), F.col("page_id").cast("long").alias("_number"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("_p"), F.sha2(html.cast("binary"), 256).alias("_digest"), F.octet_length(html).cast("long").alias("_bytes"), F.col("url").cast("string").alias("_url"), html.alias("_html"))
     ids = rows.groupBy("_digest", "_p").agg(F.first("_number").alias("_number"), F.first("_bytes").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
     ids = materialize(ids, "warc-digests")
-    firsts = ids.filter(F.col("_bytes") >= REVISIT_BYTES).groupBy("_digest").agg(F.min("_number").alias("_first"), F.sum("_n").alias("_of")).filter("_of > 1 AND _first IS NOT NULL")
-    roles = ids.join(materialize(firsts.drop("_of"), "warc-firsts"), "_digest", "left").select("_digest", "_p", "_first")
-    told = rows.join(roles, ["_digest", "_p"])
-    copy = F.row_number().over(Window.partitionBy("_digest", "_p").orderBy("_url"))
-    told = told.withColumn("_copy", copy)
+    several = materialize(ids.groupBy("_digest").agg(F.min("_number").alias("_first"), F.sum("_n").alias("_of"), F.first("_bytes").alias("_size")).filter("_of > 1"), "warc-repeated")
+    sketch = materialize(_sketch(several), "warc-sketch")
+    never = F.lit(False)
+    alone = _maybe_in(rows, sketch).filter(~F.col("_maybe"))
+    alone.select(_record(never, F.lit(1), F.lit(None), date).alias("value")).write.option("lineSep", BREAK).text(path)
+    roles = _maybe_in(ids.select("_digest", "_p"), sketch).filter("_maybe").drop("_maybe")
+    roles = roles.join(several.filter(F.col("_size") >= REVISIT_BYTES).select("_digest", "_first"), "_digest", "left")
+    told = _maybe_in(rows, sketch).filter("_maybe").drop("_maybe").join(roles, ["_digest", "_p"])
+    told = told.withColumn("_copy", F.row_number().over(Window.partitionBy("_digest", "_p").orderBy("_url")))
     again = F.col("_first").isNotNull() & ((F.col("_number") != F.col("_first")) | F.col("_number").isNull() | (F.col("_copy") > 1))
-    told = told.withColumn("_again", again)
-    url = F.regexp_replace(F.regexp_replace(F.col("_url"), "\r", "%0D"), "\n", "%0A")
-    only = lambda c: F.when(F.col("_again"), c)
-    header = F.concat(
-        F.lit(MAGIC),
-        _line("WARC-Type", F.when(F.col("_again"), "revisit").otherwise("response")),
-        _line("WARC-Record-ID", _record_id(F.col("_p"), F.col("_digest"), F.col("_copy"))),
-        _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", url),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("_digest"))),
-        _line("WARC-Profile", only(F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))),
-        _line("WARC-Refers-To", only(_record_id(F.col("_first").cast("string"), F.col("_digest"), F.lit(1)))),
-        _line("X-Page-Id", F.col("_page")),
-        _line("X-Refers-To-Page-Id", only(F.col("_first").cast("string"))),
-        _line("X-Payload-Length", F.col("_bytes").cast("string")),
-        F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "),
-        F.when(F.col("_again"), F.lit("0")).otherwise(F.col("_bytes").cast("string")),
-    )
-    text = F.concat(header, F.lit(BREAK), F.when(F.col("_again"), F.lit("")).otherwise(F.col("_html")))
-    told.select(text.alias("value")).write.option("lineSep", BREAK).text(path)
+    told.select(_record(again, F.col("_copy"), F.col("_first"), date).alias("value")).write.mode("append").option("lineSep", BREAK).text(path)
     return path
 
 
