@@ -17,12 +17,12 @@ from simloom.storage import join_small, materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: MinHash values of a document; a pair is a candidate if it agrees on all ROWS of one of BANDS.
-#: Of pairs of similarity 0.8 all but one in twenty million are.
-BANDS, ROWS = 32, 4
+#: Of pairs of similarity 0.8 all but three in a million are.
+BANDS, ROWS = 24, 4
 #: Values that are compared between two tests, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
 #: Members of a bucket or component that one task compares with each other, or with as many others.
-TILE = 512
+TILE = 256
 _PRIMES = np.random.default_rng(20).integers(1, 2**64 - 1, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -140,7 +140,7 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 def _tiles(df: DataFrame, group: list[str], tile: int) -> DataFrame:
     """Rows of large groups once for each pair of tiles they belong to: _t1 <= _t2, and _mine (the tile the row is in)."""
     sizes = materialize(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "jaccard-groups")
-    rows = join_small(df, sizes, group)
+    rows = df.join(sizes, group)
     tiles = F.ceil(F.col("_n") / tile).cast("int")
     rows = rows.withColumn("_tiles", tiles).withColumn("_mine", F.pmod(F.xxhash64(*KEY), F.col("_tiles").cast("long")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda x: F.struct(F.least(x, F.col("_mine")).alias("_t1"), F.greatest(x, F.col("_mine")).alias("_t2")))
@@ -186,29 +186,29 @@ def _edges_of(table: pa.Table, keys: int) -> np.ndarray:
 
 def _signatures(docs: DataFrame) -> DataFrame:
     """document key, _c (which texts have the same shingles) and _sig, for texts with words."""
-    schema = pa.schema([("_d", pa.int64()), ("_h", pa.int64()), ("_c", pa.string()), ("_sig", pa.binary())])
+    schema = pa.schema([("_d", pa.int64()), ("_h", pa.int64()), ("_c", pa.binary()), ("_sig", pa.binary())])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
             sets = [shingles(words(t), hashes) for t in b.column(2).to_pylist()]
-            yield batch(schema, b.column(0), b.column(1), [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], [minhashes(s).tobytes() if len(s) else None for s in sets])
+            yield batch(schema, b.column(0), b.column(1), [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], [minhashes(s).tobytes() if len(s) else None for s in sets])
             if len(hashes) > 300_000:
                 hashes.clear()
 
-    return document_key(docs.select("doc_id", "text")).select(*KEY, utf8()).mapInArrow(read, "_d long, _h long, _c string, _sig binary")
+    return document_key(docs.select("doc_id", "text")).select(*KEY, utf8()).mapInArrow(read, "_d long, _h long, _c binary, _sig binary")
 
 
 _EDGE = pa.schema([("_d1", pa.int64()), ("_h1", pa.int64()), ("_d2", pa.int64()), ("_h2", pa.int64())])
 
 
 def _bucket_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: band, key, _t1, _t2, _mine, _d, _h, _sig. Stars of what pruning leaves connected in a bucket."""
-    for t in _groups(batches, 4):
+    """Columns: _key, _t1, _t2, _band, _mine, _d, _h, _sig. Stars of what pruning leaves connected in a bucket."""
+    for t in _groups(batches, 3):
         sig = np.frombuffer(b"".join(t.column("_sig").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
         d, h, band = np.asarray(t.column("_d")), np.asarray(t.column("_h")), np.asarray(t.column("_band"))
         sets = Union(t.num_rows)
-        for i, j in _pairs(_edges_of(t, 4), np.asarray(t.column("_mine")), np.asarray(t.column("_t1")), np.asarray(t.column("_t2"))):
+        for i, j in _pairs(_edges_of(t, 3), np.asarray(t.column("_mine")), np.asarray(t.column("_t1")), np.asarray(t.column("_t2"))):
             for k in compare(sig[i], sig[j], band[i]).tolist():
                 sets.join(int(i[k]), int(j[k]))
         up = np.array([sets.find(x) for x in range(t.num_rows)], np.int64)
@@ -329,12 +329,15 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     classes = marks.filter("_c IS NOT NULL").groupBy("_c").agg(least.alias("_r"), F.count(F.lit(1)).alias("_size"), F.first("_sig").alias("_sig"))
     classes = materialize(classes.select("_c", F.col("_r._d").alias("_d"), F.col("_r._h").alias("_h"), "_size", "_sig"), "jaccard-classes")
 
-    bands = F.array(*[F.struct(F.lit(k).alias("_band"), F.xxhash64(F.substring("_sig", 4 * ROWS * k + 1, 4 * ROWS)).alias("_key")) for k in range(BANDS)])
+    bands = F.array(*[F.struct(F.lit(k).alias("_band"), F.xxhash64(F.lit(k), F.substring("_sig", 4 * ROWS * k + 1, 4 * ROWS)).alias("_key")) for k in range(BANDS)])
     rows = classes.select(*KEY, F.explode(bands).alias("_b")).select("_b._band", "_b._key", *KEY)
-    rows = materialize(rows, "jaccard-bands")
-    tiled = join_small(_tiles(rows, ["_band", "_key"], TILE), classes.select(*KEY, "_sig"), KEY)
-    order = ["_band", "_key", "_t1", "_t2"]
-    tiled = tiled.select(*order, "_mine", *KEY, "_sig").repartition(*order).sortWithinPartitions(*order, *KEY)
+    # the one shuffle of all bands; what stands alone in its bucket ends there
+    inside = Window.partitionBy("_key").orderBy(*KEY)
+    met = rows.withColumn("_more", F.coalesce(F.lag(F.lit(True)).over(inside), F.lead(F.lit(True)).over(inside))).filter("_more").drop("_more")
+    met = materialize(met, "jaccard-bands")
+    order = ["_key", "_t1", "_t2"]
+    tiled = _tiles(met, ["_key"], TILE).join(classes.select(*KEY, "_sig"), KEY)
+    tiled = tiled.select(*order, "_band", "_mine", *KEY, "_sig").repartition(*order).sortWithinPartitions(*order, *KEY)
     edges = materialize(tiled.mapInArrow(_bucket_edges, "_d1 long, _h1 long, _d2 long, _h2 long"), "jaccard-edges")
     groups = components(edges)
 

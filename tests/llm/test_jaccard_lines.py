@@ -41,7 +41,7 @@ def near_copies(seed, n=160):
 
 def test_links_and_classes_against_brute_force(spark, monkeypatch):
     texts = near_copies(1)
-    for tile in (512, 6):  # with small tiles every group is cut
+    for tile in (256, 6):  # with small tiles every group is cut
         monkeypatch.setattr(J, "TILE", tile)
         got = {r.doc_id: (r.n_links, r.class_id) for r in J.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
         assert got == links(texts)
