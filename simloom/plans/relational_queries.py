@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions import distance as D
 from simloom.functions import text as X
-from simloom.operators import assignment, checks, forest, metrics, ranking, registry, sampling
+from simloom.operators import assignment, checks, forest, metrics, ranking, registry, sampling, scoring
 from simloom.operators import similarity_join as J
 from simloom.plans.inputs import PAIRS_SQL, SCORED_SQL, TOKENS_SQL, pairs, part_names, scored, spoof, tokens
 from simloom.plans.registry import query
@@ -438,3 +438,35 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT p_partkey, CASE WHEN length(p_name) = 0 THEN -1.0 ELSE 5.0 * len(list_filter(range(1, length(p_name) + 1), lambda i: substr(p_name, i, 1) = substr(reverse(p_name), i, 1))) / length(p_name) - 1 END::DOUBLE AS score FROM part""")
+def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scorer = scoring.batch_scorer(scoring.text_scorer)
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("real_name"), F.reverse("p_name").alias("fraudulent_name"))
+    done = scoring.score_distinct(rows, ["real_name", "fraudulent_name"], scorer(F.col("real_name"), F.col("fraudulent_name")))
+    return done.select("p_partkey", "score")
+
+
+@query("""WITH r AS (SELECT lower(substr(p_name, 1, 1)) AS a, lower(substr(p_type, 1, 1)) AS b, least(1.0, greatest(0.0, (p_size - 5) / 40.0))::DOUBLE AS s FROM part), d AS (SELECT a AS l, b AS r, s FROM r WHERE a <> b UNION ALL SELECT b, a, s FROM r WHERE a <> b)
+    SELECT l AS "left", r AS "right", round(max(s), 9) AS similarity FROM d GROUP BY l, r""")
+def symmetric_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = table(spark, sf_dir, "part").select(F.substring("p_name", 1, 1).alias("source"), F.substring("p_type", 1, 1).alias("replacement"), ((F.col("p_size") - 5) / 40.0).alias("score"))
+    return scoring.symmetric_confusions(rules).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("""SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS before, max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS after,
+    max(CASE WHEN l_linenumber = 2 THEN l_quantity END) - max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS delta FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey""")
+def example_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select("l_orderkey", F.when(F.col("l_linenumber") == 1, "before").otherwise("after").alias("stage"), F.col("l_quantity").alias("score"))
+    return scoring.before_and_after(rows, ["l_orderkey"])
+
+
+@query(f"WITH {PAIRS_SQL} SELECT CAST(levenshtein(real_name, fraudulent_name) AS BIGINT) AS distance, count(*) AS n FROM pairs GROUP BY 1")
+def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.histogram(pairs(spark, sf_dir).select(F.levenshtein("real_name", "fraudulent_name").cast("long").alias("distance")), "distance")
+
+
+@query("SELECT count(*) FILTER (starts_with(o_orderpriority, '1')) AS n_1, count(*) FILTER (starts_with(o_orderpriority, '5-L')) AS \"n_5-L\" FROM orders")
+def mode_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.mode_counts(table(spark, sf_dir, "orders"), "o_orderpriority", ["1", "5-L"])
