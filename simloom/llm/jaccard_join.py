@@ -22,7 +22,7 @@ BANDS, ROWS = 24, 4
 #: Values that are compared between two tests, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
 #: Members of a bucket or component that one task compares with each other, or with as many others.
-TILE = 256
+TILE = 512
 _PRIMES = np.random.default_rng(20).integers(1, 2**64 - 1, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
