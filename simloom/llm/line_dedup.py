@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simloom.llm.arrow import small_batches
-from simloom.storage import join_small, materialize
+from simloom.storage import materialize
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
@@ -75,7 +75,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = materialize(_lines(docs), "lines")
     often = lines.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_a", "_b")
     ids = _ranked(often, ["_a", "_b"])
-    level = materialize(join_small(lines, ids, ["_a", "_b"]).select(*KEY, "i", "words", "rank"), "lines-level")
+    level = materialize(lines.join(ids, ["_a", "_b"]).select(*KEY, "i", "words", "rank"), "lines-level")
     spans = materialize(_spans(level, min_words), "lines-spans")
     deepest = spans.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
     levels, k = [level.select(*KEY, "i", F.lit(0).alias("k"), "rank")], 0
@@ -90,7 +90,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         pairs = pairs.select(*KEY, "i", F.col("rank").alias("_r1"), "_r2")
         names = _ranked(pairs.groupBy("_r1", "_r2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_r1", "_r2"), ["_r1", "_r2"])
         k += 1
-        level = materialize(join_small(pairs, names, ["_r1", "_r2"]).select(*KEY, "i", F.lit(k).alias("k"), "rank"), "lines-level")
+        level = materialize(pairs.join(names, ["_r1", "_r2"]).select(*KEY, "i", F.lit(k).alias("k"), "rank"), "lines-level")
         if not level.limit(1).count():
             break
         levels.append(level)
@@ -104,7 +104,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     told = materialize(told.select(*KEY, "i", "m", "_r1", "_r2"), "lines-intervals")
     firsts = told.groupBy("m", "_r1", "_r2").agg(F.min(F.struct(*KEY, "i")).alias("_0"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     firsts = materialize(firsts, "lines-firsts")
-    later = join_small(told, firsts, ["m", "_r1", "_r2"]).filter(F.struct(*KEY, "i") != F.col("_0"))
+    later = told.join(firsts, ["m", "_r1", "_r2"]).filter(F.struct(*KEY, "i") != F.col("_0"))
     own = (F.col("_d") == F.col("_0._d")) & (F.col("_h") == F.col("_0._h"))
     begin = F.when(own, F.greatest(F.col("i"), F.col("_0.i") + F.col("m"))).otherwise(F.col("i"))
     return later.select(*KEY, begin.cast("int").alias("i"), (F.col("i") + F.col("m")).cast("int").alias("j"), F.col("_0._d").alias("_d0"), F.col("_0._h").alias("_h0"), F.col("_0.i").alias("i0")).filter("i < j")
@@ -157,7 +157,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted", "copy_of")]
     # other columns travel in a struct, so that no name of theirs can clash
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"))
-    rows = join_small(document_key(base), told, KEY, "left")
+    rows = document_key(base).join(told, KEY, "left")
     keys = document_key(docs.select("doc_id", "text")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     if keys.limit(1).count():
         again = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1))) > 1
