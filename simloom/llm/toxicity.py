@@ -54,7 +54,18 @@ def grams(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     codes *= np.uint32(0x2C1B3C6D)
     codes ^= codes >> np.uint32(13)
     order = np.argsort(owners, kind="stable")
-    return (codes[order] % np.uint32(BUCKETS)).astype(np.int64), np.searchsorted(owners[order], np.arange(len(distinct)))
+    return (codes[order] % np.uint32(BUCKETS)).astype(np.int32), np.searchsorted(owners[order], np.arange(len(distinct)))
+
+
+def grams_of_many(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """grams(), some words at a time, so that only the result takes memory for all of them."""
+    codes, starts, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    for k in range(0, len(distinct), 10_000):
+        c, s = grams(distinct[k : k + 10_000])
+        codes.append(c)
+        starts.append(s + at)
+        at += len(c)
+    return np.concatenate(codes), np.concatenate(starts)
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +112,13 @@ def fit(texts: list[bytes | None], labels: np.ndarray, prior: float, seed: int =
     """
     rng = np.random.default_rng(seed)
     number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int64) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int32) for t in texts]
     full = np.array([len(d) > 0 for d in docs], bool)
     if not full.any() or len(set(labels[full].tolist())) < 2:
         at = float(np.log(prior / (1 - prior)))
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, at, prior)
-    codes, starts = grams(list(number))
+    codes, starts = grams_of_many(list(number))
+    del number
     sizes = np.diff(np.append(starts, len(codes)))
     back = (rng.random(len(docs)) < 0.2) & full
     used = np.flatnonzero(full & ~back)
@@ -122,6 +134,7 @@ def fit(texts: list[bytes | None], labels: np.ndarray, prior: float, seed: int =
         total[labels[d]] += 1
     start = np.log(seen[1] / total[1]) - np.log(seen[0] / total[0])
     start[seen.sum(axis=0) < 4] = 0
+    start = start.astype(np.float32)
     value = np.add.reduceat(start[codes], starts) / sizes
 
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -205,8 +218,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, most:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= chars)
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "_y", F.lower("text").cast("binary").alias("text")).toArrow()
     order = np.argsort(np.asarray(rows.column("doc_id")), kind="stable") if rows.num_rows else []
+    y = np.asarray(rows.column("_y"))[order].astype(int) if rows.num_rows else np.zeros(0, int)
     got = rows.column("text").to_pylist()
-    return fit([got[i] for i in order], np.asarray(rows.column("_y"))[order].astype(int) if rows.num_rows else np.zeros(0, int), (ones + 0.5) / (n + 1.0))
+    del rows
+    return fit([got[i] for i in order], y, (ones + 0.5) / (n + 1.0))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
