@@ -22,8 +22,8 @@ CLASSES = 2_000
 KNOWN = 200_000
 #: Size of a word vector, words of context (fixed by the table of normalisers), noise words of a batch.
 DIM, CONTEXT, NOISE = 24, 2, 64
-#: Rounds of training, and of how many training documents each round takes one.
-ROUNDS, SHARE = 3, 12
+#: Rounds of training; each takes its own part of the training documents, and together they take all.
+ROUNDS = 3
 BATCH, RATE = 256, 0.08
 #: Distinct tokens that a worker counts before it gives them on.
 FLUSH = 250_000
@@ -148,9 +148,9 @@ def _unflat(x: np.ndarray, like: Model) -> Model:
 def train(docs: DataFrame, classes: dict[bytes, int], counts: np.ndarray, seed: int = 5) -> Model:
     """Noise-contrastive training over the documents (doc_id, text), in ROUNDS rounds.
 
-    In a round every task trains a copy on one of SHARE of its documents (by hash; each round takes
-    others), whole; the copies are averaged by the words that they saw. What is gathered grows with
-    the number of tasks; parameters have a fixed size.
+    In a round every task trains a copy on one of ROUNDS of its documents (by hash; each round takes
+    others, so that all are taken once), whole; the copies are averaged by the words that they saw.
+    What is gathered grows with the number of tasks; parameters have a fixed size.
     """
     small_batches(docs.sparkSession)
     model = initial(counts, seed)
@@ -176,7 +176,7 @@ def train(docs: DataFrame, classes: dict[bytes, int], counts: np.ndarray, seed:
                 pieces = [values[k : k + size] for k in range(0, len(values), size)]
                 yield batch(schema, [0] * len(pieces), [float(seen)] * len(pieces), list(range(len(pieces))), pieces)
 
-        part = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(SHARE)) == r).select(utf8())
+        part = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(ROUNDS)) == r).select(utf8())
         told = part.mapInArrow(work, "part int, weight double, at int, values array<double>")
         # sums by position: each piece's values are added up across tasks before anything comes to the driver
         summed = told.select("at", "weight", F.posexplode("values").alias("i", "v")).groupBy("at", "i").agg(F.sum("v").alias("v"), F.sum("weight").alias("w"))

@@ -98,6 +98,14 @@ def test_better_than_unigrams_on_held_out_rows(spark):
     assert better > 0.8
 
 
+def test_all_training_documents_are_trained_on(spark):
+    docs = [(k, f"word{k} " * 40) for k in range(36)]
+    classes, counts = {f"word{k}".encode(): k for k in range(36)} | {M.END: 36}, np.array([40] * 36 + [36, 0])
+    got = M.train(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), classes, counts)
+    moved = np.abs(got.left - M.initial(counts, 5).left).max(axis=1)
+    assert (moved[:36] > 1e-3).all()
+
+
 def test_language_model_edges(spark, edge_docs, no_docs):
     assert M.score_texts(edge_docs, F.lit(True)).count() == edge_docs.count()
     assert M.score_texts(edge_docs, F.lit(False)).filter("train_tokens = 0 AND n_known = 0").count() == edge_docs.count()
