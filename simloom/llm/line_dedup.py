@@ -73,6 +73,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     sums; only distinct ones are sorted; joins back to occurrences can be split by Spark.
     """
     lines = materialize(_lines(docs), "lines")
+    # rows that repeat have the same lines, of which each must count once
+    if lines.filter("i = 0").groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count():
+        lines = materialize(lines.dropDuplicates([*KEY, "i"]), "lines")
     often = lines.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_a", "_b")
     ids = _ranked(often, ["_a", "_b"])
     level = materialize(lines.join(ids, ["_a", "_b"]).select(*KEY, "i", "words", "rank"), "lines-level")

@@ -114,6 +114,16 @@ def test_what_is_left(spark):
     assert got[1] == (docs[1][1], []) and got[2] == ("head\ntail", [1]) and got[3] == ("tail\nhead", [])
 
 
+def test_repeated_rows_with_runs_of_short_lines(spark):
+    run = "\n".join(" ".join(f"v{i}x{k}" for k in range(12)) for i in range(5))
+    for x in (1, None):
+        got = L.dedup_lines(spark.createDataFrame([(x, "own\n" + run), (x, "own\n" + run), (2, "mine\n" + run)], "doc_id long, text string")).collect()
+        left = collections.Counter((r.doc_id, r.text) for r in got)
+        # the least doc_id (nulls last) keeps the run, and one of the rows that repeat stays
+        want = [(1, "own\n" + run), (1, ""), (2, "mine")] if x else [(None, "own"), (None, ""), (2, "mine\n" + run)]
+        assert left == collections.Counter(want)
+
+
 def test_line_edges(spark, edge_docs, no_docs):
     rows = L.dedup_lines(edge_docs)
     assert [c for c in rows.columns if c not in ("n_lines", "n_deleted", "copy_of")] == [c for c in edge_docs.columns if c != "copy_of"]
