@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from simloom.functions.distance import levenshtein_similarity
 from simloom.functions.text import EDIT, apply_edits
-from simloom.operators.assignment import assign_in_phases
+from simloom.operators.assignment import assign_unique
 from simloom.operators.similarity_join import contains_join
-from simloom.storage import materialize
+from simloom.storage import join_small, materialize
 
 
 def pair_samples(pairs: DataFrame) -> DataFrame:
@@ -287,17 +287,38 @@ def count_plans(names: DataFrame, params: dict) -> DataFrame:
     return names.select("row_idx", "name").mapInPandas(run, "row_idx long, name string, bucket string, percentage double, adjacent int, multichar_forward int, ocr int, exact int, attempt_seed long")
 
 
-def generate_unique(names: DataFrame, plans: DataFrame, rules: dict[str, list[dict]], taken: DataFrame | None = None, tries: int = 32) -> DataFrame:
+def generate_unique(names: DataFrame, plans: DataFrame, rules: dict[str, list[dict]], taken: DataFrame | None = None, tries: int = 256, most: int = 10_000) -> DataFrame:
     """One variant for each row that nobody else has: the planned one, else a fallback, then for rows left any legal one.
 
-    Rows choose in the order of row_idx (assignment.assign_in_phases). Returns row_idx, name, generated, operations, phase.
+    A row has up to `tries` fallbacks and `most` legal variants to choose from. Both depend on the name
+    alone, so they are made once a name; legal ones only for names with rows left. Rows choose in the
+    order of row_idx (assignment.assign_unique). Returns row_idx, name, generated, operations, phase.
     """
-    first = spelled(plans, rules).filter("valid").select("row_idx", "name", F.lit(1).alias("pref"), "generated", "operations")
-    options = materialize(first.unionByName(fallbacks(names, rules, tries)).withColumn("phase", F.lit(1)).unionByName(legal_variants(names, rules, most=512).withColumn("phase", F.lit(2))).withColumn("key", F.lower("generated")), "variants")
+    names = materialize(names.select("row_idx", "name"), "names")
     real = names.select(F.lower("name").alias("key")).distinct()
-    got = assign_in_phases(*[options.filter(F.col("phase") == k).select("row_idx", "pref", "key") for k in (1, 2)], taken=real if taken is None else real.unionByName(taken.select("key")))
-    one = options.groupBy("row_idx", "phase", "key").agg(F.min_by(F.struct("name", "generated", "operations"), "pref").alias("o"))
-    return got.join(one, ["row_idx", "phase", "key"]).select("row_idx", "o.name", "o.generated", "o.operations", "phase")
+    used = real if taken is None else real.unionByName(taken.select("key"))
+
+    def made(options: DataFrame) -> DataFrame:
+        one = options.withColumn("key", F.lower("generated")).groupBy("name", "key").agg(F.min_by(F.struct("pref", "generated", "operations"), "pref").alias("o"))
+        return materialize(one.select("name", "key", "o.pref", "o.generated", "o.operations"), "variants")
+
+    other = made(fallbacks(names.groupBy("name").agg(F.min("row_idx").alias("row_idx")), rules, tries))
+    planned = spelled(plans, rules).filter("valid").select("row_idx", "name", F.lower("generated").alias("key"), F.lit(1).alias("pref"), "generated", "operations")
+    planned = materialize(planned, "planned")
+    asked = planned.select("row_idx", "pref", "key").unionByName(join_small(names, other.select("name", "pref", "key"), "name").select("row_idx", "pref", "key"))
+    got = materialize(assign_unique(asked, used), "assigned")
+    columns = ["row_idx", "name", "generated", "operations"]
+    first = got.filter("pref = 1").join(planned.drop("key", "pref"), "row_idx").select(*columns)
+    second = join_small(got.filter("pref > 1").join(names, "row_idx"), other.drop("pref"), ["name", "key"]).select(*columns)
+
+    # rows of a name have the same legal variants in the same order, so the k-th of them gets none before the k-th free one
+    left = names.join(got.select("row_idx"), "row_idx", "left_anti")
+    left = materialize(left.withColumn("_k", F.row_number().over(Window.partitionBy("name").orderBy("row_idx"))).filter(F.col("_k") <= most), "left")
+    legal = made(legal_variants(left.filter("_k = 1"), rules, most))
+    free = legal.join(used.unionByName(got.select("key")).distinct(), "key", "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("pref")))
+    more = assign_unique(left.join(free.select("name", "key", "pref", "_n"), "name").filter("_n >= _k").select("row_idx", "pref", "key"))
+    third = more.select("row_idx", "key").join(left, "row_idx").join(legal, ["name", "key"]).select(*columns)
+    return first.unionByName(second).withColumn("phase", F.lit(1)).unionByName(third.withColumn("phase", F.lit(2)))
 
 
 def retried(names: DataFrame, rules: DataFrame, count: int, least_similarity: float = 0.55, seed: int = 0) -> DataFrame:

@@ -179,6 +179,37 @@ def test_generated_operations_replay(spark):
         assert text == r.generated != r.name
 
 
+def test_unique_variants_beyond_the_first_hundreds(spark):
+    names = spark.createDataFrame([(k, "o" * 12) for k in range(3)], "row_idx long, name string")
+    plans = names.withColumn("attempt_seed", F.lit(5)).withColumns({f: F.lit(1) for f in generators.FAMILIES})
+    legal = generators.legal_variants(names.limit(1), RULES).orderBy("pref").select("generated").toPandas().generated.tolist()
+    assert len(legal) == 793
+    taken = spark.createDataFrame([(v,) for v in legal[:600]], "key string")
+    rows = generators.generate_unique(names, plans, RULES, taken).orderBy("row_idx").collect()
+    assert [(r.row_idx, r.generated, r.phase) for r in rows] == [(k, legal[600 + k], 2) for k in range(3)]
+    assert [r.row_idx for r in generators.generate_unique(names, plans, RULES, taken, most=602).orderBy("row_idx").collect()] == [0, 1]
+
+
+def test_unique_variants_equal_the_sequential_rule(spark):
+    names = spark.createDataFrame([(k, ["moon", "bim", "moo"][k % 3]) for k in range(24)], "row_idx long, name string")
+    plans = names.withColumn("attempt_seed", F.col("row_idx")).withColumns({f: F.lit(1) for f in generators.FAMILIES})
+    wishes = [{}, {}]
+    for r in generators.spelled(plans, RULES).filter("valid").collect():
+        wishes[0].setdefault(r.row_idx, []).append((1, r.generated.lower()))
+    for k, made in enumerate((generators.fallbacks(names, RULES), generators.legal_variants(names, RULES))):
+        for r in made.collect():
+            wishes[k].setdefault(r.row_idx, []).append((r.pref, r.generated.lower()))
+    want, used = {}, {"moon", "bim", "moo"}
+    for phase, of in enumerate(wishes, 1):
+        for k in sorted(of):
+            free = [key for _, key in sorted(of[k]) if key not in used]
+            if k not in want and free:
+                want[k] = (free[0], phase)
+                used.add(free[0])
+    got = {r.row_idx: (r.generated.lower(), r.phase) for r in generators.generate_unique(names, plans, RULES).collect()}
+    assert got == want and {p for _, p in want.values()} == {1, 2} and len(want) < 24
+
+
 def test_edit_variants(spark):
     rules = spark.createDataFrame([("ocr", "o", "0", 4.0, 10, "o"), ("multichar_forward", "m", "rn", 3.0, 50, "m")], "family string, source string, replacement string, score double, priority int, operation string")
     got = [(r.generated, r.distance) for r in generators.edit_variants(generators.candidate_edits(names_df(spark, ["moo", "xyz"]), rules)).orderBy("rank").collect()]
