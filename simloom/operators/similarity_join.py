@@ -122,7 +122,10 @@ def pick_at_distance(targets: DataFrame, names: DataFrame, goal: int, reach: int
 
 
 def length_ring(targets: DataFrame, names: DataFrame, count: int, reach: int = 4) -> DataFrame:
-    """For each target the names of the nearest lengths, radius by radius until there are count (the last radius whole)."""
+    """For each target the names of the nearest lengths, radius by radius until there are count (the last radius whole).
+
+    A target with no name of a length within reach gets all names.
+    """
     lengths = names.groupBy(F.length("name").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     own = targets.select(F.length("name").alias("_t")).distinct()
     rings = own.withColumn("_l", F.explode(F.sequence(F.col("_t") - reach, F.col("_t") + reach))).join(lengths, "_l")
@@ -130,7 +133,13 @@ def length_ring(targets: DataFrame, names: DataFrame, count: int, reach: int = 4
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_t").orderBy("_r").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rings = rings.withColumn("_before", before).filter(F.col("_before") < count).select("_t", "_l", "_r")
     pool = names.select(F.col("name").alias("candidate"), F.length("name").alias("_l"))
-    return targets.select(F.col("name").alias("target"), F.length("name").alias("_t")).join(rings, "_t").join(pool, "_l").filter("target != candidate").select("target", "candidate", F.col("_r").alias("radius"))
+    asked = targets.select(F.col("name").alias("target"), F.length("name").alias("_t"))
+    near = asked.join(rings, "_t").join(pool, "_l").filter("target != candidate").select("target", "candidate", F.col("_r").alias("radius"))
+    alone = materialize(asked.filter("target IS NOT NULL").join(rings.select("_t").distinct(), "_t", "left_anti"), "alone")
+    if not alone.limit(1).count():
+        return near
+    every = join_blocks(pool, alone, lambda p, a: p.join(a)).filter("target != candidate")
+    return near.unionByName(every.select("target", "candidate", F.abs(F.col("_l") - F.col("_t")).alias("radius")))
 
 
 def contains_join(rules: DataFrame, names: DataFrame, most: int | None = None, scan_order: bool = True, seed: int = 0) -> DataFrame:

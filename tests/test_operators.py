@@ -43,6 +43,12 @@ def test_nearest_names_and_picks(spark):
     assert picks["amazon"].distance == 1 and picks["zzzzzzzzzzzzzzzzzzzz"]["mode"] == "global_length_fallback"
 
 
+def test_length_ring_falls_back_to_all_names(spark):
+    names = names_df(spark, ["abc", "abcd", "abcdefghij"])
+    got = J.length_ring(names_df(spark, ["x" * 30, "xyz", "abcdefghij"]), names, 1).collect()
+    assert sorted(map(tuple, got)) == [("x" * 30, "abc", 27), ("x" * 30, "abcd", 26), ("x" * 30, "abcdefghij", 20), ("xyz", "abc", 0)]
+
+
 def test_contains_join(spark):
     names = spark.createDataFrame([("mmm", 0), ("amen", 1), ("th", 2)], "name string, row_idx int")
     rules = spark.createDataFrame([("mm",), ("m",), ("th",)], "source string")
