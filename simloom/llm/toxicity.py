@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simloom.llm.arrow import sample_by_hash, small_batches, words
+from simloom.storage import materialize
 
 #: Labelled documents of each class that are fitted at most, and the longest text (characters) among them.
 TRAIN_DOCS = 3_000
@@ -204,7 +205,7 @@ def fit(texts: list[bytes | None], labels: np.ndarray, prior: float, seed: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on at most `most` labelled documents of each class (documents of the smallest hash), of at most `chars` characters.
+    """Fit on at most `most` labelled documents of each class (of the smallest hash among those of at most `chars` characters).
 
     labels: doc_id, toxic. Rows with a null label, and those that `fold` doesn't select, aren't used;
     a document labelled both ways counts as toxic. The prior comes from all labels in the fold.
@@ -214,8 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, most:
         marked = marked.filter(fold)
     marked = marked.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("_y"))
     n, ones = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
-    picked = sample_by_hash(marked.filter("_y = 1"), F.col("doc_id"), most).unionByName(sample_by_hash(marked.filter("_y = 0"), F.col("doc_id"), most))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= chars)
+    marked = materialize(marked.join(texts.select("doc_id"), "doc_id", "left_semi"), "toxicity-labels")
+    picked = sample_by_hash(marked.filter("_y = 1"), F.col("doc_id"), most).unionByName(sample_by_hash(marked.filter("_y = 0"), F.col("doc_id"), most))
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "_y", F.lower("text").cast("binary").alias("text")).toArrow()
     order = np.argsort(np.asarray(rows.column("doc_id")), kind="stable") if rows.num_rows else []
     y = np.asarray(rows.column("_y"))[order].astype(int) if rows.num_rows else np.zeros(0, int)

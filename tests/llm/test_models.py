@@ -32,6 +32,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert got.toxicity.between(0, 1).all()
 
 
+def test_long_documents_are_replaced_in_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, prior: seen.append((texts, y.tolist(), prior)))
+    docs = spark.createDataFrame([(k, "short" if k % 4 < 2 else "long " * 50) for k in range(80)], "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int"), most=15, chars=100)
+    texts, y, prior = seen[0]
+    assert set(texts) == {b"short"} and sorted(y) == [0] * 15 + [1] * 15 and prior == 0.5
+
+
 def test_misspellings_share_grams():
     rng = random.Random(4)
     plain = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrt')}{rng.choice('aeiou')}" for _ in range(300)]
