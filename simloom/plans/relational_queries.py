@@ -422,7 +422,7 @@ def rf_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = part_names(spark, sf_dir)
     both = names.select("name", spoof(F.col("name")).alias("fraudulent_name"), F.lit(1.0).alias("label")).unionByName(names.select("name", F.reverse("name").alias("fraudulent_name"), F.lit(0.0).alias("label")))
     rows = both.select(F.col("name").alias("real_name"), "fraudulent_name", "label", F.concat_ws("|", "name", "fraudulent_name").alias("id"))
-    return forest.held_out_scores(rows, "id", share=0.2, trees=20).select("real_name", "fraudulent_name", "label", F.round("score", 6).alias("score"))
+    return forest.held_out_scores(rows, "id", share=0.1, trees=400).select("real_name", "fraudulent_name", "label", F.round("score", 6).alias("score"))
 
 
 # Streaming extension

@@ -310,3 +310,12 @@ def test_forest_separates(spark):
     got = forest.held_out_scores(spark.createDataFrame(rows, "real_name string, fraudulent_name string, label double, id string"), "id", share=0.25, trees=10)
     assert metrics.roc_auc(got).first().roc_auc > 0.95
     assert full_damerau("ab", "ba") == 1
+
+
+def test_registered_forest_has_the_size_of_the_reference(spark, sf, monkeypatch):
+    from simloom.plans import catalog
+
+    sizes, train = [], forest.train
+    monkeypatch.setattr(forest, "train", lambda pairs, **options: sizes.append((pairs.count(), options["trees"])) or train(pairs, **(options | {"trees": 2})))
+    held = catalog.queries()["rf_text_features"](spark, sf).count()
+    assert sizes[0][1] == 400 and held == round(0.1 * (held + sizes[0][0]))
