@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +13,23 @@ from pyspark.sql import functions as F
 UNSET_DIR = "/tmp/checkpoints/simloom"
 
 
+#: Paths of the tables written in the innermost scratch block.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; sets one of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir, else the one that the job has set on its context.
+
+    Where neither is set a local session gets one of our own; on a cluster that is an error, as
+    a folder of the driver's machine is not what executors see.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = UNSET_DIR
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(UNSET_DIR)
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -26,22 +38,53 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/simloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back; `by` names columns to lay it out by.
 
     This cuts the lineage: a lost executor costs no more than a reread, and plans that use a result
-    several times don't compute it again.
+    several times don't compute it again. Inside a scratch block the table goes when the block ends.
     """
+    return _stored(df, label, _written.get(), by)
+
+
+def _stored(df: DataFrame, label: str, owner: list[str] | None, by: tuple[str, ...] = ()) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    if owner is not None:
+        owner.append(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class scratch:
+    """A block whose materialized tables are deleted when it ends, but for those written by keep()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> scratch:
+        self._outer, self._own = _written.get(), []
+        self._token = _written.set(self._own)
+        return self
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """materialize for what is used after the block: it belongs to the block around, if there is one."""
+        return _stored(df, label, self._outer)
+
+    def __exit__(self, *_: object) -> None:
+        _written.reset(self._token)
+        for path in self._own:
+            _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that this application has materialized."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/simloom-{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, f"{shared_dir(spark)}/simloom-{spark.sparkContext.applicationId}")
 
 
 def join_small(df: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", rows: int = 100_000) -> DataFrame:

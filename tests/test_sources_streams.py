@@ -1,9 +1,11 @@
 import json
 import pickle
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from simloom import storage
 from simloom.sources import readers, sinks
 from simloom.streaming import registry as streams
 
@@ -91,3 +93,29 @@ def test_stream_operators(spark, tmp_path):
         q = df.writeStream.outputMode("append" if name == "first" else "complete").format("memory").queryName(f"t_{name}").trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(f"t_{name}").count() == want, name
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    with storage.scratch(spark) as outer:
+        with storage.scratch(spark) as inner:
+            gone = storage.materialize(spark.range(3).toDF("x"), "gone")
+            stays = inner.keep(gone, "stays")
+            assert gone.count() == 3
+        assert stays.count() == 3
+        with pytest.raises(Exception, match="(?i)not exist|not found"):
+            gone.collect()
+        last = outer.keep(stays, "last")
+    assert last.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        stays.collect()
+
+
+def test_shared_folder():
+    def session(setting, context, master="yarn"):
+        own = SimpleNamespace(getCheckpointDir=lambda: context, master=master)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: setting), sparkContext=own)
+
+    assert storage.shared_dir(session("hdfs:/named/", "hdfs:/context")) == "hdfs:/named"
+    assert storage.shared_dir(session(None, "hdfs:/context/")) == "hdfs:/context"
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        storage.shared_dir(session(None, None))
