@@ -71,6 +71,11 @@ class scratch:
         """materialize for what is used after the block: it belongs to the block around, if there is one."""
         return _stored(df, label, self._outer)
 
+    def free_but_last(self) -> None:
+        """Delete all tables of this block but the one written last."""
+        while len(self._own) > 1:
+            _delete(self.spark, self._own.pop(0))
+
     def __exit__(self, *_: object) -> None:
         _written.reset(self._token)
         for path in self._own:
