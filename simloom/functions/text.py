@@ -298,3 +298,38 @@ def character_class(x: Column) -> Column:
 @F.pandas_udf(T.BooleanType())
 def changed_by_nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s) != s)
+
+
+def binary_label(x: Column) -> Column:
+    """0.0 or 1.0 where x says so as a number; null for all else."""
+    v = F.btrim(x.cast("string")).try_cast("double")
+    return F.when(v.isin(0.0, 1.0), v)
+
+
+#: Fixed value: what normalized names consist of.
+NORMAL_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789-"
+
+
+def table_normalizer(exact: dict[str, str], ocr: dict[str, str]):
+    """A function of a column: each character by the tables (ocr wins), else by what NFKD and case folding make of it.
+
+    Tables map a character to one of NORMAL_CHARACTERS. Whitespace goes, and so does what neither a
+    table nor the fallback knows; a character may give several, as a ligature does. Nulls stay.
+    """
+    mapping = {c: c for c in NORMAL_CHARACTERS} | {c: v for c, v in exact.items() if v in NORMAL_CHARACTERS} | dict(ocr)
+
+    class Table(dict):
+        def __missing__(self, code: int) -> str:
+            c = chr(code)
+            folded = "" if c.isspace() else unicodedata.normalize("NFKD", c).casefold()
+            self[code] = out = "".join(k for k in folded if k in NORMAL_CHARACTERS)
+            return out
+
+    start = {ord(c): v for c, v in mapping.items() if not c.isspace()}
+
+    @F.pandas_udf(T.StringType())
+    def normalize(x: pd.Series) -> pd.Series:
+        table = Table(start)
+        return x.map(lambda s: None if s is None else s.translate(table))
+
+    return normalize
