@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 
 #: On text.lower() as bytes: runs of digits, letters and whatever isn't ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Rows of an Arrow batch where the session leaves Spark's default: texts are long, and workers small.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch where the session leaves Spark's defaults: texts are long, and workers small.
+BATCH_ROWS, BATCH_BYTES = 500, 4 * 2**20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep batches of whole texts small, unless the session says otherwise."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Keep batches of whole texts small, unless the session has settings of its own.
+
+    The settings stay, as results are planned when they are asked for, after the operator returns.
+    """
+    for key, default, value in (("maxRecordsPerBatch", 10_000, BATCH_ROWS), ("maxBytesPerBatch", 64 * 2**20, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if int(spark.conf.get(key).rstrip("bB")) == default:
+            spark.conf.set(key, value)
 
 
 def words(text: bytes | None) -> list[bytes]:

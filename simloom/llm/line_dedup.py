@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from simloom.llm.arrow import small_batches
-from simloom.storage import materialize
+from simloom.llm.sketch import KEY, Sieve, document_key, packed, repeated_keys, repeated_rows
+from simloom.storage import materialize, scratch
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\r\x0b\x0c"
-KEY = ["_d", "_h"]
+#: What a line with words has from its first word on.
+FULL_LINE = r"[^\x20\x09-\x0D][^\n]*"
 
 
-def document_key(docs: DataFrame) -> DataFrame:
-    """docs with _d (doc_id, nulls as the largest long) and _h (hash of the text): equal only in rows that repeat."""
-    return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def _joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Join by sorted shuffles at every size."""
+    return left.join(right.hint("merge"), on)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -34,8 +31,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _ranked(distinct: DataFrame, by: list[str]) -> DataFrame:
-    """Numbers that follow the order of `by`: range partitions, sorted, numbered as they stand."""
-    return materialize(distinct.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), "lines-ranks")
+    """Numbers that follow the order of `by`: range partitions, sorted, numbered as they stand. To be used once."""
+    return distinct.orderBy(*by).withColumn("rank", F.monotonically_increasing_id())
 
 
 def _spans(rows: DataFrame, least: int) -> DataFrame:
@@ -60,6 +57,14 @@ def _spans(rows: DataFrame, least: int) -> DataFrame:
     return both.select(*KEY, F.explode(ends).alias("s")).select(*KEY, F.col("s.i").cast("int").alias("i"), F.col("s.m").cast("int").alias("m")).filter("i IS NOT NULL AND m IS NOT NULL").distinct()
 
 
+def _united(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Overlapping and touching stretches [i, j) of the same `by` as one; all within a document."""
+    order = Window.partitionBy(*by).orderBy("i", "j")
+    upto = F.max("j").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.when(upto >= F.col("i"), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    return rows.groupBy(*by, "_run").agg(F.min("i").alias("i"), F.max("j").alias("j")).drop("_run")
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Later copies of repeated line runs: document key, lines from i to j (exclusive), and the earliest copy (_d0, _h0, i0).
 
@@ -67,18 +72,26 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     1, 2, 4 ... lines, each from pairs of the ranks before, numbered by a distributed sort of the
     distinct pairs. Suffixes whose rank occurs once leave at once. An interval of the array with a
     common prefix of m lines is the set of suffixes of the same two overlapping ranks of the largest
-    power of two in m; its least member (by doc_id, then text hash, then line) is kept.
+    power of two in m; its least member (by doc_id, then text hash, then line) is kept. A run longer
+    than that is a chain of intervals: those of one document and one earliest copy at the same
+    distance are united, so what is returned is maximal against that copy.
+
+    Rows that repeat a key have the same lines, of which each counts once.
 
     Scale: what is shuffled are numbers of repeated lines. Hot IDs and pairs are counted with partial
-    sums; only distinct ones are sorted; joins back to occurrences can be split by Spark.
+    sums; only distinct ones are sorted; joins back to occurrences can be split by Spark. Joins are
+    of the same kind at every size. Own tables go when the runs are stored.
     """
+    with scratch(docs.sparkSession) as block:
+        return block.keep(_later_copies(docs, min_words), "lines-runs")
+
+
+def _later_copies(docs: DataFrame, min_words: int) -> DataFrame:
     lines = materialize(_lines(docs), "lines")
-    # rows that repeat have the same lines, of which each must count once
-    if lines.filter("i = 0").groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count():
-        lines = materialize(lines.dropDuplicates([*KEY, "i"]), "lines")
     often = lines.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_a", "_b")
     ids = _ranked(often, ["_a", "_b"])
-    level = materialize(lines.join(ids, ["_a", "_b"]).select(*KEY, "i", "words", "rank"), "lines-level")
+    level = _joined(lines, ids, ["_a", "_b"]).select(*KEY, "i", "words", "rank")
+    level = materialize(level.dropDuplicates([*KEY, "i"]), "lines-level")
     spans = materialize(_spans(level, min_words), "lines-spans")
     deepest = spans.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
     levels, k = [level.select(*KEY, "i", F.lit(0).alias("k"), "rank")], 0
@@ -87,13 +100,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         step = 2**k
         if k:  # suffixes that left earlier make holes, so that lead() would miss
             other = levels[-1].select(*KEY, (F.col("i") - step).alias("i"), F.col("rank").alias("_r2"))
-            pairs = levels[-1].join(other, [*KEY, "i"])
+            pairs = _joined(levels[-1], other, [*KEY, "i"])
         else:
             pairs = levels[-1].withColumn("_r2", F.lead("rank", step).over(order)).withColumn("_i2", F.lead("i", step).over(order)).filter(F.col("_i2") == F.col("i") + step)
         pairs = pairs.select(*KEY, "i", F.col("rank").alias("_r1"), "_r2")
         names = _ranked(pairs.groupBy("_r1", "_r2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_r1", "_r2"), ["_r1", "_r2"])
         k += 1
-        level = materialize(pairs.join(names, ["_r1", "_r2"]).select(*KEY, "i", F.lit(k).alias("k"), "rank"), "lines-level")
+        level = materialize(_joined(pairs, names, ["_r1", "_r2"]).select(*KEY, "i", F.lit(k).alias("k"), "rank"), "lines-level")
         if not level.limit(1).count():
             break
         levels.append(level)
@@ -102,80 +115,90 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         known = known.unionByName(x)
     deep = F.floor(F.log2(F.col("m").cast("double") + 0.5)).cast("int")
     told = spans.withColumn("k", deep).withColumn("_i2", (F.col("i") + F.col("m") - F.pow(F.lit(2), F.col("k"))).cast("int"))
-    told = told.join(known.withColumnRenamed("rank", "_r1"), [*KEY, "k", "i"])
-    told = told.join(known.withColumnRenamed("rank", "_r2").withColumnRenamed("i", "_i2"), [*KEY, "k", "_i2"])
+    told = _joined(told, known.withColumnRenamed("rank", "_r1"), [*KEY, "k", "i"])
+    told = _joined(told, known.withColumnRenamed("rank", "_r2").withColumnRenamed("i", "_i2"), [*KEY, "k", "_i2"])
     told = materialize(told.select(*KEY, "i", "m", "_r1", "_r2"), "lines-intervals")
     firsts = told.groupBy("m", "_r1", "_r2").agg(F.min(F.struct(*KEY, "i")).alias("_0"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    # stored, so that the join isn't bound to the aggregation's partitions and Spark can split a hot interval
     firsts = materialize(firsts, "lines-firsts")
-    later = told.join(firsts, ["m", "_r1", "_r2"]).filter(F.struct(*KEY, "i") != F.col("_0"))
+    later = _joined(told, firsts, ["m", "_r1", "_r2"]).filter(F.struct(*KEY, "i") != F.col("_0"))
     own = (F.col("_d") == F.col("_0._d")) & (F.col("_h") == F.col("_0._h"))
     begin = F.when(own, F.greatest(F.col("i"), F.col("_0.i") + F.col("m"))).otherwise(F.col("i"))
-    return later.select(*KEY, begin.cast("int").alias("i"), (F.col("i") + F.col("m")).cast("int").alias("j"), F.col("_0._d").alias("_d0"), F.col("_0._h").alias("_h0"), F.col("_0.i").alias("i0")).filter("i < j")
+    later = later.select(*KEY, F.col("_0._d").alias("_d0"), F.col("_0._h").alias("_h0"), (F.col("i") - F.col("_0.i")).alias("_apart"), begin.cast("int").alias("i"), (F.col("i") + F.col("m")).cast("int").alias("j"))
+    runs = _united(later.filter("i < j").repartition(*KEY), [*KEY, "_d0", "_h0", "_apart"])
+    return runs.select(*KEY, "i", "j", "_d0", "_h0", (F.col("i") - F.col("_apart")).cast("int").alias("i0"))
 
 
-def _rebuilt(text: str | None, runs: list[dict] | None, whole: bool) -> tuple[str | None, int, int]:
-    if text is None:
-        return None, 0, 0
-    lines, out, n, gone = text.split("\n"), [], 0, 0
-    spans: list[list[int]] = []
-    for i, j in sorted((r["i"], r["j"]) for r in runs or ()):
-        if spans and i <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], j)
-        else:
-            spans.append([i, j])
-    at = 0
-    for line in lines:
-        blank = not line.strip(SPACE)
-        if not blank:
-            while at < len(spans) and spans[at][1] <= n:
-                at += 1
-            dead = whole or (at < len(spans) and spans[at][0] <= n)
-            n += 1
-        else:  # a blank line goes with a run around it
-            dead = whole or (at < len(spans) and spans[at][0] < n < spans[at][1])
-        if dead:
-            gone += not blank
-        else:
-            out.append(line)
-    return ("\n".join(out) if gone else text), n, gone
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _without_runs(text: Column, runs: Column) -> Column:
+    """text without the lines of runs: disjoint [i, j) in order, over the lines that have words.
+
+    A line without words goes if it lies within a run. What is kept are the slices between runs, so
+    the work is linear in lines and runs.
+    """
+
+    def cut(lines: Column) -> Column:
+        full = F.filter(F.transform(lines, lambda x, i: F.when(F.btrim(x, F.lit(SPACE)) != "", i)), lambda i: i.isNotNull())
+
+        def kept(at: Column) -> Column:
+            gone = F.transform(runs, lambda r: F.struct(F.get(at, r["i"]).alias("a"), (F.get(at, r["j"] - 1) + 1).alias("b")))
+            return _let(gone, lambda g: F.flatten(F.transform(F.sequence(F.lit(0), F.size(g)), lambda k: _between(lines, g, k))))
+
+        return _let(full, kept)
+
+    def _between(lines: Column, gone: Column, k: Column) -> Column:
+        begin = F.when(k == 0, F.lit(0)).otherwise(F.get(gone, k - 1)["b"])
+        end = F.when(k == F.size(gone), F.size(lines)).otherwise(F.get(gone, k)["a"])
+        return F.slice(lines, begin + 1, end - begin)
+
+    return F.array_join(_let(F.split(text, "\n"), cut), "\n")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without later copies of line runs of at least min_words words that occur elsewhere.
 
-    docs: doc_id, text and any other columns. Lines are cut at \\n and compared without whitespace
+    docs: doc_id (integral), text and any other columns. Lines are cut at \\n and compared without whitespace
     around them; lines without words are passed over, and go if they lie within a deleted run. The
     earliest copy by doc_id (nulls last), text hash and line stays. Returns a row per row of docs:
     its columns, with the text that is left, and n_lines (lines with words), n_deleted (of these),
     copy_of (the doc_ids of the copies that stay); columns of these names in docs are replaced.
 
-    Rows that repeat doc_id and text are copies of each other: one stays, and the others lose all
-    lines if they have min_words words. Null and empty texts stay as they are. An empty table gives no rows.
+    Rows that repeat doc_id and text are copies of each other: one stays (see repeated_rows), and the
+    others lose all lines if they have min_words words. Null and empty texts stay as they are. A
+    text of any length is one row's work. An empty table gives no rows.
 
-    Scale: see repeated_runs. Texts are shuffled once, to meet their runs.
+    Scale: see repeated_runs. Only documents with runs, and rows that repeat, are shuffled to meet
+    what is known of them; texts are never sorted. All of it is DataFrame functions.
     """
-    small_batches(docs.sparkSession)
-    told = repeated_runs(docs, min_words).groupBy(*KEY).agg(F.collect_set(F.struct("i", "j")).alias("_runs"), F.array_sort(F.collect_set(F.when(F.col("_d0") < 2**63 - 1, F.col("_d0")))).alias("copy_of"))
-    told = materialize(told, "lines-runs")
-    kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted", "copy_of")]
-    # other columns travel in a struct, so that no name of theirs can clash
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"))
-    rows = document_key(base).join(told, KEY, "left")
-    keys = document_key(docs.select("doc_id", "text")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    if keys.limit(1).count():
-        again = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1))) > 1
-        rows = rows.withColumn("_again", again & F.coalesce(F.regexp_count("text", F.lit(WORD)) >= min_words, F.lit(False)))
-    else:
-        rows = rows.withColumn("_again", F.lit(False))
-    rows = rows.select("text", "_runs", "_again", F.coalesce("copy_of", F.array().cast("array<long>")).alias("copy_of"), "_row")
-
-    def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [_rebuilt(t, r, w) for t, r, w in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True)]
-            texts, lines, gone = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(0).type), pa.array(lines, pa.int32()), pa.array(gone, pa.int32()), b.column(3), b.column(4)], names=["text", "n_lines", "n_deleted", "copy_of", "_row"])
-
-    schema = T.StructType([*T._parse_datatype_string("text string, n_lines int, n_deleted int, copy_of array<bigint>").fields, base.schema["_row"]])
-    done = rows.mapInArrow(rebuild, schema)
-    columns = [F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c in kept or c == "text"]
-    return done.select(*columns, "n_lines", "n_deleted", "copy_of")
+    with scratch(docs.sparkSession) as block:
+        found = _later_copies(docs, min_words).repartition(*KEY)
+        sources = found.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.when(F.col("_d0") < 2**63 - 1, F.col("_d0")))).alias("copy_of"))
+        runs = _united(found.select(*KEY, "i", "j"), KEY).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("_runs"))
+        rows = packed(docs, "text")
+        many = repeated_keys(document_key(docs.select("doc_id", "text")))
+        told = runs.join(sources.hint("merge"), KEY).join(many.withColumn("_many", F.lit(True)).hint("merge"), KEY, "full")
+        told = block.keep(told, "lines-told")
+        many = block.keep(many, "repeated-keys")
+    sieve = Sieve(told)
+    single = sieve.met(rows, "left").filter("_many IS NULL").drop("_many").withColumn("_first", F.lit(True))
+    again = repeated_rows(rows, many).join(told.drop("_many").hint("shuffle_hash"), KEY, "left")
+    n_lines = F.coalesce(F.regexp_count("text", F.lit(FULL_LINE)), F.lit(0)).cast("int")
+    none = F.array().cast("array<bigint>")
+    clean = sieve.out(rows).select("_row", "text", n_lines.alias("n_lines"), F.lit(0).alias("n_deleted"), none.alias("copy_of"))
+    emptied = ~F.col("_first") & F.coalesce(F.regexp_count("text", F.lit(WORD)) >= min_words, F.lit(False))
+    moved = single.unionByName(again.select(single.columns), allowMissingColumns=True).withColumn("n_lines", n_lines).withColumn("_emptied", emptied)
+    gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda a, r: a + r["j"] - r["i"]), F.lit(0))
+    moved = moved.select(
+        "_row",
+        F.when(F.col("_emptied"), F.lit("")).when(F.col("_runs").isNotNull(), _without_runs(F.col("text"), F.col("_runs"))).otherwise(F.col("text")).alias("text"),
+        "n_lines",
+        F.when(F.col("_emptied"), F.col("n_lines")).otherwise(gone).alias("n_deleted"),
+        F.coalesce("copy_of", none).alias("copy_of"),
+    )
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "copy_of")]
+    columns = [F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in kept]
+    return clean.unionByName(moved).select(*columns, "n_lines", "n_deleted", "copy_of")
