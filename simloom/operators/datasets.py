@@ -141,48 +141,54 @@ def goals(rows: DataFrame, policy: str, seed: int = 0) -> DataFrame:
     return rows.withColumn("goal", F.when(hash_uniform(f"{seed}{policy}", F.col("row_idx")) < POLICIES[policy], 2).otherwise(1))
 
 
-def distance_negatives(rows: DataFrame, names: DataFrame, reach: int = 4, pool: int = 16, spare: int = 64, taken: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """A name that no other row has for each row in turn, at its goal distance or the least above it: row_idx, name, neighbor, distance, mode.
-
-    rows: row_idx, name, key, goal; names: name, key; taken: key. Of the names at a distance a hash of
-    the row decides. Rows that find none within reach + 8 get one of the `spare` nearest in length.
-    mode is exact_target, nearest_fallback_radius_N or global_length_fallback. Radii grow one by one,
-    each for the rows that are still without, so far ones are searched for few rows; of two rows that
-    could have a name the one that it is nearer to comes first, then the one that is first in turn.
+def distance_negatives(rows: DataFrame, names: DataFrame, reach: int = 4, most: int = LIMIT, spare: int = 64, taken: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """A name that no other row has for each row in turn: row_idx, name, neighbor, distance, mode.
+
+    rows: row_idx, name, key, goal; names: name, key; taken: key. A row takes the first free name at its
+    goal distance, else below it, nearest first, else above it; a hash orders names of one distance.
+    Rows that find none within reach choose after the others, within reach + 8, and then of the
+    `spare` nearest in length. Rows are offered `most` names at a time, again until nothing is left to
+    give. mode is exact_target, nearest_fallback_radius_N or global_length_fallback.
     """
     firsts = materialize(one_per_key(names), "names")
+    keyed = firsts.select(F.col("name").alias("candidate"), F.col("key").alias("candidate_key"))
     left, used, done = materialize(rows.select("row_idx", "name", "key", "goal"), "rows"), taken, None
+    at = F.greatest("distance", "goal")
+    within = F.when(F.col("distance") == F.col("goal"), F.lit("exact_target")).otherwise(F.concat(F.lit("nearest_fallback_radius_"), at.cast("string")))
 
-    def given(pairs: DataFrame, mode: Column) -> None:
-        nonlocal left, used, done
-        # rows of one name have the same candidates, which are too many to hand to each of them
-        each = left.withColumn("_k", F.row_number().over(Window.partitionBy("name", "goal").orderBy("row_idx")))
-        free = pairs if used is None else pairs.join(used.select(F.col("key").alias("candidate_key")), "candidate_key", "left_anti")
-        order = Window.partitionBy("row_idx").orderBy("_tier", F.col("distance"), "_draw")
-        tier = F.when(F.col("distance") == F.col("goal"), 0).otherwise(1)
-        wishes = each.join(free, "name").filter("candidate_key != key AND distance >= 0").withColumn("_tier", tier).withColumn("_draw", hash_order(seed, F.col("row_idx"), F.col("candidate_key")))
-        wishes = materialize(wishes.withColumn("pref", F.row_number().over(order)), "wishes")
-        got = assign_unique(wishes.select("row_idx", F.col("candidate_key").alias("key"), "pref"))
-        found = got.select("row_idx", F.col("key").alias("candidate_key")).join(wishes.select("row_idx", "name", "candidate_key", "candidate", "distance", "goal"), ["row_idx", "candidate_key"])
-        found = materialize(found.select("row_idx", "name", F.col("candidate").alias("neighbor"), "candidate_key", "distance", mode.alias("mode")), "negatives")
-        done = found if done is None else done.unionByName(found)
-        keys = found.select(F.col("candidate_key").alias("key"))
-        used = keys if used is None else used.select("key").unionByName(keys)
-        left = materialize(left.join(found.select("row_idx"), "row_idx", "left_anti"), "rows")
+    def near() -> DataFrame:
+        return range_join(left.select("name").distinct(), firsts.select("name"), reach).select(F.col("left_name").alias("name"), F.col("right_name").alias("candidate"), "distance")
 
-    keyed = firsts.select(F.col("name").alias("candidate"), F.col("key").alias("candidate_key"))
-    for radius in range(1, reach + 9):
+    def far() -> DataFrame:
+        pairs = join_blocks(firsts.select(F.col("name").alias("candidate")), left.select("name").distinct(), lambda a, b: a.join(b, F.abs(F.length("name") - F.length("candidate")) <= reach + 8))
+        return pairs.withColumn("distance", F.levenshtein("name", "candidate", reach + 8)).filter("distance >= 0")
+
+    def by_length() -> DataFrame:
+        ring = length_ring(left.select("name").distinct(), firsts.select("name"), spare)
+        return ring.select(F.col("target").alias("name"), "candidate", F.levenshtein("target", "candidate").alias("distance"))
+
+    for pairs_of, mode in ((near, within), (far, within), (by_length, F.lit("global_length_fallback"))):
         if not left.limit(1).count():
             break
-        pairs = range_join(left.select("name").distinct(), firsts.select("name"), radius).select(F.col("left_name").alias("name"), F.col("right_name").alias("candidate"), "distance")
-        at = F.when(F.col("distance") == F.col("goal"), F.lit("exact_target")).otherwise(F.lit(f"nearest_fallback_radius_{radius}"))
-        waiting, left = left.filter(F.col("goal") > radius), left.filter(F.col("goal") <= radius)
-        given(pairs.join(keyed, "candidate"), at)
-        left = materialize(left.unionByName(waiting), "rows")
-    if left.limit(1).count():
-        ring = length_ring(left.select("name").distinct(), firsts.select("name"), spare).select(F.col("target").alias("name"), "candidate", F.col("radius").alias("_r"))
-        ring = ring.join(keyed, "candidate").withColumn("distance", F.levenshtein("name", "candidate")).drop("_r")
-        given(ring, F.lit("global_length_fallback"))
+        pairs = materialize(pairs_of().join(keyed, "candidate"), "candidates")
+        while True:
+            free = pairs if used is None else pairs.join(used.select(F.col("key").alias("candidate_key")), "candidate_key", "left_anti")
+            order = Window.partitionBy("name", "goal").orderBy(at, F.abs(F.col("distance") - F.col("goal")), hash_order(seed, F.col("name"), F.col("candidate_key")))
+            offers = left.select("name", "key", "goal").distinct().join(free, "name").filter("candidate_key != key").withColumn("pref", F.row_number().over(order)).filter(F.col("pref") <= most)
+            offers = materialize(offers.drop("key"), "offers")
+            got = assign_unique(left.join(offers, ["name", "goal"]).select("row_idx", F.col("candidate_key").alias("key"), "pref"))
+            found = left.drop("key").join(got.select("row_idx", F.col("key").alias("candidate_key")), "row_idx").join(offers, ["name", "goal", "candidate_key"])
+            found = materialize(found.select("row_idx", "name", F.col("candidate").alias("neighbor"), "candidate_key", "distance", mode.alias("mode")), "negatives")
+            if not found.limit(1).count():
+                break
+            done = found if done is None else done.unionByName(found)
+            keys = found.select(F.col("candidate_key").alias("key"))
+            used = keys if used is None else used.select("key").unionByName(keys)
+            left = materialize(left.join(found.select("row_idx"), "row_idx", "left_anti"), "rows")
+            if not left.limit(1).count():
+                break
+    if done is None:
+        return rows.limit(0).select("row_idx", "name", F.lit("").alias("neighbor"), F.lit(0).alias("distance"), F.lit("").alias("mode"))
     return done.select("row_idx", "name", "neighbor", "distance", "mode")
 
 

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from simloom.storage import materialize
+
+#: Points of a frontier that are broadcast at once.
+FRONTIER_BLOCK = 20_000
+
 
 def rank_within(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -35,24 +44,53 @@ def penalised_top(df: DataFrame, by: list[str], score: str, tie: list[Column], k
     return top.withColumn("penalised", F.col(score) - penalty * (F.col("rank") - 1))
 
 
+def _undominated(x: np.ndarray) -> np.ndarray:
+    """Which rows no other row beats (all columns to be as large as possible). Rows are distinct.
+
+    By falling sums, so that what beats a row comes before it; blocks meet the frontier found so far.
+    """
+    order = np.lexsort((*x.T, x.sum(axis=1)))[::-1]
+    front = x[:0]
+    kept = []
+    for k in range(0, len(order), 256):
+        some = order[k : k + 256]
+        rows = x[some]
+        others = np.concatenate([front, rows])
+        beaten = ((others[:, None] >= rows[None]).all(axis=2) & (others[:, None] > rows[None]).any(axis=2)).any(axis=0)
+        kept.append(some[~beaten])
+        front = np.concatenate([front, rows[~beaten]])
+    return np.concatenate(kept) if kept else order
+
+
 def pareto_frontier(df: DataFrame, most: list[str], least: list[str]) -> DataFrame:
-    """Rows that no other row beats: nowhere worse and somewhere better.
+    """Rows that no other row beats: nowhere worse and somewhere better. Goals are numbers; rows with a null goal take no part.
 
-    Points that are dominated within their hash block go first, by a sort and a sweep of windows over
-    the first objective; the survivors, few, are compared with each other.
+    Of points that agree on all goals but the first only the best are kept. Each task sorts its points
+    and sweeps them for its own frontier; of the survivors, few, each block meets all others.
     """
-    goals = [F.col(c) for c in most] + [-F.col(c) for c in least]
-    rows = df.withColumns({f"_g{k}": g for k, g in enumerate(goals)})
-    points = rows.select(*[f"_g{k}" for k in range(len(goals))]).distinct()
-    better = [F.col(f"o._g{k}") >= F.col(f"p._g{k}") for k in range(len(goals))]
-    strict = [F.col(f"o._g{k}") > F.col(f"p._g{k}") for k in range(len(goals))]
-    every, some = better[0], strict[0]
-    for b, s in zip(better[1:], strict[1:], strict=True):
-        every, some = every & b, some | s
-    # on equal later goals only the best first goal can survive: that leaves few points to compare
-    slim = points.groupBy(*[f"_g{k}" for k in range(1, len(goals))]).agg(F.max("_g0").alias("_g0"))
-    front = slim.alias("p").join(slim.alias("o"), every & some, "left_anti")
+    goals = [F.col(c).cast("double") for c in most] + [-F.col(c).cast("double") for c in least]
     keys = [f"_g{k}" for k in range(len(goals))]
+    rows = df.withColumns(dict(zip(keys, goals, strict=True))).dropna(subset=keys)
+    slim = rows.groupBy(*keys[1:]).agg(F.max("_g0").alias("_g0")).select(*keys)
+
+    def sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        front = None
+        for b in batches:
+            x = np.stack([np.asarray(c) for c in b.columns], axis=1)
+            x = x if front is None else np.concatenate([front, x])
+            front = x[_undominated(x)]
+        if front is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in front.T], names=keys)
+
+    local = materialize(slim.mapInArrow(sweep, ", ".join(f"{k} double" for k in keys)), "frontier")
+    front = local
+    parts = max(1, -(-local.count() // FRONTIER_BLOCK))
+    for n in range(parts):
+        some = F.broadcast(local.filter(F.pmod(F.xxhash64(*keys), F.lit(parts)) == n).toDF(*[f"_o{k}" for k in range(len(keys))]))
+        every, better = F.lit(True), F.lit(False)
+        for k, c in enumerate(keys):
+            every, better = every & (F.col(f"_o{k}") >= F.col(c)), better | (F.col(f"_o{k}") > F.col(c))
+        front = front.join(some, every & better, "left_anti")
     return rows.join(front.select(*keys), keys, "left_semi").select(*df.columns)
 
 

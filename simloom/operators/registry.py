@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.operators.ranking import last_per_key
-from simloom.storage import materialize
+from simloom.storage import materialize, recover, swap_in
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -18,14 +18,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
 
 
 def write_upserted(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str) -> None:
-    """Upsert into a Parquet table: the result is written beside it, then takes its place."""
+    """Upsert into a Parquet table: the result is written beside it, then takes its place by renames (see swap_in)."""
+    recover(spark, path)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    target, staged = fs_path(path), fs_path(path.rstrip("/") + ".next")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    result = upsert(spark.read.parquet(path), new, keys, order) if fs.exists(target) else last_per_key(new, keys, [F.col(order)])
-    result.write.mode("overwrite").parquet(staged.toString())
-    fs.delete(target, True)
-    fs.rename(staged, target)
+    target, staged = fs_path(path), path.rstrip("/") + ".next"
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    result = upsert(spark.read.parquet(path), new, keys, order) if there else last_per_key(new, keys, [F.col(order)])
+    result.write.mode("overwrite").parquet(staged)
+    swap_in(spark, staged, path)
 
 
 def scored_with_memo(requests: DataFrame, memo: DataFrame, keys: list[str], scorer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, dict[str, int]]:

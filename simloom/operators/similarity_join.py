@@ -15,6 +15,8 @@ from simloom.storage import join_small, materialize
 DELETION_LENGTH = 24
 #: Rows of a block that is broadcast where every row must meet every other side's row.
 BLOCK_ROWS = 5_000
+#: Rules that are looked for one by one.
+FEW_RULES = 64
 
 
 def deletions(x: Column, radius: int) -> Column:
@@ -81,11 +83,20 @@ def nearest_names(targets: DataFrame, names: DataFrame, k: int, window: int = 5,
     cutoff come first, then up to the fallback; of a key one name counts, and never the target's own.
     """
     first = names.groupBy("key").agg(F.min("name").alias("name"))
-    radius = max(cutoff, fallback)
-    pairs = range_join(targets.select("name").distinct(), first, radius).filter(F.abs(F.length("left_name") - F.length("right_name")) <= window)
     keys = first.select(F.col("name").alias("right_name"), "key")
     own = names.select(F.col("name").alias("left_name"), F.col("key").alias("own_key")).distinct()
-    pairs = join_small(join_small(pairs, keys, "right_name"), own, "left_name", "left").filter("own_key IS NULL OR key != own_key")
+
+    def within(some: DataFrame, radius: int) -> DataFrame:
+        pairs = range_join(some, first, radius).filter(F.abs(F.length("left_name") - F.length("right_name")) <= window)
+        return materialize(join_small(join_small(pairs, keys, "right_name"), own, "left_name", "left").filter("own_key IS NULL OR key != own_key"), "near")
+
+    asked = targets.select("name").distinct()
+    pairs = within(asked, cutoff)
+    if fallback > cutoff:  # the wide search is for those that the narrow one leaves short
+        served = pairs.groupBy(F.col("left_name").alias("name")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
+        short = materialize(asked.join(served, "name", "left_anti"), "short")
+        if short.limit(1).count():
+            pairs = pairs.join(served.select(F.col("name").alias("left_name")), "left_name", "left_semi").unionByName(within(short, fallback))
     order = Window.partitionBy("left_name").orderBy(F.col("distance") > cutoff, "distance", "right_name")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("left_name").alias("target"), F.col("right_name").alias("neighbor"), "distance", (F.length("right_name") - F.length("left_name")).alias("length_delta"), "rank")
@@ -145,17 +156,24 @@ def length_ring(targets: DataFrame, names: DataFrame, count: int, reach: int = 4
 def contains_join(rules: DataFrame, names: DataFrame, most: int | None = None, scan_order: bool = True, seed: int = 0) -> DataFrame:
     """Every occurrence of each rule's source in each name: source, name, start.
 
-    rules: source; names: name, row_idx. Names are cut in n-grams of the lengths that rules have, and
-    met by equality. With most, that many examples of a rule: the first in scan order, or a hash sample.
+    rules: source; names: name, row_idx. Few rules are looked for one by one in each name. More of them
+    are met by equality with the name's n-grams of the lengths that rules have. With most, that many
+    examples of a rule: the first in scan order, or a hash sample.
     """
-    widths = [r[0] for r in rules.select(F.length("source")).distinct().filter("length(source) > 0").collect()]
+    sources = rules.select("source").distinct().filter("length(source) > 0")
+    few = [r[0] for r in sources.limit(FEW_RULES + 1).collect()]
     none = F.array().cast("array<string>")
+    if len(few) <= FEW_RULES:
+        held = F.filter(F.array(none, F.array(*[F.lit(w) for w in few]).cast("array<string>"))[1], lambda w: F.contains(F.col("name"), w))
+        met = names.select("name", "row_idx", F.explode(held).alias("source"))
+    else:
+        widths = [r[0] for r in sources.select(F.length("source")).distinct().collect()]
 
-    def cut(w: int) -> Column:
-        return F.when(F.length("name") >= w, F.transform(F.sequence(F.lit(1), F.length("name") - w + 1), lambda i: F.substring(F.col("name"), i, F.lit(w)))).otherwise(none)
+        def cut(w: int) -> Column:
+            return F.when(F.length("name") >= w, F.transform(F.sequence(F.lit(1), F.length("name") - w + 1), lambda i: F.substring(F.col("name"), i, F.lit(w)))).otherwise(none)
 
-    grams = F.flatten(F.array(none, *[cut(w) for w in widths]))
-    met = names.select("name", "row_idx", F.explode(F.array_distinct(grams)).alias("source")).join(rules.select("source").distinct(), "source")
+        grams = F.flatten(F.array(none, *[cut(w) for w in widths]))
+        met = names.select("name", "row_idx", F.explode(F.array_distinct(grams)).alias("source")).join(sources, "source")
     out = met.withColumn("start", F.explode(find_starts(F.col("name"), F.col("source"))))
     if most is None:
         return out.select("source", "name", "row_idx", "start")
@@ -197,16 +215,22 @@ def nearest_prototype(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
 def similar_to_sources(sources: DataFrame, candidates: DataFrame, least: float, margin: float = 0.0) -> DataFrame:
     """Candidates (id, vector) that are near a source (source, vector) and not as near to any other.
 
-    Every candidate meets every source, in blocks of sources. Returns source, id, similarity, other, other_similarity, margin.
+    Every candidate meets every source, in blocks of sources, of which it keeps the two nearest and
+    those that are near enough; only these are grouped. Returns source, id, similarity, other,
+    other_similarity, margin.
     """
-    scored = join_blocks(candidates, sources.select("source", F.col("vector").alias("_v")), lambda c, s: c.join(s)).select("id", "source", F.round(cosine(F.col("vector"), F.col("_v")), 9).alias("similarity"))
-    per = scored.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("n"), "source"))).alias("_all"))
-    first, second = F.col("_all")[0], F.try_element_at("_all", F.lit(2))
-    rows = per.select("id", F.explode("_all").alias("s"), first.alias("f"), second.alias("g"))
+    near = lambda v, s: F.struct((-F.round(cosine(v, s["v"]), 9)).alias("n"), s["source"].alias("source"))
+    block = sources.select(F.struct("source", F.col("vector").alias("v")).alias("s"), F.pmod(F.xxhash64("source"), F.lit(max(1, -(-sources.count() // BLOCK_ROWS)))).alias("_b"))
+    block = block.groupBy("_b").agg(F.collect_list("s").alias("_s")).drop("_b")
+    per = join_blocks(candidates.select("id", "vector"), block, lambda c, s: c.join(s), block=1).select("id", F.array_sort(F.transform("_s", lambda s: near(F.col("vector"), s))).alias("_all"))
+    per = per.select("id", F.filter("_all", lambda s, i: (i < 2) | (s["n"] <= -least)).alias("_all"))
+    per = per.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("_all"))).alias("_all"))
+    first, second = F.get("_all", F.lit(0)), F.get("_all", F.lit(1))
+    rows = per.select("id", F.explode("_all").alias("s"), first.alias("f"), second.alias("g")).filter(F.col("s.n") <= -least)
     other = F.when(F.col("s.source") == F.col("f.source"), F.col("g")).otherwise(F.col("f"))
     rows = rows.select(F.col("s.source").alias("source"), "id", (-F.col("s.n")).alias("similarity"), other["source"].alias("other"), (-other["n"]).alias("other_similarity"))
     rows = rows.withColumn("margin", F.round(F.col("similarity") - F.coalesce("other_similarity", F.lit(0.0)), 9))
-    return rows.filter((F.col("similarity") >= least) & (F.col("margin") >= margin))
+    return rows.filter(F.col("margin") >= margin)
 
 
 def nearest_by_features(rows: DataFrame, candidates: DataFrame, features: list[str], weight: float = 0.15, best: int = 8, seed: int = 0) -> DataFrame:

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from simloom.functions import distance as D
 from simloom.functions import text as X
-from simloom.operators import assignment, checks, forest, metrics, ranking, registry, sampling, scoring
+from simloom.operators import assignment, checks, datasets, forest, metrics, ranking, registry, sampling, scoring
+from simloom.operators import generators, similarity_join
 from simloom.operators import similarity_join as J
+from simloom.plans import text_queries
 from simloom.plans.inputs import PAIRS_SQL, SCORED_SQL, TOKENS_SQL, pairs, part_names, scored, spoof, tokens
 from simloom.plans.registry import query
-from simloom.storage import table
+from simloom.storage import materialize, new_path, table
 from simloom.streaming import registry as streams
 
-_HASH = "sha256({})"
+#: functions.text.hash_uniform of what is hashed.
+_UNIFORM = "((('0x' || substr(sha256({}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT a.name AS target, b.name AS neighbor, levenshtein(a.name, b.name) AS distance FROM n a, n b
@@ -41,7 +44,13 @@ def range_join_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.range_join(names, names, 4).filter("left_name < right_name").select("left_name", "right_name", F.col("distance").cast("long").alias("distance"))
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT a.name AS l, b.name AS r, levenshtein(a.name, b.name) AS d FROM n a, n b WHERE a.name <> b.name),
+    t AS (SELECT *, CASE WHEN d <= 2 THEN 2 ELSE d END AS tier FROM p WHERE d <= 6), m AS (SELECT *, min(tier) OVER (PARTITION BY l) AS least, bool_or(d = 2) OVER (PARTITION BY l) AS exact FROM t),
+    k AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY abs(d - 2), d, abs(length(l) - length(r)), r) AS i FROM m WHERE tier = least AND (d = 2 OR NOT exact)),
+    h AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY sha256('0|' || l || '|' || r)) AS j FROM k WHERE i <= 16),
+    f AS (SELECT l, r, d, row_number() OVER (PARTITION BY l ORDER BY abs(length(r) - length(l)), r) AS j FROM p WHERE l NOT IN (SELECT l FROM t))
+    SELECT l AS target, r AS neighbor, CAST(d AS BIGINT) AS distance, CASE WHEN exact THEN 'exact_target' ELSE 'nearest_available' END AS mode FROM h WHERE j = 1
+    UNION ALL SELECT l, r, CAST(d AS BIGINT), 'global_length_fallback' FROM f WHERE j = 1""")
 def pick_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = part_names(spark, sf_dir)
     return J.pick_at_distance(names, names, goal=2, reach=6).select("target", "neighbor", F.col("distance").cast("long").alias("distance"), "mode")
@@ -57,11 +66,11 @@ def length_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TOKENS_SQL}, r AS (SELECT unnest(['m', 'w', 'th', 'ing']) AS source), o AS (SELECT source, name, unnest(list_filter(range(0, length(name)), lambda i: substr(name, i + 1, length(source)) = source)) AS start FROM tokens, r)
-    SELECT source, count(*) AS occurrences, count(DISTINCT name) AS names, CAST(sum(start) AS BIGINT) AS total FROM o GROUP BY source""")
+    SELECT source, name, CAST(start AS BIGINT) AS start FROM o""")
 def contains_rule_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([("m",), ("w",), ("th",), ("ing",)], "source string")
     found = J.contains_join(rules, tokens(spark, sf_dir).withColumn("row_idx", F.lit(0)))
-    return found.groupBy("source").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("name").alias("names"), F.sum("start").alias("total"))
+    return found.select("source", "name", F.col("start").cast("long").alias("start"))
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 9) AS similarity FROM e q, e v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
@@ -103,9 +112,9 @@ def feature_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.nearest_by_features(rows, cands, ["f"]).select("id", "candidate", F.round("objective", 6).alias("objective"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def forbidden_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    used = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return registry.unfinished(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), used, ["c_custkey"])
 
 
@@ -325,12 +334,12 @@ def replace_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.replaced(rows, new, F.col("c_mktsegment") == "BUILDING").select(F.col("row_idx").alias("c_custkey"), "fraudulent_name")
 
 
-@query("""WITH d AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'keep' ELSE 'discard' END AS decision, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE WHEN event_type = 'purchase' THEN 'keep' ELSE 'discard' END DESC) AS k FROM events WHERE event_id % 3 = 0),
+@query("""WITH d AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'keep' ELSE 'discard' END AS decision, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE WHEN event_type = 'purchase' THEN 'keep' ELSE 'discard' END DESC) AS k FROM events),
     c AS (SELECT c.c_custkey, c.c_mktsegment, c.c_acctbal, coalesce(d.decision, 'open') AS s FROM customer c LEFT JOIN d ON d.user_id = c.c_custkey AND d.k = 1)
     SELECT c_custkey, CASE WHEN s <> 'open' THEN s WHEN c_mktsegment = 'BUILDING' THEN CASE WHEN c_acctbal >= 5000 THEN 'keep' ELSE 'discard' END ELSE 'open' END AS review_state FROM c""")
 def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("source"), F.col("c_acctbal").alias("score"))
-    told = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select(F.col("user_id").alias("c_custkey"), F.when(F.col("event_type") == "purchase", "keep").otherwise("discard").alias("decision"), F.col("ts").alias("at"))
+    told = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), F.when(F.col("event_type") == "purchase", "keep").otherwise("discard").alias("decision"), F.col("ts").alias("at"))
     thresholds = spark.createDataFrame([("BUILDING", 5000.0)], "source string, keep_threshold double")
     return registry.auto_labelled(registry.reviewed(rules, told, ["c_custkey"]), "source", thresholds).select("c_custkey", "review_state")
 
@@ -376,13 +385,15 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.distinct_in_order(table(spark, sf_dir, "part").select("p_name", "p_partkey"), "p_name", "p_partkey")
 
 
-@query()
+@query(f"""WITH r AS (SELECT c_nationkey, c_custkey, c_acctbal / 1000 AS score, {_UNIFORM.format("'13|' || c_nationkey || '|' || c_custkey")} AS u FROM customer),
+    k AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY score / 2.0 - ln(-ln(u)) DESC) AS n FROM r) SELECT c_nationkey, c_custkey, round(score, 9) AS score FROM k WHERE n = 1""")
 def softmax_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", (F.col("c_acctbal") / 1000).alias("score"))
-    return sampling.softmax_choice(rows, ["c_nationkey"], "c_custkey", "score", 2.0, 13)
+    return sampling.softmax_choice(rows, ["c_nationkey"], "c_custkey", "score", 2.0, 13).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(f"""WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer), d AS (SELECT i AS draw, floor({_UNIFORM.format("'17|' || i")} * (SELECT count(*) FROM customer)) AS n FROM range(500) t(i))
+    SELECT draw, c_custkey FROM d JOIN c USING (n)""")
 def sample_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_with_replacement(table(spark, sf_dir, "customer").select("c_custkey"), 500, 17, "c_custkey")
 
@@ -390,7 +401,11 @@ def sample_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Assignment and checks
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n, ['k' || c_custkey * 7 % 701, 'k' || c_custkey * 11 % 701, 'k' || c_custkey * 13 % 701] AS w FROM customer),
+    g AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS used, NULL::BIGINT AS row_idx, NULL::VARCHAR AS key, NULL::INTEGER AS pref
+    UNION ALL SELECT c.n, CASE WHEN x.p > 0 THEN list_append(g.used, c.w[x.p]) ELSE g.used END, c.c_custkey, CASE WHEN x.p > 0 THEN c.w[x.p] END, CASE WHEN x.p > 0 THEN x.p - 1 END::INTEGER
+        FROM g JOIN c ON c.n = g.n + 1, LATERAL (SELECT coalesce(list_position(list_transform(c.w, lambda k: NOT list_contains(g.used, k)), true), 0)::INTEGER AS p) x)
+    SELECT row_idx, key, pref FROM g WHERE key IS NOT NULL""")
 def greedy_unique_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in turn take the first free of three part keys."""
     wishes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_idx"), F.posexplode(F.array(*[F.concat(F.lit("k"), (F.col("c_custkey") * m % 701).cast("string")) for m in (7, 11, 13)])).alias("pref", "key"))
@@ -402,6 +417,7 @@ def matched_negative_alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("real_name"), F.col("fraudulent_name")
     ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
     rows = pairs(spark, sf_dir).withColumn("m", X.match_bin(D.levenshtein_similarity(a, b), ratio)).select(F.col("real_name").alias("id"), "label", F.col("m.similarity").alias("b1"), F.col("m.length").alias("b2"))
+    rows = materialize(rows, "bins")
     split = F.when(F.pmod(F.xxhash64("id"), F.lit(10)) == 0, "test").otherwise("train")
     told = assignment.matched_negatives(rows.filter("label = 0").drop("label"), rows.filter("label = 1").withColumn("split", split))
     return told.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_distinct"))
@@ -425,6 +441,92 @@ def rf_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.held_out_scores(rows, "id", share=0.1, trees=400).select("real_name", "fraudulent_name", "label", F.round("score", 6).alias("score"))
 
 
+_NAMED = """n AS (SELECT name, lower(name) AS key, min(row_idx) AS row_idx FROM (SELECT p_name AS name, p_partkey AS row_idx FROM part UNION ALL SELECT p_type || ' ' || p_brand, p_partkey + 1000000 FROM part) GROUP BY name)"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    both = part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("row_idx")).unionByName(part.select(F.concat_ws(" ", "p_type", "p_brand").alias("name"), (F.col("p_partkey") + 1000000).alias("row_idx")))
+    return both.groupBy("name").agg(F.min("row_idx").alias("row_idx")).withColumn("key", F.lower("name"))
+
+
+@query(f"""WITH {_NAMED}, f AS (SELECT key, min(name) AS name FROM n WHERE name <> '' AND NOT contains(lower(name), '.com') GROUP BY key),
+    a AS (SELECT name, key, row_idx, CASE WHEN {_UNIFORM.format("'0neg_mix12|' || row_idx")} < 0.65 THEN 2 ELSE 1 END AS goal FROM n),
+    p AS (SELECT a.row_idx, a.name, a.goal, f.name AS r, f.key <> a.key AS other, levenshtein(a.name, f.name) AS d, abs(length(a.name) - length(f.name)) AS w FROM a, f),
+    s AS (SELECT *, CASE WHEN d <= 4 AND w <= 5 THEN 1 WHEN d <= 6 AND w <= 8 THEN 2 WHEN d <= 10 AND w <= 12 THEN 3 WHEN d <= 64 AND w <= 64 THEN 4 END AS step FROM p),
+    m AS (SELECT *, min(step) OVER (PARTITION BY row_idx) AS least FROM s WHERE step IS NOT NULL AND other),
+    u AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY d, length(r), r) AS i FROM m WHERE step = least),
+    e AS (SELECT *, bool_or(d = goal) OVER (PARTITION BY row_idx) AS exact FROM u WHERE i <= 64),
+    k AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY CASE WHEN exact THEN i ELSE 0 END, abs(d - goal), d, r) - 1 AS j FROM e WHERE d = goal OR NOT exact),
+    c AS (SELECT *, least(32, count(*) OVER (PARTITION BY row_idx)) AS size FROM k)
+    SELECT row_idx, name, r AS neighbor, CAST(d AS BIGINT) AS distance, CASE WHEN exact THEN 'exact_target' ELSE 'nearest_available' END AS mode FROM c WHERE j = CAST(floor({_UNIFORM.format("'0|' || row_idx")} * size) AS BIGINT)""")
+def expanding_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _named(spark, sf_dir)
+    made = datasets.expanding_negatives(datasets.goals(names, "neg_mix12"), names)
+    return made.select("row_idx", "name", "neighbor", F.col("distance").cast("long").alias("distance"), "mode")
+
+
+@query()
+def distance_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives under three policies of distances, compared; tested against brute force."""
+    names = _named(spark, sf_dir)
+    return datasets.distance_trials(names, names).select("policy", F.col("distance").cast("long").alias("distance"), "mode", "n")
+
+
+@query()
+def positives_to_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many positives as there are names, by visits over a cycling pool; tested against brute force."""
+    names = _named(spark, sf_dir)
+    pool = metrics.running_totals(names.withColumn("_one", F.lit(1)), "name", ["_one"]).select("name", "key", (F.col("cum__one") - 1).alias("place"))
+    every = [generators.edit_variants(generators.candidate_edits(names.select("name"), text_queries.rule_table(spark)), preferred=p).withColumn("preferred", F.lit(p)) for p in (1, 2)]
+    variants = every[0].unionByName(every[1]).select("name", "preferred", "rank", "generated", F.lower("generated").alias("key"))
+    made = datasets.positives_to_count(pool, variants, names.count())
+    return made.select("row_idx", "name", F.col("preferred").cast("long").alias("preferred"), "generated")
+
+
+@query()
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest free neighbor of each name, else one like a positive in its features; tested against brute force."""
+    names = _named(spark, sf_dir)
+    near = similarity_join.nearest_names(names, names, k=2).select(F.col("target").alias("name"), "neighbor", F.lower("neighbor").alias("neighbor_key"), "rank")
+
+    def featured(pairs: DataFrame) -> DataFrame:
+        a, b = F.col("name"), F.col("candidate")
+        return pairs.withColumn("positionwise", D.positionwise(a, b)).withColumn("shared", D.shared_characters(a, b)).withColumn("distance", F.levenshtein(a, b).cast("double"))
+
+    positives = featured(names.select("name", spoof(F.col("name")).alias("candidate"), F.col("row_idx").alias("id")))
+    return datasets.hard_negatives(names, near, names, positives, ["positionwise", "shared"], featured).select("row_idx", "name", "neighbor", "mode")
+
+
+@query("""WITH r AS (SELECT substr(p_name, 1, 1) AS s, substr(p_type, 2, 1) AS t, p_retailprice / 1000 AS v, p_size AS c, CASE WHEN p_size % 3 = 0 THEN p_size / 10.0 END::DOUBLE AS q, 'ranked' AS source, 1 AS place, CASE WHEN p_size % 7 = 0 THEN 'discard' ELSE 'keep' END AS label FROM part
+    UNION ALL SELECT lower(substr(p_type, 1, 1)), substr(p_brand, 7, 1), NULL, NULL, NULL, 'manual_user', 0, 'keep' FROM part),
+    k AS (SELECT *, v IS NULL AS no_v, coalesce(v, 0) * 10 + least(coalesce(c, 0), 10) + CASE WHEN q IS NOT NULL THEN q * 20 WHEN starts_with(source, 'manual_user') THEN 35 ELSE 0 END AS score FROM r WHERE label = 'keep' AND length(s) = 1 AND length(t) = 1 AND s <> t AND NOT (s = 'a' AND t = 'T')),
+    b AS (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY score DESC, place) AS n FROM k)
+    SELECT s AS source_character, t AS replacement_character, source, printf('U+%04X', unicode(t)) AS replacement_codepoint, round(score, 6) AS generation_score FROM b WHERE n = 1 AND score >= 15""")
+def combined_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    manual = part.select(F.lower(F.substring("p_type", 1, 1)).alias("source_character"), F.substring("p_brand", 7, 1).alias("replacement_character"))
+    ranked = part.select(
+        F.substring("p_name", 1, 1).alias("real_span"), F.substring("p_type", 2, 1).alias("candidate_span"), (F.col("p_retailprice") / 1000).alias("visual_similarity_score"), F.col("p_size").alias("ocr_attack_contexts"),
+        F.when(F.col("p_size") % 3 == 0, F.col("p_size") / 10).alias("legit_q25"), F.when(F.col("p_size") % 7 == 0, "discard").otherwise("keep").alias("review_label"),
+    )
+    removed = spark.createDataFrame([("a", "T")], "source_character string, replacement_character string")
+    rules = datasets.combined_rules([(manual, "manual_user"), (ranked, "ranked")], removed, 15.0)
+    return rules.select("source_character", "replacement_character", "source", "replacement_codepoint", F.round("generation_score", 6).alias("generation_score"))
+
+
+@query("""WITH r AS (SELECT substr(p_name, 1, 1) AS s, CASE WHEN p_size % 2 = 0 THEN p_brand END AS t, p_size AS k, p_retailprice AS v FROM part)
+    SELECT s AS source_character, t AS replacement_character FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k, v DESC, t) AS n FROM r WHERE t IS NOT NULL) WHERE n = 1""")
+def first_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = table(spark, sf_dir, "part").select(F.substring("p_name", 1, 1).alias("source_character"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("replacement_character"), F.col("p_size").alias("source_rank"), F.col("p_retailprice").alias("visual_similarity_score"))
+    return datasets.first_replacements(rules)
+
+
+@query("SELECT o_orderkey, CASE WHEN try_cast(trim(substr(o_orderpriority, 1, 1)) AS DOUBLE) IN (0, 1) THEN try_cast(trim(substr(o_orderpriority, 1, 1)) AS DOUBLE) END AS label FROM orders")
+def binary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.binary_label(F.substring("o_orderpriority", 1, 1)).alias("label"))
+
+
 # Streaming extension
 
 
@@ -434,10 +536,10 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     counted = streams.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour")
-    name = f"windowed_{abs(hash(sf_dir)) % 10**8}"
-    q = counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    path = new_path(spark, "windowed")
+    q = counted.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/counts")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return spark.read.parquet(f"{path}/counts").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""SELECT p_partkey, CASE WHEN length(p_name) = 0 THEN -1.0 ELSE 5.0 * len(list_filter(range(1, length(p_name) + 1), lambda i: substr(p_name, i, 1) = substr(reverse(p_name), i, 1))) / length(p_name) - 1 END::DOUBLE AS score FROM part""")

@@ -69,20 +69,25 @@ def find_starts_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", F.array_join(F.col("x").cast("array<string>"), ",").alias("starts"))
 
 
-@query(f"""WITH {TOKENS_SQL} SELECT name, CAST((length(name) - length(replace(name, 'nn', ''))) // 2 AS BIGINT) AS n_apart FROM tokens WHERE contains(name, 'nn')""")
+@query(f"""WITH {TOKENS_SQL}, p AS (SELECT name, string_split(name, 'nn') AS parts FROM tokens WHERE contains(name, 'nn'))
+    SELECT name, array_to_string(list_transform(range(1, len(parts)), lambda k: CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + 2 * (k - 1) AS BIGINT)), ',') AS starts FROM p""")
 def find_starts_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens(spark, sf_dir).filter(F.contains("name", F.lit("nn")))
-    return found.select("name", F.size(X.find_starts_apart(F.col("name"), F.lit("nn"))).cast("long").alias("n_apart"))
+    return found.select("name", F.array_join(X.find_starts_apart(F.col("name"), F.lit("nn")).cast("array<string>"), ",").alias("starts"))
 
 
-@query(f"""WITH {TOKENS_SQL}, p AS (SELECT name, strpos(name, 'm') AS i FROM tokens WHERE contains(name, 'm'))
-    SELECT name, substr(name, 1, i - 1) || 'rn' || substr(name, i + 1) AS generated, CAST(i - 1 AS BIGINT) AS position, name AS before,
-    substr(name, 1, i - 1) || 'rn' || substr(name, i + 1) AS after FROM p""")
+@query(f"""WITH {TOKENS_SQL}, p AS (SELECT name, strpos(name, 'm') AS m, strpos(name, 'o') AS o, contains(name, 'mo') AND strpos(name, 'mo') = strpos(name, 'm') AS meet FROM tokens WHERE contains(name, 'm') AND contains(name, 'o')),
+    a AS (SELECT name, m, o, meet, CASE WHEN m < o THEN substr(name, 1, m - 1) || 'rn' || substr(name, m + 1) ELSE substr(name, 1, o - 1) || '0' || substr(name, o + 1) END AS one,
+        CASE WHEN m < o THEN substr(name, 1, m - 1) || 'rn' || substr(name, m + 1, o - m - 1) || '0' || substr(name, o + 1) ELSE substr(name, 1, o - 1) || '0' || substr(name, o + 1, m - o - 1) || 'rn' || substr(name, m + 1) END AS two FROM p)
+    SELECT name, CASE WHEN NOT meet THEN two END AS generated, CASE WHEN NOT meet THEN (least(m, o) - 1) || ',' || (greatest(m, o) - 1) END AS positions, CASE WHEN NOT meet THEN name || ',' || one END AS before, CASE WHEN NOT meet THEN one || ',' || two END AS after FROM a""")
 def edit_apply_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edit = F.expr(f"array(named_struct('priority', 1, 'negscore', -1.0D, 'position', instr(name, 'm') - 1, 'replacement', 'rn', 'family', 'multichar_forward', 'source', 'm', 'score', 1.0D, 'operation', 'm_to_rn'))").cast(f"array<{X.EDIT}>")
-    done = tokens(spark, sf_dir).filter(F.contains("name", F.lit("m"))).withColumn("r", X.apply_edits(F.col("name"), edit))
-    o = F.col("r.operations")[0]
-    return done.select("name", F.col("r.generated").alias("generated"), o["position"].cast("long").alias("position"), o["before"].alias("before"), o["after"].alias("after"))
+    """Two edits, given from right to left or otherwise; where m and o touch, a third one overlaps them and nothing is made."""
+    one = "named_struct('priority', 1, 'negscore', -1.0D, 'position', instr(name, '{0}') - 1, 'replacement', '{1}', 'family', 'f', 'source', '{0}', 'score', 1.0D, 'operation', '{0}_to_{1}')"
+    both = f"array({one.format('o', '0')}, {one.format('m', 'rn')})"
+    edits = F.expr(f"if(instr(name, 'mo') > 0 AND instr(name, 'mo') = instr(name, 'm'), concat({both}, array({one.format('mo', 'nno')})), {both})").cast(f"array<{X.EDIT}>")
+    done = tokens(spark, sf_dir).filter(F.contains("name", F.lit("m")) & F.contains("name", F.lit("o"))).withColumn("r", X.apply_edits(F.col("name"), edits))
+    joined = lambda c: F.array_join(F.transform("r.operations", lambda o: o[c].cast("string")), ",")
+    return done.select("name", F.col("r.generated").alias("generated"), joined("position").alias("positions"), joined("before").alias("before"), joined("after").alias("after"))
 
 
 _LEV = "greatest(0.0, 1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}), 1)::DOUBLE)"
@@ -159,17 +164,20 @@ def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(exact, 6).alias("exact_score"), F.round(ocr, 6).alias("ocr_score"), X.difficulty_bucket(g).alias("bucket"))
 
 
-@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
+@query("""WITH e AS (SELECT event_id, event_type, user_id % 3 AS m, ['x' || user_id % 3, '', event_type] AS a, CASE WHEN user_id % 3 > 0 THEN ['y', event_type] END AS b FROM events)
+    SELECT event_id, array_to_string(list_filter(list_concat(a, coalesce(b, [])), lambda v: v <> '' AND v <> event_type), ',') AS outputs FROM e""")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint").alias("p")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("total"))
+    """The candidate outputs of a JSON map of models, in the order of the map, less empty ones and the source itself."""
+    of = lambda *v: F.struct(F.array(*v).alias("candidate_outputs"))
+    a, b = of(F.concat(F.lit("x"), F.col("user_id") % 3), F.lit(""), F.col("event_type")), of(F.lit("y"), F.col("event_type"))
+    models = F.to_json(F.when(F.col("user_id") % 3 > 0, F.create_map(F.lit("a"), a, F.lit("b"), b)).otherwise(F.create_map(F.lit("a"), a)))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(X.candidate_outputs(models, F.col("event_type")), ",").alias("outputs"))
 
 
-@query("SELECT nation.n_name, sha256(nation.n_name || '|' || n_regionkey) AS key, substr(sha256(nation.n_name || '|' || n_regionkey), 1, 2) AS low_byte FROM nation")
+@query("""WITH h AS (SELECT n_name, sha256(n_name || '|' || n_regionkey) AS h FROM nation), b AS (SELECT n_name, list_reduce(list_transform(range(8, 0, -1), lambda k: substr(h, 2 * k - 1, 2)), lambda x, y: x || y) AS low_first FROM h)
+    SELECT n_name, CAST(('0x' || low_first)::UBIGINT % 4294967295 AS BIGINT) AS seed FROM b""")
 def stable_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seed = X.stable_seed(F.col("n_name"), F.col("n_regionkey"))
-    key = F.sha2(F.concat_ws("|", "n_name", "n_regionkey"), 256)
-    checked = table(spark, sf_dir, "nation").withColumn("seed", seed).filter("seed >= 0 AND seed < 4294967295")
-    return checked.select("n_name", key.alias("key"), F.substring(key, 1, 2).alias("low_byte"))
+    return table(spark, sf_dir, "nation").select("n_name", X.stable_seed(F.col("n_name"), F.col("n_regionkey")).alias("seed"))
 
 
 @query(f"""WITH {TOKENS_SQL}, i AS (SELECT name, unnest(range(2, length(name) - 1)) AS i FROM tokens WHERE length(name) >= 8)
@@ -242,13 +250,24 @@ def generate_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row_idx", "name", "generated", F.to_json("operations").alias("operations_json"), F.col("phase").cast("long").alias("phase"))
 
 
-@query()
+_RULES_SQL = "rules AS (SELECT unnest(['m', 'w', 'o', 'l', 'e', 'i']) AS source, unnest(['rn', 'vv', '0', '1', '3', 'і']) AS replacement)"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), {_RULES_SQL},
+    o AS (SELECT name, source, replacement, unnest(list_filter(range(0, length(name)), lambda i: substr(name, i + 1, 1) = source)) AS start FROM n, rules),
+    g AS (SELECT *, substr(name, 1, start) || replacement || substr(name, start + 2) AS generated FROM o),
+    s AS (SELECT *, {_LEV.format('name', "replace(generated, 'і', '~')")} AS similarity, sha256('0|' || name || '|' || generated) AS h, row_number() OVER (PARTITION BY name, generated ORDER BY start, source) AS k FROM g),
+    r AS (SELECT *, CASE WHEN generated = name THEN 'same' WHEN similarity < 0.55 THEN 'low_similarity' WHEN k > 1 THEN 'duplicate' END AS reason FROM s),
+    t AS (SELECT reason, similarity FROM (SELECT reason, similarity FROM r WHERE reason IS NULL ORDER BY h LIMIT 50) UNION ALL SELECT reason, similarity FROM r WHERE reason IS NOT NULL)
+    SELECT reason, count(*) AS n, round(avg(similarity), 6) AS similarity FROM t GROUP BY reason""")
 def retry_until_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _names(spark, sf_dir)
     return G.retried(names, rule_table(spark), 50).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("similarity"), 6).alias("similarity"))
 
 
-@query()
+@query(f"""WITH {TOKENS_SQL}, c AS (SELECT name, unnest(range(0, length(name))) AS i FROM tokens), k AS (SELECT name, i, substr(name, i + 1, 1) AS c, row_number() OVER (PARTITION BY name ORDER BY sha256('7|' || name || '|' || i)) AS n FROM c WHERE substr(name, i + 1, 1) IN ('o', 'l', 'e')),
+    g AS (SELECT c.name, string_agg(CASE WHEN k.n <= 2 THEN translate(k.c, 'ole', '013') ELSE substr(c.name, c.i + 1, 1) END, '' ORDER BY c.i) AS generated FROM c LEFT JOIN k ON k.name = c.name AND k.i = c.i GROUP BY c.name)
+    SELECT name, generated, CAST(levenshtein(name, generated) AS BIGINT) AS distance FROM g WHERE generated <> name""")
 def random_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tokens(spark, sf_dir).withColumn("id", F.col("name"))
     made = sampling.substituted_at_random(rows, {"o": "0", "l": "1", "e": "3"}, 2, seed=7)

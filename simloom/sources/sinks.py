@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simloom.storage import swap_in
+
 
 def parquet(df: DataFrame, path: str, by: Iterable[str] = (), replace: bool = True) -> None:
     df.write.mode("overwrite" if replace else "errorifexists").partitionBy(*by).parquet(path)
@@ -43,15 +45,12 @@ def manifest(spark: SparkSession, path: str, values: dict) -> None:
 
 
 def text(spark: SparkSession, path: str, content: str) -> None:
-    """One text file on any file system that Spark reaches; it replaces what was there in one step."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    """One text file on any file system that Spark reaches; it replaces what was there by renames (see swap_in)."""
     staged = spark._jvm.org.apache.hadoop.fs.Path(path + ".next")
-    out = fs.create(staged, True)
+    out = staged.getFileSystem(spark._jsc.hadoopConfiguration()).create(staged, True)
     out.write(bytearray(content.encode()))
     out.close()
-    fs.delete(p, True)
-    fs.rename(staged, p)
+    swap_in(spark, path + ".next", path)
 
 
 def markdown_table(df: DataFrame, most: int = 100) -> str:

@@ -92,6 +92,34 @@ def release(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/simloom-{spark.sparkContext.applicationId}")
 
 
+def swap_in(spark: SparkSession, staged: str, path: str) -> None:
+    """Put what was written at `staged` in the place of `path`, by renames alone.
+
+    What was at path stands at path.old until the new one is in place, so a crash leaves one of the two
+    whole; recover() brings the old one back where the crash fell between the renames.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    new, target, old = fs_path(staged), fs_path(path), fs_path(path.rstrip("/") + ".old")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    recover(spark, path)
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(new, target):
+        recover(spark, path)
+        raise OSError(f"{staged} can't take the place of {path}")
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """If a swap ended between its renames, the table that was there stands at path again."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    target, old = fs_path(path), fs_path(path.rstrip("/") + ".old")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
+
+
 def join_small(df: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", rows: int = 100_000) -> DataFrame:
     """Join with a side that is usually small: broadcast if its counted rows are at most `rows`, else shuffled.
 

@@ -103,24 +103,22 @@ def test_expanding_negatives_against_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == brute_expanding(asked, names, 4)
 
 
-def brute_distance(rows, names, reach, spare, taken):
+def brute_distance(rows, names, reach, taken):
     first = {}
     for n in sorted(names):
         if ".com" not in n:
             first.setdefault(n.upper(), n)
     used, out, left = set(taken), {}, sorted(rows)
-    for radius in range(1, reach + 9):
+    for radius in (reach, reach + 8):
         for row, real, goal in list(left):
-            if goal > radius:
-                continue
             near = [(edit(real, n), n, k) for k, n in first.items() if k != real.upper() and k not in used]
-            near = sorted(((d != goal), d, digest(0, row, k), n, k) for d, n, k in near if d <= radius)
+            near = sorted((max(d, goal), abs(d - goal), digest(0, real, k), n, k, d) for d, n, k in near if d <= radius)
             if near:
-                _, d, _, n, k = near[0]
+                at, _, _, n, k, d = near[0]
                 used.add(k)
                 left.remove((row, real, goal))
-                out[row] = (row, real, n, d, "exact_target" if d == goal else f"nearest_fallback_radius_{radius}")
-    return out, left, used
+                out[row] = (row, real, n, d, "exact_target" if d == goal else f"nearest_fallback_radius_{at}")
+    return out, left
 
 
 def test_distance_negatives_against_brute_force(spark):
@@ -128,8 +126,8 @@ def test_distance_negatives_against_brute_force(spark):
     rows = [(k, n, 1 + k % 2) for k, n in enumerate(names[:30] + names[:8])]
     df = spark.createDataFrame([(r, n, n.upper(), g) for r, n, g in rows], "row_idx long, name string, key string, goal int")
     taken = spark.createDataFrame([(names[5].upper(),)], "key string")
+    want, left = brute_distance(rows, names, 4, {names[5].upper()})
     got = {r.row_idx: tuple(r) for r in S.distance_negatives(df, frame(spark, names), taken=taken).collect()}
-    want, left, _ = brute_distance(rows, names, 4, 64, {names[5].upper()})
     assert {k: v for k, v in got.items() if not v[4].startswith("global")} == want
     assert sorted(k for k, v in got.items() if v[4] == "global_length_fallback") == sorted(r[0] for r in left)
     assert len({v[2].upper() for v in got.values()}) == len(got)
