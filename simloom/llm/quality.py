@@ -117,7 +117,7 @@ def judge(docs: DataFrame, model: Evidence, host: Column, path: Column, bar: flo
 
     docs: doc_id, text and what host and path need; other columns are ignored. Document evidence is
     summed up by host and path. A host's posterior is its mean, shrunk to the global mean; a path's is
-    its mean shrunk to its host's posterior, without the document itself; the prior strengths are
+    its mean shrunk to its host's posterior, both without the document itself; the prior strengths are
     estimated from how much sites vary. The document's log odds shift by how far its path's posterior
     is from the global mean. Returns a row per row of docs: doc_id, host, path, evidence (the
     classifier's probability), host_posterior, path_posterior, quality, keep (quality >= bar).
@@ -144,11 +144,13 @@ def judge(docs: DataFrame, model: Evidence, host: Column, path: Column, bar: flo
     n, s = paths.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_s"), F.lit(0.0))).first()
     mean = min(1 - 1e-6, max(1e-6, s / n)) if n else 0.5
     strong = _strength(hosts, "_hn", "_hs", mean)
-    hosts = materialize(hosts.select("host", ((F.col("_hs") + strong * mean) / (F.col("_hn") + strong)).alias("host_posterior")), "quality-hosts")
+    hosts = materialize(hosts.withColumn("host_posterior", (F.col("_hs") + strong * mean) / (F.col("_hn") + strong)), "quality-hosts")
+    of_host = strong
     paths = join_small(paths, hosts, "host")
     strong = _strength(paths, "_n", "_s", "host_posterior")
     paths = materialize(paths, "quality-sites")
-    told = join_small(rows, paths, ["host", "path"])
+    # what a document is judged by comes from the others alone, at both levels
+    told = join_small(rows, paths, ["host", "path"]).withColumn("host_posterior", (F.col("_hs") - F.col("evidence") + of_host * mean) / (F.col("_hn") - 1 + of_host))
     others = (F.col("_s") - F.col("evidence") + strong * F.col("host_posterior")) / (F.col("_n") - 1 + strong)
     told = told.withColumn("path_posterior", F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6)))
     shift = F.log(F.col("path_posterior") / (1 - F.col("path_posterior"))) - float(np.log(mean / (1 - mean)))
