@@ -180,3 +180,124 @@ def test_scores_do_not_depend_on_partitions(spark):
     a = toxicity.score(docs, model).toPandas().sort_values("doc_id").toxicity.to_numpy()
     b = toxicity.score(docs.repartition(5), toxicity.train(docs.repartition(3), labels)).toPandas().sort_values("doc_id").toxicity.to_numpy()
     assert np.allclose(a, b)
+
+
+def gains(spark, sf, parts):
+    got = M.score_texts(table(spark, sf, "documents").repartition(parts), fold(F.col("doc_id"), 5) != 1)
+    held = got.filter(fold(F.col("doc_id"), 5) == 1).agg(F.sum(F.col("score") - F.col("base_score")), F.sum("n_tokens")).first()
+    return held[0] / held[1], {r.doc_id: r.score for r in got.select("doc_id", "score").collect()}
+
+
+def test_scores_are_alike_on_any_partitioning_and_beat_unigrams(spark, monkeypatch):
+    """Also with several shards in several rounds, whose models are averaged."""
+    for tokens, least in ((M.SHARD_TOKENS, 0.12), (40_000, 0.06)):
+        monkeypatch.setattr(M.train, "__defaults__", (5, tokens))
+        found = [gains(spark, DATA, parts) for parts in (1, 8, 32)]
+        assert min(g for g, _ in found) >= least
+        for _, scores in found[1:]:
+            assert max(abs(scores[k] - x) / max(1, abs(x)) for k, x in found[0][1].items()) < 1e-6
+
+
+def test_score_is_the_formula(spark):
+    """The model's sums against a plain evaluation of it, token by token."""
+    docs = [(k, t) for k, t in enumerate(["a b c a b", "b a never c", "", "c c c a unseen b", "a b a b a b c"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in M.score_texts(df, F.col("doc_id") < 4).collect()}
+    train = Counter(w for k, t in docs if k < 4 for w in [*t.encode().split(), M.END])
+    names = sorted(train, key=lambda w: (-train[w], w))
+    classes = {w: k for k, w in enumerate(names)}
+    model = M.train(df.filter("doc_id < 4"), classes, np.array([train[w] for w in names] + [0]))
+    rest = len(names)
+    for k, text in docs:
+        total, before = 0.0, [rest + 1, rest + 1]
+        for w in [*text.encode().split(), M.END]:
+            c = classes.get(w, rest)
+            h = model.left[before[-1]] * model.place[0] + model.left[before[-2]] * model.place[1]
+            s = (model.right @ h + model.bias).astype(float)
+            total += (s[c] - np.log(np.exp(s).sum())) / np.log(10) + (0 if c < rest else math.log10(0.5) - math.log10(0.5))
+            before.append(c)
+        assert abs(got[k] - total) < 1e-4
+
+
+def test_frequent_tokens_by_histogram(spark):
+    counts = spark.createDataFrame([(f"t{k}".encode(), c) for k, c in enumerate([9_000_000, 70_000, 5000, 4096, 30, 30, 30, 2] + [1] * 500)], "token binary, c long")
+    for most, least in ((4, 4), (7, 7), (8, 8), (300, 200), (1000, 508)):
+        n = counts.filter(M.frequent(counts, most)).count()
+        assert least <= n <= most + 40
+
+
+def strength(sites):
+    """sites: (n, sum, mean of the level above)."""
+    n = sum(a for a, _, _ in sites)
+    if len(sites) < 2:
+        return 100.0
+    between = max(0.0, sum(a * (b / a - m) ** 2 for a, b, m in sites) - sum(m * (1 - m) for _, _, m in sites)) / n
+    return min(1e4, max(1.0, sum(a * m * (1 - m) for a, _, m in sites) / n / between - 1 if between > 0 else 1e4))
+
+
+def test_posteriors_against_plain_sums(spark):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    got = quality.judge(docs, quality.train(docs, labels), F.col("source"), F.col("lang")).collect()
+    hosts, paths = {}, {}
+    for r in got:
+        for table_, key in ((hosts, r.host), (paths, (r.host, r.path))):
+            n, s = table_.get(key, (0, 0.0))
+            table_[key] = n + 1, s + r.evidence
+    n, s = map(sum, zip(*hosts.values()))
+    mean = s / n
+    top = strength([(a, b, mean) for a, b in hosts.values()])
+    whole = {h: (b + top * mean) / (a + top) for h, (a, b) in hosts.items()}
+    low = strength([(a, b, whole[h]) for (h, _), (a, b) in paths.items()])
+    logit = lambda p: math.log(p / (1 - p))
+    for r in got:
+        a, b = hosts[r.host]
+        host = (b - r.evidence + top * mean) / (a - 1 + top)
+        a, b = paths[r.host, r.path]
+        path = (b - r.evidence + low * host) / (a - 1 + low)
+        odds = logit(r.evidence) + logit(path) - logit(mean)
+        assert abs(r.host_posterior - host) < 1e-9 and abs(r.path_posterior - path) < 1e-9
+        assert abs(r.quality - 1 / (1 + math.exp(-odds))) < 1e-6
+
+
+def test_toxicity_forward_pass_against_plain_code(spark):
+    """Every gram hashed by itself, every window summed by itself."""
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    model = toxicity.train(docs, labels)
+    full = 2**32 - 1
+
+    def bucket(code):
+        code ^= code >> 15
+        code = code * 0x2C1B3C6D & full
+        return (code ^ code >> 13) % toxicity.BUCKETS
+
+    def value(word):
+        t, codes = b"<" + word + b">", []
+        for size in toxicity.GRAMS:
+            for i in range(len(t) - size + 1):
+                h = 0
+                for c in t[i : i + size]:
+                    h = (h * 16777619 & full) ^ c
+                codes.append(bucket(h ^ (size * 0x9E3779B1 & full)))
+        codes.append(bucket((sum(c * (k + 1) * 2654435761 for k, c in enumerate(t)) & full) ^ 0x85EBCA6B))
+        return sum(float(model.weights[c]) for c in codes) / len(codes)
+
+    texts = ["You are worthless trash and nobody wants your pathetic words here", "one", "", None, "É ß plain words " * 7, "a b c d e f g h i"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.toxicity for r in toxicity.score(rows, model).collect()}
+    for k, text in enumerate(texts):
+        words = toxicity.words((text or "").lower().encode())
+        if not words:
+            assert got[k] == model.prior
+            continue
+        values = [value(w) for w in words]
+        starts = {min(a, max(0, len(words) - toxicity.WINDOW)) for a in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)}
+        best = max(sum(values[a : a + toxicity.WINDOW]) / len(values[a : a + toxicity.WINDOW]) for a in starts)
+        assert abs(got[k] - 1 / (1 + math.exp(-(model.slope * (best + model.bias) + model.offset)))) < 1e-5
+
+
+def test_top_k_blocks_leave_nothing_behind(spark):
+    """However many blocks, what was broadcast for them is gone, and answers are the same."""
+    rows = [(k, [float(k * j % 7) for j in range(4)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("rank", F.lit(None)).withColumn("x", F.lit(1)).withColumn("_q", F.lit(True))
+    one, many = (sorted(map(tuple, maxscore.top_k(df, F.col("vec_id") % 3 == 0, k=4, block=b).collect())) for b in (2000, 3))
+    assert one == many
