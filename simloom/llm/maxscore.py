@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.llm.arrow import batch
+from simloom.storage import materialize, scratch
 
 #: Queries that are broadcast and answered at once.
 BLOCK_QUERIES = 2_000
@@ -111,16 +112,23 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, b
     non-finite components, take no part; shorter vectors count as ending in zeros. An empty table
     gives no rows; fewer than k candidates give as many rows.
 
-    Scale: queries go in blocks of a bounded size, each against all vectors where they lie; a
-    task gives k rows for each query, and a window by query merges the shards.
+    Scale: queries go in blocks of a bounded size, one after the other: a block is broadcast, meets
+    all vectors where they lie, and is let go when its answers are stored. A task gives k rows for
+    each query, and a window by query merges the shards.
     """
+    with scratch(vectors.sparkSession) as whole:
+        return _answers(vectors, queries, k, scale, block, whole)
+
+
+def _answers(vectors: DataFrame, queries: Column, k: int, scale: int, block: int, whole: scratch) -> DataFrame:
     spark = vectors.sparkSession
     data = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), impacts(F.col("embedding"), scale).alias("x"), queries.alias("_q")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
-    asked = data.filter("_q").groupBy("vec_id").agg(F.min("x").alias("x"))
+    asked = materialize(data.filter("_q").groupBy("vec_id").agg(F.min("x").alias("x")), "top-k-asked")
     blocks = max(1, -(-asked.count() // block))
-    parts = []
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    answers = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     for n in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n)
+        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n)
         held = part.orderBy("vec_id").toArrow()
         if not held.num_rows:
             continue
@@ -150,11 +158,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, b
             if rows:
                 yield from answered()
 
-        parts.append(data.select("vec_id", "x").mapInArrow(search, "query_id long, vec_id long, score long"))
-    if not parts:
-        parts = [spark.createDataFrame([], "query_id long, vec_id long, score long")]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = data.select("vec_id", "x").mapInArrow(search, "query_id long, vec_id long, score long")
+        merged = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        answers = answers.unionByName(whole.keep(merged, "top-k"))
+        shared.destroy()
+    return answers
