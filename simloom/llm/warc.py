@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simloom.llm.arrow import batch, small_batches
+from simloom.llm.sketch import maybe_in, sketch
 from simloom.storage import join_small, materialize, new_path
 
 MAGIC = "WARC/1.0\r\n"
 BREAK = "\r\n\r\n"
 #: Equal payloads of so many bytes are written once.
 REVISIT_BYTES = 100
-#: Bits of the sketch of payloads that occur more than once (a megabyte).
-SKETCH_BITS = 2**23
 #: Bytes of a cell in which a record meets its pieces.
 CELL = 65_536
 
@@ -34,27 +33,6 @@ def _record_id(page: Column, digest: Column, copy: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def _bit(digest: Column) -> tuple[Column, Column]:
-    """Row and place of a digest in a table of SKETCH_BITS bits, 32,768 a row."""
-    at = F.pmod(F.xxhash64(digest), F.lit(SKETCH_BITS))
-    return F.floor(at / 32_768).cast("long"), (at % 32_768).cast("long")
-
-
-def _sketch(digests: DataFrame) -> DataFrame:
-    """Which bits the digests set: a table of a fixed size, however many they are."""
-    row, place = _bit(F.col("_digest"))
-    return digests.select(row.alias("_sketch_row"), place.alias("_place")).groupBy("_sketch_row").agg(F.bitmap_construct_agg("_place").alias("_bits"))
-
-
-def _maybe_in(rows: DataFrame, sketch: DataFrame) -> DataFrame:
-    """rows with _maybe: False only for digests that aren't among those of the sketch."""
-    row, place = _bit(F.col("_digest"))
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = F.getbit(byte, (place % 8).cast("int")) == 1
-    joined = rows.withColumn("_sketch_row", row).join(F.broadcast(sketch), "_sketch_row", "left")
-    return joined.withColumn("_maybe", F.coalesce(is_set, F.lit(False))).drop("_sketch_row", "_bits")
-
-
 def _record(again: Column, copy: Column, first: Column, date: str) -> Column:
     only = lambda c: F.when(again, c)
     url = F.regexp_replace(F.regexp_replace(F.col("_url"), "\r", "%0D"), "\n", "%0A")
@@ -96,13 +74,13 @@ def write_archive(pages: DataFrame, path: str | None = None, date: str = "2020-0
     ids = rows.groupBy("_digest", "_p").agg(F.first("_number").alias("_number"), F.first("_bytes").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
     ids = materialize(ids, "warc-digests")
     several = materialize(ids.groupBy("_digest").agg(F.min("_number").alias("_first"), F.sum("_n").alias("_of"), F.first("_bytes").alias("_size")).filter("_of > 1"), "warc-repeated")
-    sketch = materialize(_sketch(several), "warc-sketch")
+    repeated = sketch(several, ["_digest"])
     never = F.lit(False)
-    alone = _maybe_in(rows, sketch).filter(~F.col("_maybe"))
+    alone = maybe_in(rows, repeated, ["_digest"]).filter(~F.col("_maybe"))
     alone.select(_record(never, F.lit(1), F.lit(None), date).alias("value")).write.option("lineSep", BREAK).text(path)
-    roles = _maybe_in(ids.select("_digest", "_p"), sketch).filter("_maybe").drop("_maybe")
+    roles = maybe_in(ids.select("_digest", "_p"), repeated, ["_digest"]).filter("_maybe").drop("_maybe")
     roles = roles.join(several.filter(F.col("_size") >= REVISIT_BYTES).select("_digest", "_first"), "_digest", "left")
-    told = _maybe_in(rows, sketch).filter("_maybe").drop("_maybe").join(roles, ["_digest", "_p"])
+    told = maybe_in(rows, repeated, ["_digest"]).filter("_maybe").drop("_maybe").join(roles, ["_digest", "_p"])
     told = told.withColumn("_copy", F.row_number().over(Window.partitionBy("_digest", "_p").orderBy("_url")))
     again = F.col("_first").isNotNull() & ((F.col("_number") != F.col("_first")) | F.col("_number").isNull() | (F.col("_copy") > 1))
     told.select(_record(again, F.col("_copy"), F.col("_first"), date).alias("value")).write.mode("append").option("lineSep", BREAK).text(path)
