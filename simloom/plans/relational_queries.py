@@ -44,6 +44,13 @@ def range_join_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.range_join(names, names, 4).filter("left_name < right_name").select("left_name", "right_name", F.col("distance").cast("long").alias("distance"))
 
 
+@query()
+def range_join_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of distinct tokens within distance 2; comparing all pairs takes SQL too long, so tests do on few."""
+    names = tokens(spark, sf_dir)
+    return J.range_join(names, names, 2).filter("left_name < right_name").select("left_name", "right_name", F.col("distance").cast("long").alias("distance"))
+
+
 @query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT a.name AS l, b.name AS r, levenshtein(a.name, b.name) AS d FROM n a, n b WHERE a.name <> b.name),
     t AS (SELECT *, CASE WHEN d <= 2 THEN 2 ELSE d END AS tier FROM p WHERE d <= 6), m AS (SELECT *, min(tier) OVER (PARTITION BY l) AS least, bool_or(d = 2) OVER (PARTITION BY l) AS exact FROM t),
     k AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY abs(d - 2), d, abs(length(l) - length(r)), r) AS i FROM m WHERE tier = least AND (d = 2 OR NOT exact)),

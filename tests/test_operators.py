@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 from collections import Counter
 
@@ -274,6 +275,35 @@ def test_ranking(spark):
     assert pools == {"x": "test", "y": "train"}
 
 
+def test_frontier_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(30), rng.randrange(30), rng.randrange(4)) for k in range(700)]
+    beats = lambda p, q: p[1] >= q[1] and p[2] <= q[2] and p[3] <= q[3] and p[1:] != q[1:]
+    want = sorted(r[0] for r in rows if not any(beats(p, r) for p in rows))
+    for block in (20_000, 3):
+        monkeypatch.setattr(ranking, "FRONTIER_BLOCK", block)
+        df = spark.createDataFrame([*rows, (900, None, 0, 0)], "id long, x long, y long, z long").repartition(5)
+        assert sorted(r.id for r in ranking.pareto_frontier(df, ["x"], ["y", "z"]).collect()) == want
+
+
+def test_a_crash_between_renames_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "table")
+    registry.write_upserted(spark, path, spark.createDataFrame([("a", 1)], "key string, at int"), ["key"], "at")
+    os.rename(path, path + ".old")
+    registry.write_upserted(spark, path, spark.createDataFrame([("b", 1)], "key string, at int"), ["key"], "at")
+    assert sorted(r.key for r in spark.read.parquet(path).collect()) == ["a", "b"] and not os.path.exists(path + ".old")
+
+
+def test_two_nearest_sources_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    vector = lambda: [rng.uniform(-1, 1) for _ in range(3)]
+    sources = spark.createDataFrame([(k, vector()) for k in range(9)], "source long, vector array<double>")
+    points = spark.createDataFrame([(k, vector()) for k in range(40)], "id long, vector array<double>")
+    one = sorted(map(tuple, J.similar_to_sources(sources, points, 0.2).collect()))
+    monkeypatch.setattr(J, "BLOCK_ROWS", 2)
+    assert one and sorted(map(tuple, J.similar_to_sources(sources, points, 0.2).collect())) == one
+
+
 def test_registry(spark, tmp_path):
     old = spark.createDataFrame([("a", 1, 0.1), ("b", 5, 0.2)], "key string, at int, v double")
     new = spark.createDataFrame([("a", 1, 0.3), ("b", 2, 0.4), ("c", 0, 0.5)], "key string, at int, v double")
