@@ -145,6 +145,12 @@ def codepoint_label(x: Column) -> Column:
     return F.format_string("U+%04X", F.ascii(x))
 
 
+@F.pandas_udf(T.StringType())
+def codepoint_name(x: pd.Series) -> pd.Series:
+    """The Unicode name of the first character, as a label; its U+XXXX where it has none."""
+    return x.map(lambda s: None if not s else unicodedata.name(s[0], f"U+{ord(s[0]):04X}"))
+
+
 def number_or(x: Column, default: Column) -> Column:
     """x as a finite-or-infinite double; nulls, NaN and what can't be read become default."""
     v = x.try_cast("double")

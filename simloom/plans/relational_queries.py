@@ -264,10 +264,12 @@ def pivot_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("o_orderpriority", *[F.round(s, 4).alias(s.lower()) for s in ("F", "O", "P")])
 
 
-@query("""SELECT CASE WHEN l_linenumber < l_quantity / 5 THEN 'overlapping' ELSE 'non-overlapping' END AS overlap, count(*) AS n, round(avg(l_discount), 9) AS mean, round(stddev_samp(l_discount), 9) AS sample_std FROM lineitem GROUP BY 1""")
+@query("""SELECT CASE WHEN l_linenumber < ceil(l_quantity / 10) THEN 'overlapping' ELSE 'non-overlapping' END AS overlap, CAST(ceil(l_quantity / 10) AS BIGINT) AS width, CAST(l_linenumber AS BIGINT) AS stride,
+    CAST(round_even((1 - l_linenumber / ceil(l_quantity / 10)::DOUBLE) * 100, 0) AS BIGINT) AS percent, count(*) AS n, round(avg(l_discount), 9) AS mean, round(stddev_samp(l_discount), 9) AS sample_std FROM lineitem GROUP BY ALL""")
 def stride_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = X.overlap_type(F.col("l_linenumber"), F.col("l_quantity") / 5)
-    return table(spark, sf_dir, "lineitem").groupBy(kind.alias("overlap")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_discount"), 9).alias("mean"), F.round(F.stddev_samp("l_discount"), 9).alias("sample_std"))
+    width, stride = F.ceil(F.col("l_quantity") / 10), F.col("l_linenumber")
+    groups = [X.overlap_type(stride, width).alias("overlap"), width.cast("long").alias("width"), stride.cast("long").alias("stride"), X.overlap_percent(stride, width).cast("long").alias("percent")]
+    return table(spark, sf_dir, "lineitem").groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_discount"), 9).alias("mean"), F.round(F.stddev_samp("l_discount"), 9).alias("sample_std"))
 
 
 @query("SELECT count(*) - count(DISTINCT p_name) AS duplicates FROM part")

@@ -54,6 +54,14 @@ def char_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.char_normalize(F.col("url"), source, target).alias("normalized"))
 
 
+@query("SELECT page_id, regexp_replace(translate(lower(url), '013457', 'olesat'), '[^a-z0-9-]', '', 'g') AS normalized, regexp_replace(translate(lower(url), '013457', 'olesat'), '[^a-z0-9-]', '', 'g') || '12fi' AS with_ligatures FROM pages")
+def table_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by the character tables, and by what NFKD makes of characters that no table has."""
+    normalize = X.table_normalizer({"0": "x", "1": "l", "3": "e"}, {"0": "o", "4": "s", "5": "a", "7": "t"})
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", normalize(url).alias("normalized"), normalize(F.concat(url, F.lit(" ½ \u3000ﬁ漢"))).alias("with_ligatures"))
+
+
 @query(f"""WITH {TOKENS_SQL}, n AS (SELECT unnest([3, 4, 5, 6]) AS n),
     g AS (SELECT '<' || name || '>' AS m, n FROM tokens, n),
     x AS (SELECT substr(m, i, n) AS gram FROM (SELECT m, n, unnest(range(1, length(m) - n + 2)) AS i FROM g))

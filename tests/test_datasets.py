@@ -199,3 +199,8 @@ def test_labels_and_table_normalizer(spark):
     texts = ["Ab 0-\t9!", "ﬁne ß", "½", "ıÉ　x", None, "", "漢a"]
     got = [r.v for r in spark.createDataFrame([(k, v) for k, v in enumerate(texts)], "k long, s string").orderBy("k").select(normalize(F.col("s")).alias("v")).collect()]
     assert got == ["abo-9", "fineb", "12", "iex", None, "", "a"]
+
+
+def test_codepoint_names(spark):
+    rows = spark.createDataFrame([("a",), ("і",), ("\x07",), ("",), (None,)], "s string").select(X.codepoint_name(F.col("s")).alias("v")).collect()
+    assert [r.v for r in rows] == ["LATIN SMALL LETTER A", "CYRILLIC SMALL LETTER BYELORUSSIAN-UKRAINIAN I", "U+0007", None, None]
