@@ -61,7 +61,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     -ln(u) / weight, smallest first (Efraimidis and Spirakis), up to the exact word; the document at
     the edge gives a part. u is a hash of doc_id and seed, so reruns agree.
 
-    Nulls: a null text has size 0, null sources are one source, a null doc_id is hashed as ''.
+    Nulls: a null text has size 0, null sources are one source, a null doc_id is hashed as ''. A weight
+    that is null, not finite or not above 0 keeps a document out of the fractional part: it gives whole epochs only.
     Rows that repeat a doc_id count as documents of their own; equal keys go by doc_id, then size.
     An empty table gives no rows; sources of no words get the target 0.
 
@@ -70,7 +71,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     documents within their own range, so that no task holds a source.
     """
     w = weight if weight is not None else letter_share(F.col("text"))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / w).alias("_key"), w.cast("double").alias("_q"))
+    positive = lambda q: F.when((q > 0) & (q < float("inf")), q)  # noqa: E731  NaN is above every number
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), positive(w.cast("double")).alias("_q")).withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("_q"))
     rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     rows = materialize(rows, "mix-rows")
     sizes = materialize(rows.groupBy("_s", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"), F.avg("_q").alias("_mean")), "mix-sizes")
@@ -83,7 +85,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     # 1 - exp(-key * mean weight) is near to even over (0, 1) and rises with the key
     at = F.floor(F.col("_ranges") * (F.lit(1.0) - F.exp(-F.col("_key") * F.col("_mean"))))
-    placed = join_small(rows.drop("source"), plan, "_s").withColumn("_range", F.least(at, F.col("_ranges") - 1))
+    every = join_small(rows.drop("source"), plan, "_s")
+    whole = every.filter("_key IS NULL").withColumn("taken", (F.col("_epochs") * F.col("size")).cast("long"))
+    placed = every.filter("_key IS NOT NULL").withColumn("_range", F.least(at, F.col("_ranges") - 1))
     ranges = placed.groupBy("_s", "_range").agg(F.sum("size").alias("_words"))
     running = F.sum("_words").over(Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     ranges = ranges.select("_s", "_range", F.coalesce(running, F.lit(0)).alias("_before"))
@@ -91,4 +95,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     placed = placed.withColumn("_within", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(ranges, ["_s", "_range"])
     left = F.col("_rest") - F.col("_before") - F.col("_within")
     taken = F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    return placed.withColumn("taken", taken.cast("long")).select(*columns).unionByName(whole.select(*columns))

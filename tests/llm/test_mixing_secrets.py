@@ -106,3 +106,13 @@ def test_secret_edges(spark, edge_docs, no_docs):
     assert [(r.doc_id, r.base[0]["start"]) for r in rows if r.base] == [(8, 9)]
     assert secrets.scan_secrets(no_docs).count() == 0
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_weights_that_are_not_positive(spark):
+    rows = [(k, "word " * 10, "a", w) for k, w in enumerate([1.0, 2.0, None, 0.0, -1.0, float("nan"), float("inf"), 0.5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double")
+    got = {r.doc_id: r.taken for r in mixing.mix(docs, weights=(1,), share=1.25, most=2.0, weight=F.col("weight")).collect()}
+    assert len(got) == 8 and all(got[k] == 10 for k in (2, 3, 4, 5, 6))
+    assert sum(got[k] for k in (0, 1, 7)) == 30 + 20
+    less = {r.doc_id: r.taken for r in mixing.mix(docs, weights=(1,), share=0.25, most=2.0, weight=F.col("weight")).collect()}
+    assert sum(less.values()) == 20 and all(less[k] == 0 for k in (2, 3, 4, 5, 6))
