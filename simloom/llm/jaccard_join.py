@@ -8,12 +8,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simloom.llm.arrow import batch, small_batches, utf8, words
-from simloom.llm.line_dedup import KEY, document_key
-from simloom.storage import join_small, materialize
+from simloom.llm.sketch import KEY, Sieve, document_key, maybe_in, packed, repeated_rows, sketch, unpacked
+from simloom.storage import materialize, scratch
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: MinHash values of a document; a pair is a candidate if it agrees on all ROWS of one of BANDS.
@@ -80,18 +80,24 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return found
 
 
-def compare(a: np.ndarray, b: np.ndarray, band: np.ndarray | None = None) -> np.ndarray:
-    """Which pairs of MinHash rows are left after incremental comparison; with band, only those that meet first there."""
-    left = np.arange(len(a))
-    if band is not None:
-        same = (a.reshape(-1, BANDS, ROWS) == b.reshape(-1, BANDS, ROWS)).all(axis=2)
-        left = np.flatnonzero(same.argmax(axis=1) == band)
-    count = np.zeros(len(left), np.int32)
+def compare(sig: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of rows of sig are left after incremental comparison; with band, only those that meet first there.
+
+    STEP values at a time, and only for the pairs that are left: a pair goes once its posterior is
+    below TOLERANCE, or once it agrees on a band before its own, as it is met there.
+    """
+    left, count, per = np.arange(len(i)), np.zeros(len(i), np.int32), STEP // ROWS
     for n, least in enumerate(least_matches()):
         s = slice(n * STEP, (n + 1) * STEP)
-        count += (a[left, s] == b[left, s]).sum(axis=1, dtype=np.int32)
+        same = sig[i[left], s] == sig[j[left], s]
+        count += same.sum(axis=1, dtype=np.int32)
         ok = count >= least
+        if band is not None:
+            before = np.arange(n * per, (n + 1) * per) < band[left, None]
+            ok &= ~(same.reshape(-1, per, ROWS).all(axis=2) & before).any(axis=1)
         left, count = left[ok], count[ok]
+        if not len(left):
+            break
     return left
 
 
@@ -137,10 +143,8 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _tiles(df: DataFrame, group: list[str], tile: int) -> DataFrame:
-    """Rows of large groups once for each pair of tiles they belong to: _t1 <= _t2, and _mine (the tile the row is in)."""
-    sizes = materialize(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "jaccard-groups")
-    rows = df.join(sizes, group)
+def _tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """Rows of large groups (_n members) once for each pair of tiles they belong to: _t1 <= _t2, and _mine (the row's tile)."""
     tiles = F.ceil(F.col("_n") / tile).cast("int")
     rows = rows.withColumn("_tiles", tiles).withColumn("_mine", F.pmod(F.xxhash64(*KEY), F.col("_tiles").cast("long")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda x: F.struct(F.least(x, F.col("_mine")).alias("_t1"), F.greatest(x, F.col("_mine")).alias("_t2")))
@@ -185,18 +189,18 @@ def _edges_of(table: pa.Table, keys: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """document key, _c (which texts have the same shingles) and _sig, for texts with words."""
-    schema = pa.schema([("_d", pa.int64()), ("_h", pa.int64()), ("_c", pa.binary()), ("_sig", pa.binary())])
+    """document key, _uid (of the row), _c (which texts have the same shingles) and _sig, for texts with words."""
+    schema = pa.schema([("_d", pa.int64()), ("_h", pa.int64()), ("_uid", pa.int64()), ("_c", pa.binary()), ("_sig", pa.binary())])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            sets = [shingles(words(t), hashes) for t in b.column(2).to_pylist()]
-            yield batch(schema, b.column(0), b.column(1), [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], [minhashes(s).tobytes() if len(s) else None for s in sets])
+            sets = [shingles(words(t), hashes) for t in b.column(3).to_pylist()]
+            yield batch(schema, b.column(0), b.column(1), b.column(2), [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], [minhashes(s).tobytes() if len(s) else None for s in sets])
             if len(hashes) > 300_000:
                 hashes.clear()
 
-    return document_key(docs.select("doc_id", "text")).select(*KEY, utf8()).mapInArrow(read, "_d long, _h long, _c binary, _sig binary")
+    return document_key(docs.select("doc_id", "text")).select(*KEY, F.monotonically_increasing_id().alias("_uid"), utf8()).mapInArrow(read, "_d long, _h long, _uid long, _c binary, _sig binary")
 
 
 _EDGE = pa.schema([("_d1", pa.int64()), ("_h1", pa.int64()), ("_d2", pa.int64()), ("_h2", pa.int64())])
@@ -209,7 +213,7 @@ def _bucket_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         d, h, band = np.asarray(t.column("_d")), np.asarray(t.column("_h")), np.asarray(t.column("_band"))
         sets = Union(t.num_rows)
         for i, j in _pairs(_edges_of(t, 3), np.asarray(t.column("_mine")), np.asarray(t.column("_t1")), np.asarray(t.column("_t2"))):
-            for k in compare(sig[i], sig[j], band[i]).tolist():
+            for k in compare(sig, i, j, band[i]).tolist():
                 sets.join(int(i[k]), int(j[k]))
         up = np.array([sets.find(x) for x in range(t.num_rows)], np.int64)
         on = np.flatnonzero(up != np.arange(t.num_rows))
@@ -224,13 +228,14 @@ def components(edges: DataFrame) -> DataFrame:
     each round is stored, so that plans stay short.
     """
     one, two = F.struct(F.col("_d1").alias("d"), F.col("_h1").alias("h")), F.struct(F.col("_d2").alias("d"), F.col("_h2").alias("h"))
-    links = materialize(edges.select(one.alias("a"), two.alias("b")).unionByName(edges.select(two.alias("a"), one.alias("b"))).distinct(), "jaccard-links")
+    both = F.array(F.struct(one.alias("a"), two.alias("b")), F.struct(two.alias("a"), one.alias("b")))
+    links = materialize(edges.select(F.explode(both).alias("l")).select("l.a", "l.b").distinct(), "jaccard-links")
     labels = materialize(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")), "jaccard-labels")
     while True:
-        near = links.join(labels.select(F.col("a").alias("b"), F.col("c").alias("_n")), "b").groupBy("a").agg(F.min("_n").alias("_n"))
-        new = labels.join(near, "a", "left").select("a", F.col("c").alias("_old"), F.least("c", "_n").alias("c"))
+        near = links.join(labels.select(F.col("a").alias("b"), F.col("c").alias("_n")).hint("merge"), "b").groupBy("a").agg(F.min("_n").alias("_n"))
+        new = labels.join(near.hint("merge"), "a", "left").select("a", F.col("c").alias("_old"), F.least("c", "_n").alias("c"))
         up = labels.select(F.col("a").alias("c"), F.col("c").alias("_up"))
-        new = materialize(new.join(up, "c", "left").select("a", "_old", F.least("c", "_up").alias("c")), "jaccard-labels")
+        new = materialize(new.join(up.hint("merge"), "c", "left").select("a", "_old", F.least("c", "_up").alias("c")), "jaccard-labels")
         if not new.filter("c != _old").limit(1).count():
             break
         labels = new.select("a", "c")
@@ -260,8 +265,7 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             small = n[i] < THRESHOLD * n[j]
             large = n[j] < THRESHOLD * n[i]
             ok = np.flatnonzero(~small & ~large)
-            met = ok[(sig[i[ok]].reshape(-1, BANDS, ROWS) == sig[j[ok]].reshape(-1, BANDS, ROWS)).all(axis=2).any(axis=1)] if len(ok) else ok
-            left = met[compare(sig[i[met]], sig[j[met]])] if len(met) else met
+            left = ok[compare(sig, i[ok], j[ok])]
             i, j = i[left], j[left]
             if not len(i):
                 continue
@@ -297,15 +301,10 @@ def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(keyed: DataFrame) -> bool:
-    """Whether any document key occurs twice."""
-    return keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count() > 0
-
-
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """Which documents share enough of their word 5-grams: a row per row of docs.
 
-    docs: doc_id, text; other columns are ignored. Two documents are linked if the Jaccard similarity
+    docs: doc_id (integral), text; other columns are ignored. Two documents are linked if the Jaccard similarity
     of their sets of 5-grams (lower-cased words) is 0.8 or more. Returns doc_id, text_hash, class_id (the least
     doc_id of its connected component), n_links (documents that it is linked with, equal ones
     included) and keep (one row of each class: that of the least doc_id).
@@ -318,63 +317,73 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     are linked with nothing and each is a class of its own; a class without doc_id has none. Rows that repeat doc_id
     and text are linked copies, of which one is kept. An empty table gives no rows.
 
-    Scale: texts are read twice; only those of candidates are shuffled. Large buckets and components
-    are cut in tiles, each pair of tiles a task's work of a bounded size, and give counts and stars
-    of edges, never pairs.
+    Scale: texts are read twice; a sketch keeps all but those of candidates where they are. Joins are
+    of the same kind at every size. Large buckets and components are cut in tiles, each pair of tiles
+    a task's work of a bounded size, and give counts and stars of edges, never pairs. Own tables go
+    when the result, a narrow row each, is stored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    marks = materialize(_signatures(docs), "jaccard-signatures")
-    least = F.min(F.struct("_d", "_h"))
-    classes = marks.filter("_c IS NOT NULL").groupBy("_c").agg(least.alias("_r"), F.count(F.lit(1)).alias("_size"), F.first("_sig").alias("_sig"))
-    classes = materialize(classes.select("_c", F.col("_r._d").alias("_d"), F.col("_r._h").alias("_h"), "_size", "_sig"), "jaccard-classes")
-
+    small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as block:
+        marks = materialize(_signatures(docs), "jaccard-signatures")
+        least = F.min(F.struct("_d", "_h"))
+        classes = marks.filter("_c IS NOT NULL").groupBy("_c").agg(least.alias("_r"), F.count(F.lit(1)).alias("_size"), F.first("_sig").alias("_sig"))
+        classes = materialize(classes.select("_c", F.col("_r._d").alias("_d"), F.col("_r._h").alias("_h"), "_size", "_sig"), "jaccard-classes")
+        several = marks.groupBy(*KEY).agg(F.min("_uid").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+        several = materialize(several, "jaccard-repeated")
+
+        members = materialize(_candidates(classes), "jaccard-members")
+        told = materialize(_checked(docs, members, several), "jaccard-links")
+        counted = told.groupBy(*KEY).agg(F.sum("_links").alias("_links"))
+        stars = told.filter((F.col("_d") != F.col("_to_d")) | (F.col("_h") != F.col("_to_h"))).select(F.col("_d").alias("_d1"), F.col("_h").alias("_h1"), F.col("_to_d").alias("_d2"), F.col("_to_h").alias("_h2"))
+        groups = components(stars)
+
+        heads = classes.select("_c", *KEY, "_size").join(counted.hint("merge"), KEY, "left").join(groups.hint("merge"), KEY, "left")
+        heads = heads.select("_c", (F.coalesce("_links", F.lit(0)) + F.col("_size") - 1).alias("n_links"), F.coalesce("_cd", "_d").alias("_cd"), F.coalesce("_ch", "_h").alias("_ch"))
+        found = marks.filter("_c IS NOT NULL").select(*KEY, "_uid", "_c").join(heads.hint("merge"), "_c").join(several.hint("merge"), KEY, "left")
+        first = (F.col("_d") == F.col("_cd")) & (F.col("_h") == F.col("_ch")) & (F.col("_least").isNull() | (F.col("_least") == F.col("_uid")))
+        # texts without words have no set; they would all meet in one task of that join
+        alone = marks.filter("_c IS NULL").select(*KEY, F.col("_d").alias("_cd"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("keep"))
+        out = found.select(*KEY, "_cd", F.col("n_links").cast("long").alias("n_links"), first.alias("keep")).unionByName(alone)
+        null_id = lambda c: F.when(c < 2**63 - 1, c)
+        return block.keep(out.select(null_id(F.col("_d")).alias("doc_id"), F.col("_h").alias("text_hash"), null_id(F.col("_cd")).alias("class_id"), "n_links", "keep"), "jaccard-join")
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Members of components of what pruning leaves connected: KEY, _cd, _ch, _size."""
     bands = F.array(*[F.struct(F.lit(k).alias("_band"), F.xxhash64(F.lit(k), F.substring("_sig", 4 * ROWS * k + 1, 4 * ROWS)).alias("_key")) for k in range(BANDS)])
     rows = classes.select(*KEY, F.explode(bands).alias("_b")).select("_b._band", "_b._key", *KEY)
-    # the one shuffle of all bands; what stands alone in its bucket ends there
-    inside = Window.partitionBy("_key").orderBy(*KEY)
-    met = rows.withColumn("_more", F.coalesce(F.lag(F.lit(True)).over(inside), F.lead(F.lit(True)).over(inside))).filter("_more").drop("_more")
-    met = materialize(met, "jaccard-bands")
+    # buckets are counted by partial sums; a sketch of those of several members spares the others a shuffle
+    sizes = materialize(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "jaccard-buckets")
+    met = maybe_in(rows, sketch(sizes, ["_key"]), ["_key"]).filter("_maybe").drop("_maybe").join(sizes.hint("merge"), "_key")
     order = ["_key", "_t1", "_t2"]
-    tiled = _tiles(met, ["_key"], TILE).join(classes.select(*KEY, "_sig"), KEY)
+    tiled = _tiles(met, TILE).join(classes.select(*KEY, "_sig").hint("merge"), KEY)
     tiled = tiled.select(*order, "_band", "_mine", *KEY, "_sig").repartition(*order).sortWithinPartitions(*order, *KEY)
-    edges = materialize(tiled.mapInArrow(_bucket_edges, "_d1 long, _h1 long, _d2 long, _h2 long"), "jaccard-edges")
-    groups = components(edges)
+    groups = components(tiled.mapInArrow(_bucket_edges, "_d1 long, _h1 long, _d2 long, _h2 long"))
+    return groups.join(classes.select(*KEY, "_size").hint("merge"), KEY)
+
 
-    members = materialize(groups.join(classes.select(*KEY, "_size"), KEY), "jaccard-members")
-    tiled = _tiles(members, ["_cd", "_ch"], TILE)
-    keyed = document_key(docs.select("doc_id", "text")).select(*KEY, utf8())
-    texts = join_small(keyed, materialize(members.select(*KEY), "jaccard-needed"), KEY).dropDuplicates(KEY)
+def _checked(docs: DataFrame, members: DataFrame, several: DataFrame) -> DataFrame:
+    """Exact links and stars within the components of members, tile by tile."""
+    sizes = materialize(members.groupBy("_cd", "_ch").agg(F.count(F.lit(1)).alias("_n")), "jaccard-groups")
+    needed = materialize(members.select(*KEY).join(several.select(*KEY, F.lit(True).alias("_many")).hint("merge"), KEY, "left"), "jaccard-needed")
+    found = Sieve(needed).met(document_key(docs.select("doc_id", "text")).select(*KEY, utf8()))
+    texts = found.filter("_many IS NULL").select(*KEY, "text").unionByName(found.filter("_many").groupBy(*KEY).agg(F.first("text").alias("text")))
     order = ["_cd", "_ch", "_t1", "_t2"]
-    tiled = tiled.join(texts, KEY).select(*order, "_mine", *KEY, "_size", "text").repartition(*order).sortWithinPartitions(*order, *KEY)
-    told = materialize(tiled.mapInArrow(_verified, "_d long, _h long, _links long, _to_d long, _to_h long"), "jaccard-links")
-    counted = told.groupBy(*KEY).agg(F.sum("_links").alias("_links"))
-    stars = told.filter((F.col("_d") != F.col("_to_d")) | (F.col("_h") != F.col("_to_h"))).select(F.col("_d").alias("_d1"), F.col("_h").alias("_h1"), F.col("_to_d").alias("_d2"), F.col("_to_h").alias("_h2"))
-    groups = components(materialize(stars, "jaccard-stars"))
-
-    heads = classes.select("_c", *KEY, "_size").join(counted, KEY, "left").join(groups, KEY, "left")
-    heads = heads.select("_c", (F.coalesce("_links", F.lit(0)) + F.col("_size") - 1).alias("n_links"), F.coalesce("_cd", "_d").alias("_cd"), F.coalesce("_ch", "_h").alias("_ch"))
-    out = marks.select(*KEY, "_c").join(materialize(heads, "jaccard-heads"), "_c", "left")
-    alone = F.col("_c").isNull()
-    out = out.withColumn("_first", F.when(alone, True).otherwise((F.col("_d") == F.col("_cd")) & (F.col("_h") == F.col("_ch"))))
-    if repeated(marks):
-        once = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1))) == 1
-        out = out.withColumn("_first", F.when(alone, True).otherwise(F.col("_first") & once))
-    null_id = lambda c: F.when(c < 2**63 - 1, c)
-    return out.select(null_id(F.col("_d")).alias("doc_id"), F.col("_h").alias("text_hash"), null_id(F.coalesce("_cd", "_d")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("_first").alias("keep"))
+    tiled = _tiles(members.join(sizes.hint("merge"), ["_cd", "_ch"]), TILE).join(texts.hint("merge"), KEY)
+    tiled = tiled.select(*order, "_mine", *KEY, "_size", "text").repartition(*order).sortWithinPartitions(*order, *KEY)
+    return tiled.mapInArrow(_verified, "_d long, _h long, _links long, _to_d long, _to_h long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without all but one of each class of jaccard_join; texts without words stay."""
-    told = jaccard_join(docs)
-    gone = told.filter(~F.col("keep")).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    # rows that repeat are gone in part: the key stays if one of its rows does
-    stay = told.filter("keep").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_d"), F.col("text_hash").alias("_h"))
-    gone = materialize(gone, "jaccard-gone")
-    both = materialize(gone.join(stay, KEY, "left_semi"), "jaccard-repeated")
-    keyed = document_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text"))
-    kept = join_small(keyed, gone.join(both, KEY, "left_anti"), KEY, "left_anti")
-    if both.limit(1).count():
-        again = join_small(kept, both, KEY, "left_semi").dropDuplicates(KEY)
-        kept = join_small(kept, both, KEY, "left_anti").unionByName(again)
-    return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
+    """The rows of docs, all columns, without all but one of each class of jaccard_join; texts without words stay.
+
+    Of rows that repeat doc_id and text and differ elsewhere, the one that stays is that of the least
+    hash of its JSON form. Only documents that go, and rows that repeat, are shuffled.
+    """
+    with scratch(docs.sparkSession) as block:
+        told = jaccard_join(docs).withColumn("_d", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("_h", F.col("text_hash"))
+        fate = materialize(told.groupBy(*KEY).agg(F.bool_and("keep").alias("_all"), F.bool_or("keep").alias("_any")).filter("NOT _all"), "jaccard-fate")
+        gone = block.keep(fate.select(*KEY), "jaccard-gone")
+        one = block.keep(fate.filter("_any").select(*KEY), "jaccard-repeated")
+    rows = packed(docs)
+    return unpacked(Sieve(gone).without(rows).unionByName(repeated_rows(rows, one).filter("_first").drop("_first")), docs.columns)

@@ -134,3 +134,61 @@ def test_line_edges(spark, edge_docs, no_docs):
     assert got[2] == [(None, 0)] and got[5] == [(PASSAGE + "\nmore", 0)]
     assert sorted(n for _, n in got[6]) == [1, 2]
     assert L.dedup_lines(no_docs).count() == 0
+
+
+def test_deleted_lines_are_those_of_maximal_repeated_runs(spark):
+    """By comparing all pairs of places and following each common run to its ends; no line repeats within a document."""
+    for seed in range(2):
+        rng = random.Random(10 + seed)
+        runs = [[f"r{k}x{j} " * rng.choice([1, 2, 5]) for j in range(rng.randrange(2, 9))] for k in range(6)]
+        docs = []
+        for i in range(40):
+            lines = []
+            for k in rng.sample(range(6), rng.randrange(0, 4)):
+                a = rng.randrange(0, 2)
+                lines += runs[k][a : len(runs[k]) - rng.randrange(0, 2)] + [f"own{i}-{k}"] * rng.randrange(0, 2)
+            docs.append((i, "\n".join(lines)))
+        lines = {i: [x.strip() for x in t.split("\n") if x.strip()] for i, t in docs}
+        want = {}
+        for i in lines:
+            gone = set()
+            for j in range(i):
+                for a, b in itertools.product(range(len(lines[i])), range(len(lines[j]))):
+                    if a and b and lines[i][a - 1] == lines[j][b - 1]:
+                        continue  # not where the run begins
+                    n = 0
+                    while a + n < len(lines[i]) and b + n < len(lines[j]) and lines[i][a + n] == lines[j][b + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[i][a : a + n]) >= 8:
+                        gone.update(range(a, a + n))
+            want[i] = [x for k, x in enumerate(lines[i]) if k not in gone]
+        got = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words=8).collect()
+        assert {r.doc_id: [x.strip() for x in r.text.split("\n") if x.strip()] for r in got} == want
+        found = L.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string"), min_words=8).collect()
+        for r in found:  # each run is a copy of what it names, and can't be made longer on either side
+            x, y = lines[r._d], lines[r._d0]
+            n = r.j - r.i
+            assert x[r.i : r.j] == y[r.i0 : r.i0 + n]
+
+
+def test_pairs_go_before_all_values_are_compared(monkeypatch):
+    """Incremental comparison: pairs of unlike documents are gone after the first values."""
+    rng = J.np.random.default_rng(3)
+    sig = rng.integers(0, 2**32, (400, J.BANDS * J.ROWS), dtype=J.np.uint32)
+    sig[1] = sig[0]
+    sig[1, -8:] += 1
+    i, j = J.np.zeros(399, int), J.np.arange(1, 400)
+
+    class Seen(J.np.ndarray):
+        looked = 0
+
+        def __getitem__(self, at):
+            out = J.np.asarray(super().__getitem__(at))
+            Seen.looked += out.size
+            return out
+
+    assert J.compare(sig.view(Seen), i, j).tolist() == [0]
+    assert Seen.looked < 2 * 399 * J.BANDS * J.ROWS / 4
+    band = J.np.full(399, 2)
+    assert J.compare(sig, i, j, band).tolist() == []  # the pair meets in band 0 first
+    assert J.compare(sig, i, j, J.np.zeros(399, int)).tolist() == [0]
