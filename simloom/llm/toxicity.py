@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -223,13 +224,17 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, most:
     y = np.asarray(rows.column("_y"))[order].astype(int) if rows.num_rows else np.zeros(0, int)
     got = rows.column("text").to_pylist()
     del rows
-    return fit([got[i] for i in order], y, (ones + 0.5) / (n + 1.0))
+    model = fit([got[i] for i in order], y, (ones + 0.5) / (n + 1.0))
+    del got
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the driver is small, and its work goes on
+        trim(0)
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """docs with toxicity (0 to 1): the calibrated probability of the most toxic window of the whole text.
 
-    Null and empty texts, and texts without words, get the prior. The columns of docs named in keep
+    Null and empty texts, and texts without words, get the prior, whatever it is. The columns of docs named in keep
     (doc_id unless given) are passed on; a column toxicity of docs is replaced. Rows that repeat are
     scored each. An empty table gives no rows.
 

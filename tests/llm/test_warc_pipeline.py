@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from simloom.llm import warc
@@ -42,6 +43,24 @@ def test_round_trip(spark, split):
     assert len(got) == len(PAGES) and all(r.digest_ok for r in got if r.record_type == "response")
 
 
+@pytest.mark.parametrize("split", ["128m", "60000"])
+def test_payloads_of_several_cells(spark, split):
+    """Payloads longer than the cells in which pieces meet, with magic and whole records in them, beside plain long ones."""
+    long = "".join(f"{k} some page text, {FAKE if k % 400 == 7 else ''}" for k in range(8_000))
+    assert len(long) > 2 * warc.CELL
+    pages = [(1, "u", long), (2, "u", "z" * 150_000), (3, "v", long), (4, "w", "y" + long), (5, "w", "WARC/1.0\r\n" * 20_000)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == expected(pages)
+    assert all(r.digest_ok for r in got if r.record_type == "response")
+
+
 def test_warc_edges(spark):
     schema = "page_id long, url string, html string, _digest string"
     rows = [(1, "u", BIG, "x"), (1, "u", BIG, "x"), (None, "u", BIG, "x"), (None, None, None, None)]
@@ -59,13 +78,30 @@ def test_pipeline(spark):
 
 
 def test_stages_on_edges(spark, edge_docs, no_docs):
-    docs = edge_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    """With clashing columns, which all stages but the last hand on as they are."""
+    docs = edge_docs
+    for name in ("n_deleted", "n_lines", "_many", "_first", "_runs", "keep", "_all"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.count() <= docs.count()
         if name != "mixing":
             assert out.columns == docs.columns
-        assert stage(spark, no_docs, "/root/testdata/sf0.001").count() == 0
+            others = [c for c in docs.columns if c not in ("text", "n_chars")]
+            assert out.select(others).exceptAll(docs.select(others)).count() == 0
+            # texts without words stay
+            assert out.filter("text IS NULL OR NOT text RLIKE '[a-zA-Z]'").count() == 3
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_of_rows_that_repeat_the_same_one_stays(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, passage, s, s, len(s)) for s in ("c", "a", "b", "a")] + [(2, "something else altogether, which is short", "x", "y", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("line_dedup", "jaccard_join"):
+        got = [sorted(tuple(r) for r in stages[name](spark, docs.repartition(parts), "").collect()) for parts in (1, 3)]
+        assert got[0] == got[1] and set(got[0]) <= set(rows) and [r[0] for r in got[0]] == [1, 2]
 
 
 def test_registered():
