@@ -6,15 +6,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from simloom.llm.arrow import small_batches, utf8, words
-from simloom.llm.line_dedup import KEY, document_key
-from simloom.storage import join_small, materialize
+from simloom.llm.sketch import KEY, Sieve, packed, unpacked
+from simloom.storage import materialize, scratch
 
 #: Words of a window.
 WINDOW = 13
@@ -107,6 +107,34 @@ class Segment:
         found = found[found >= 0]
         return found[self.doc_of(found) == self.doc_of(found + len(phrase) - 1)]
 
+    def near_docs(self, phrase: np.ndarray, room: int) -> np.ndarray:
+        """Documents with a stretch of at most `room` words that holds every term of the phrase, in any order.
+
+        Postings of the rarest term stay while every other term has one within reach; for what is left,
+        every stretch around it is looked at.
+        """
+        terms = np.unique(phrase)
+        terms = terms[np.argsort(self.counts[terms], kind="stable")]
+        p = self.postings(terms[0]).astype(np.int64)
+        for t in terms[1:]:
+            if not len(p):
+                return p
+            x = self.postings(t)
+            p = p[np.searchsorted(x, p - room, "right") < np.searchsorted(x, p + room)]
+        own = self.doc_of(p)
+        ok = np.ones((len(p), room), bool)
+        for t in terms[1:] if len(p) else ():
+            x = self.postings(t)
+            low = np.searchsorted(x, np.maximum(p - room + 1, self.starts[own]))
+            n = np.searchsorted(x, np.minimum(p + room, self.starts[own + 1])) - low
+            row = np.repeat(np.arange(len(p)), n)
+            at = x[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[row]]
+            there = np.zeros((len(p), 2 * room), np.int32)
+            there[row, at - p[row] + room] = 1  # column c is the word c - room after p
+            upto = there.cumsum(axis=1)
+            ok &= upto[:, room : 2 * room] > upto[:, :room]  # stretches that end at p, p + 1, ...
+        return np.unique(own[ok.any(axis=1)])
+
     def near(self, phrase: np.ndarray, slop: int) -> list[tuple[int, int]]:
         """Least stretches of at most len(phrase) + slop words that hold every term of the phrase, in any order."""
         terms = sorted(set(phrase.tolist()), key=lambda t: self.counts[t])
@@ -147,11 +175,11 @@ def _coded(phrases: Iterable[tuple[bytes, ...]]) -> tuple[dict[bytes, int], list
     return dict(number), coded
 
 
-_ROW = "segment string, _n int, n_words long, items array<string>, spans array<struct<start:long,end:long>>"
+_ROW = "segment string, _n int, n_words long, items array<string>, spans array<struct<start:long,end:long>>, near array<string>"
 
 
-def _search(index: DataFrame, windows: dict[tuple[bytes, ...], set]) -> DataFrame:
-    """Per document of the index: its words, the items found and the merged stretches that windows cover."""
+def _search(index: DataFrame, windows: dict[tuple[bytes, ...], set], slop: int | None) -> tuple[DataFrame, Broadcast]:
+    """Per document of the index: its words, the items found and the merged stretches that windows cover; and what is broadcast for it."""
     spark = index.sparkSession
     wanted, phrases = _coded(windows)
     owners = [sorted({str(i) for i in x if i is not None}) for x in windows.values()]
@@ -171,6 +199,7 @@ def _search(index: DataFrame, windows: dict[tuple[bytes, ...], set]) -> DataFram
                 n = len(row["doc_ids"])
                 cover = np.zeros(s.starts[-1] + 1, np.int32)
                 items: dict[int, set[str]] = {}
+                near: dict[int, set[str]] = {}
                 s.counts[-1] = 1  # the filler of short windows
                 for k in np.flatnonzero((s.counts[table] > 0).all(axis=1)):
                     begins = s.exact(phrases[k])
@@ -179,48 +208,58 @@ def _search(index: DataFrame, windows: dict[tuple[bytes, ...], set]) -> DataFram
                         np.add.at(cover, begins + len(phrases[k]), -1)
                         for d in np.unique(s.doc_of(begins)):
                             items.setdefault(int(d), set()).update(owners[k])
+                    for d in () if slop is None else s.near_docs(phrases[k], len(phrases[k]) + slop).tolist():
+                        near.setdefault(d, set()).update(owners[k])
                 hit = (np.cumsum(cover) > 0).astype(np.int8)
                 spans: dict[int, list[dict]] = {}
                 if items:
                     for d in items:
                         own = np.diff(np.concatenate([[0], hit[s.starts[d] : s.starts[d + 1]], [0]]))
                         spans[d] = [{"start": x, "end": y} for x, y in zip(np.flatnonzero(own > 0).tolist(), np.flatnonzero(own < 0).tolist(), strict=True)]
-                cols = [row["segment"]] * n, list(range(n)), row["doc_ids"], np.diff(s.starts), [sorted(items.get(d, ())) for d in range(n)], [spans.get(d, []) for d in range(n)]
+                cols = [row["segment"]] * n, list(range(n)), row["doc_ids"], np.diff(s.starts), [sorted(items.get(d, ())) for d in range(n)], [spans.get(d, []) for d in range(n)], [sorted(near.get(d, ())) for d in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
-    return index.mapInArrow(search, schema)
-
+    return index.mapInArrow(search, schema), shared
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, slop: int | None = None) -> DataFrame:
     """How much of each document is test items.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. A document word inside any
     occurrence of a window of an item (`window` consecutive words; an item of fewer is one window)
     is hit. Returns a row per row of docs: doc_id, n_words, n_hit, items (ids as strings, sorted),
-    spans (the hit stretches by word, end exclusive), contaminated (n_hit > 0 and 20 * n_hit >= n_words).
+    spans (the hit stretches by word, end exclusive), near (with slop, items that have a window all of
+    whose words stand, in any order, within a stretch of that many words and slop more; else empty),
+    contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
     Null and empty texts have no words and no hits. Rows that repeat are judged each. Items that
     repeat an id count once; null item ids are hit but not listed. Empty tables give no rows, or no hits.
 
     Scale: documents are indexed in place and searched there; nothing is shuffled. Items are searched
-    in blocks of about block_words, so what is broadcast has a bound; with several blocks the
-    document's findings are merged by a group of narrow rows.
+    in blocks of about block_words, one after the other: a block's windows are built on the driver,
+    broadcast, and let go once its findings, narrow rows, are stored. With several blocks a
+    document's findings are merged by a group. The index goes when the result is stored.
     """
-    spark = docs.sparkSession
-    index = build_index(docs)
     items = items.select("item_id", utf8())
     rough = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-rough // (6 * block_words)))
-    found = []
-    for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        found.append(_search(index, windows_of(((r.item_id, None if r.text is None else bytes(r.text)) for r in part.toLocalIterator()), window)))
-    rows = found[0]
-    if blocks > 1:
-        for x in found[1:]:
-            rows = rows.unionByName(x)
-        rows = rows.groupBy("segment", "_n").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    with scratch(docs.sparkSession) as block:
+        index = build_index(docs)
+        rows = None
+        for k in range(blocks):
+            part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+            found, shared = _search(index, windows_of(((r.item_id, None if r.text is None else bytes(r.text)) for r in part.toLocalIterator()), window), slop)
+            if blocks == 1:
+                return block.keep(_judged(found), "decontaminated")
+            found = materialize(found, "decontaminate-found")
+            shared.destroy()
+            rows = found if rows is None else rows.unionByName(found)
+        rows = rows.groupBy("segment", "_n").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
+        return block.keep(_judged(rows), "decontaminated")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """The contract's columns from spans in order, which may overlap."""
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),
@@ -228,7 +267,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         lambda a: a["n"],
     )
     rows = rows.withColumn("n_hit", covered)
-    return rows.select("doc_id", "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return rows.select("doc_id", "n_words", "n_hit", "items", "spans", "near", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def search_phrases(index: DataFrame, phrases: list[tuple[str, str]], slop: int | None = None) -> DataFrame:
@@ -264,8 +303,8 @@ def search_phrases(index: DataFrame, phrases: list[tuple[str, str]], slop: int |
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that decontaminate doesn't call contaminated."""
-    keyed = document_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text"))
-    found = decontaminate(keyed.select(F.struct(*KEY).alias("doc_id"), "text"), items)
-    bad = materialize(found.filter("contaminated").select("doc_id._d", "doc_id._h").distinct(), "contaminated")
-    return join_small(keyed, bad, KEY, "left_anti").select(*[F.col(f"_row.`{c}`") for c in docs.columns])
+    """The rows of docs, all columns, that decontaminate doesn't call contaminated. Only those that go are shuffled."""
+    with scratch(docs.sparkSession) as block:
+        found = decontaminate(packed(docs, "text").select(F.struct(*KEY).alias("doc_id"), "text"), items)
+        bad = block.keep(found.filter("contaminated").select("doc_id._d", "doc_id._h").distinct(), "contaminated")
+    return unpacked(Sieve(bad).without(packed(docs)), docs.columns)

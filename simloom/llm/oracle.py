@@ -13,10 +13,17 @@ d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '
 dw AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS x FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw))),
 m AS (SELECT r, k, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.x = iw.x),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) GROUP BY r),
-t AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM m GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+t AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM m GROUP BY r),
+p AS (SELECT r, w, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d),
+f AS (SELECT term, count(*) AS c FROM p GROUP BY term),
+iwt AS (SELECT row_number() OVER () AS q, item_id, n + 2 AS room, list_distinct(string_split(x, ' ')) AS terms FROM iw),
+rare AS (SELECT q, arg_min(term, coalesce(c, 0)) AS term FROM (SELECT q, unnest(terms) AS term FROM iwt) LEFT JOIN f USING (term) GROUP BY q HAVING min(coalesce(c, 0)) > 0),
+around AS (SELECT r, item_id, terms, room, w[greatest(1, p - room + 1):p + room - 1] AS a FROM iwt JOIN rare USING (q) JOIN p USING (term)),
+near AS (SELECT r, count(DISTINCT item_id) AS n_near FROM around
+       WHERE list_has_all(a, terms) AND len(list_filter(range(1, len(a) + 1), lambda s: list_has_all(a[s:s + room - 1], terms))) > 0 GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN near USING (r)
 """
 
 MIX = r"""

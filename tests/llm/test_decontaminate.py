@@ -38,6 +38,33 @@ def test_against_brute_force(spark, block):
     assert rows == brute(docs, items, 4)
 
 
+def brute_near(docs, items, window, slop):
+    cut = lambda t: WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    out = {}
+    for i, t in docs:
+        w = cut(t)
+        out[i] = set()
+        for j, u in items:
+            v = cut(u)
+            for k in range(max(1, len(v) - window + 1) if v else 0):
+                x = v[k : k + window]
+                if any(set(x) <= set(w[a : a + len(x) + slop]) for a in range(len(w))):
+                    out[i].add(str(j))
+    return {i: sorted(x) for i, x in out.items()}
+
+
+@pytest.mark.parametrize("block", [10_000, 15])
+def test_proximity_against_brute_force(spark, block):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefghijkl") for _ in range(n))
+    docs = [(k, text(rng.randrange(0, 60))) for k in range(60)] + [(60, None)]
+    items = [(k, text(rng.choice([1, 3, 5, 8]))) for k in range(20)]
+    got = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2), spark.createDataFrame(items, "item_id long, text string"), window=5, block_words=block, slop=2)
+    found = {r.doc_id: (r.near, r["items"]) for r in got.collect()}
+    assert {k: v[0] for k, v in found.items()} == brute_near(docs, items, 5, 2)
+    assert all(set(exact) <= set(near) for near, exact in found.values()) and any(near != exact for near, exact in found.values())
+
+
 def test_proximity(spark):
     index = D.build_index(spark.createDataFrame([(1, "x alpha beta y gamma z"), (2, "gamma q r s t u v alpha beta"), (3, "alpha beta gamma")], "doc_id long, text string"))
     got = {tuple(r) for r in D.search_phrases(index, [("p", "alpha beta gamma"), ("none", "...")], slop=1).collect()}
