@@ -259,6 +259,30 @@ def windows_of(values: Column, width: int, stride: int) -> Column:
     return F.transform(starts, lambda i: F.slice(values, i + 1, F.lit(width)))
 
 
+def whole_image(pad_to_width: Column) -> Column:
+    """Whether a run took the padded image as one strip: its width is given, and isn't an empty text or None."""
+    return F.coalesce(~F.btrim(pad_to_width.cast("string")).isin("", "None"), F.lit(False))
+
+
+def without_padding(columns: Column) -> Column:
+    """An image, as an array of pixel columns, without those at either end whose pixels are all 0 or 1; all if none is left."""
+    inked = F.filter(F.transform(columns, lambda c, i: F.when(F.exists(c, lambda p: (p != 0) & (p != 1)), i)), lambda i: i.isNotNull())
+    return F.transform(F.array(inked), lambda k: F.when(F.size(k) == 0, columns).otherwise(F.slice(columns, F.get(k, F.lit(0)) + 1, F.element_at(k, -1) - F.get(k, F.lit(0)) + 1)))[0]
+
+
+def strips(columns: Column, width: int, stride: int | None = None, trim: bool = False, pad_to_width: int | None = None) -> Column:
+    """Strips of `width` pixel columns, `stride` apart (width unless given), after trimming and padding.
+
+    Padding repeats the corner pixel, and cuts wider images.
+    """
+    out = without_padding(columns) if trim else columns
+    if pad_to_width is not None:
+        blank = F.transform(F.get(out, F.lit(0)), lambda p: F.get(F.get(out, F.lit(0)), F.lit(0)))
+        more = F.array_repeat(blank, F.greatest(F.lit(0), F.lit(pad_to_width) - F.size(out)))
+        out = F.slice(F.concat(out, more), 1, pad_to_width)
+    return windows_of(out, width, stride or width)
+
+
 def pad_to(values: Column, width: int, fill: float) -> Column:
     """Exactly `width` values: cut, or filled up at the end."""
     more = F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.lit(width) - F.size(values)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import pickle
 from collections.abc import Iterable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,11 @@ def yaml_config(path: str) -> dict:
     return yaml.safe_load(text)
 
 
+def config_run_name(config: dict) -> str:
+    """The configuration's run_name; where it has none, the time of day in UTC."""
+    return str(config.get("run_name") or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ"))
+
+
 def split_name(name: str) -> str:
     if name not in SPLIT_ALIASES:
         raise ValueError(f"unknown split {name!r}")

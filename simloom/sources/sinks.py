@@ -60,6 +60,22 @@ def markdown_table(df: DataFrame, most: int = 100) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
 
 
+def config(spark: SparkSession, path: str, values: dict) -> None:
+    """A copy of a run's configuration, keys in their order, as YAML that is JSON as well."""
+    text(spark, path, json.dumps(values, indent=2, default=_plain))
+
+
+def console_table(df: DataFrame, most: int = 100) -> str:
+    """At most `most` rows for a console: numbers to the right with four places, all else to the left."""
+    rows = df.limit(most).collect()
+    shown = lambda c: "-" if c is None else f"{c:,.4f}" if isinstance(c, float) else f"{c:,}" if isinstance(c, int) and not isinstance(c, bool) else str(c)
+    cells = [df.columns, *[[shown(c) for c in r] for r in rows]]
+    right = [t in ("double", "float", "int", "bigint", "smallint", "tinyint") for _, t in df.dtypes]
+    wide = [max(len(r[k]) for r in cells) for k in range(len(df.columns))]
+    line = lambda r: "  ".join(c.rjust(w) if num else c.ljust(w) for c, w, num in zip(r, wide, right, strict=True)).rstrip()
+    return "\n".join([line(cells[0]), "  ".join("-" * w for w in wide), *[line(r) for r in cells[1:]]])
+
+
 def two_sections(spark: SparkSession, path: str, first: DataFrame, second: DataFrame) -> None:
     csv(first, f"{path}/first")
     csv(second, f"{path}/second")

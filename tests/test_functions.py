@@ -129,3 +129,15 @@ def test_score_columns_have_all_names(spark):
     df = spark.createDataFrame([("google", "gogole"), (None, "x")], "a string, b string")
     rows = df.select(*D.score_columns(F.col("a"), F.col("b"))).collect()
     assert set(rows[0].asDict()) == set(D.SCORERS) and all(0 <= v <= 1 for r in rows for v in r)
+
+
+def test_strips_of_images(spark):
+    pure, ink, solid = [0.0, 0.0], [0.0, 0.5], [1.0, 0.0]
+    rows = [(1, [pure, ink, solid, ink, pure, pure]), (2, [pure, solid]), (3, [ink])]
+    df = spark.createDataFrame(rows, "id long, image array<array<double>>")
+    one = {r.id: r.s for r in df.select("id", X.strips(F.col("image"), 2, trim=True).alias("s")).collect()}
+    assert one == {1: [[ink, solid]], 2: [[pure, solid]], 3: []}
+    two = {r.id: r.s for r in df.select("id", X.strips(F.col("image"), 2, 1, pad_to_width=3).alias("s")).collect()}
+    assert two == {1: [[pure, ink], [ink, solid]], 2: [[pure, solid], [solid, pure]], 3: [[ink, [0.0, 0.0]], [[0.0, 0.0], [0.0, 0.0]]]}
+    flags = spark.createDataFrame([("128",), ("",), ("None",), (None,)], "w string").select(X.whole_image(F.col("w")).alias("f")).collect()
+    assert [r.f for r in flags] == [True, False, False, False]

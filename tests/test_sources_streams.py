@@ -119,3 +119,11 @@ def test_shared_folder():
     assert storage.shared_dir(session(None, "hdfs:/context/")) == "hdfs:/context"
     with pytest.raises(ValueError, match="checkpoint.dir"):
         storage.shared_dir(session(None, None))
+
+
+def test_run_names_config_copies_and_console_tables(spark, tmp_path):
+    assert readers.config_run_name({"run_name": "a"}) == "a" and len(readers.config_run_name({})) == 16
+    sinks.config(spark, str(tmp_path / "config.yaml"), {"z": 1, "a": [0.5, None]})
+    assert readers.yaml_config(str(tmp_path / "config.yaml")) == {"z": 1, "a": [0.5, None]}
+    shown = sinks.console_table(spark.createDataFrame([("a", 1234, 0.5), ("long name", None, 12.0)], "name string, n int, score double"))
+    assert shown.split("\n") == ["name           n    score", "---------  -----  -------", "a          1,234   0.5000", "long name      -  12.0000"]
