@@ -47,7 +47,7 @@ def range_join_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def range_join_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of distinct tokens within distance 2; comparing all pairs takes SQL too long, so tests do on few."""
-    names = tokens(spark, sf_dir)
+    names = materialize(tokens(spark, sf_dir), "tokens")
     return J.range_join(names, names, 2).filter("left_name < right_name").select("left_name", "right_name", F.col("distance").cast("long").alias("distance"))
 
 
