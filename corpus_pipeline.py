@@ -31,7 +31,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A document of which no word is left goes; so does all but one of rows that repeat doc_id and text.
     """
-    done = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")), min_words=50)
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_all")
+    done = line_dedup.dedup_lines(docs.select("doc_id", "text", others), min_words=50)
     left = done.filter((F.col("n_deleted") == 0) | F.col("text").rlike(line_dedup.WORD))
     n_chars = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("_all.n_chars")).alias("n_chars")
     return left.select(*[n_chars if c == "n_chars" else F.col("text") if c == "text" else F.col(f"_all.`{c}`") for c in docs.columns])

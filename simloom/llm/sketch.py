@@ -86,8 +86,9 @@ def repeated_rows(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame, *more: str) -> DataFrame:
-    """KEY, _row (all columns of docs as one struct, so that no name of theirs can clash) and the columns in more."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """KEY, the columns in more, and _row: all others as one struct, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in more]
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*rest).alias("_row"))
     return document_key(rows).select(*KEY, "_row", *more)
 
 
