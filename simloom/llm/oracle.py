@@ -59,6 +59,54 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+
+CHAT = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+       UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+f AS (SELECT *, replace(replace({_ESCAPED.format("role")}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') AS r, {_ESCAPED.format("text")} AS x FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>' || r || chr(10) || x || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+# crc32 of ASCII and two-byte UTF-8 texts; the table comes from its rule
+_CRC_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, x: " + _CRC_STEP.format("a") + ") ORDER BY i) AS t FROM range(256) r(i))"
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN c = '' THEN []::BIGINT[] WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END))"
+_CRC = "xor(list_reduce(list_concat([4294967295], " + _BYTES + "), lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1])), 4294967295)"
+
+TRIE = rf"""
+WITH {_CRC_TABLE}, r AS (SELECT conv_id, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h,
+       CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS w FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(h ORDER BY turn NULLS FIRST, role, h) AS h, list(w ORDER BY turn NULLS FIRST, role, h) AS w FROM r GROUP BY conv_id),
+k AS (SELECT c.*, CAST({_CRC.format("CAST(conv_id AS VARCHAR)")} % 4 AS INT) AS n FROM c, crc),
+b AS (SELECT k.conv_id, list_concat(coalesce(o.h, [])[1:k.n], k.h[k.n + 1:]) AS h, list_concat(coalesce(o.w, [])[1:k.n], k.w[k.n + 1:]) AS w FROM k LEFT JOIN c o ON o.conv_id = k.conv_id - k.conv_id % 20),
+p AS (SELECT conv_id, d, len(h) = d AS ends, sha256(array_to_string(h[1:d], ',')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string(h[1:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w,
+       list_transform(range(0, d + 1), lambda i: sha256(array_to_string(h[1:i], ','))) AS above FROM (SELECT *, unnest(range(0, len(h) + 1)) AS d FROM b)),
+n AS (SELECT node, min(up) AS up, min(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(w) AS w, min(above) AS above, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY node),
+m AS (SELECT n.*, CAST(coalesce(k, 0) AS BIGINT) AS n_children FROM n LEFT JOIN (SELECT up, count(*) AS k FROM n GROUP BY up) q ON q.up = n.node),
+s AS (SELECT a AS node, CAST(sum((n_children = 0)::INT) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * w) AS BIGINT) AS saved_tokens FROM (SELECT unnest(above) AS a, n_children, n_convs, w FROM m) GROUP BY a)
+SELECT m.conv_id, m.depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256 FROM m JOIN s USING (node) LEFT JOIN n o ON o.node = m.up
+"""
+
+SPELLING = rf"""
+WITH {_CRC_TABLE}, r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+d AS (SELECT doc_id, x, count(*) AS n FROM r WHERE length(x) >= 5 GROUP BY ALL),
+h AS (SELECT x, n, {_CRC.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || x")} AS h FROM d, crc),
+l AS (SELECT CASE WHEN h % 97 = 0 THEN substr(x, 1, CAST(h % length(x) AS BIGINT)) || substr(x, CAST(h % length(x) AS BIGINT) + 2) ELSE x END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM l WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+g AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n FROM g a JOIN g b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+       UNION SELECT g.word, v.word, v.n FROM g JOIN v ON v.word = g.cut UNION SELECT v.word, g.word, g.n FROM g JOIN v ON v.word = g.cut),
+q AS (SELECT word, count(*) AS n_near, max(n) AS most, arg_min(near, struct_pack(a := -n, b := encode(near))) AS best FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN most >= 2 * v.n THEN best END AS form, CASE WHEN most >= 2 * v.n THEN most END AS form_n FROM v LEFT JOIN q USING (word)),
+RECURSIVE_ROOTS
+SELECT f.word, f.form, o.root, f.n, f.n_near, f.form_n FROM f JOIN o USING (word)
+"""
+SPELLING = SPELLING.replace("WITH crc", "WITH RECURSIVE crc", 1).replace("RECURSIVE_ROOTS", "z AS (SELECT word, word AS root FROM f UNION ALL SELECT z.word, f.form FROM z JOIN f ON f.word = z.root WHERE f.form IS NOT NULL), o AS (SELECT z.word, z.root FROM z JOIN f ON f.word = z.root WHERE f.form IS NULL)")
+
 
 def secrets_sql(kinds: dict, scope: int) -> str:
     """Offsets from the texts between matches, then the links of parts within the scope."""
