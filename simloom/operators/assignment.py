@@ -2,31 +2,129 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from simloom.operators.metrics import numbered
 from simloom.storage import materialize
 
 
+#: Places of a list that a round looks at for a row that was turned down, and rows of a list that are ordered together.
+LOOK, BLOCK = 16, 4096
+
+
 def assign_unique(preferences: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """What rows get if each in turn, by row_idx, takes its best key that is still free.
 
     preferences: row_idx, pref (its order of choice, from 1), key. taken: key, what nobody may have.
-    Returns row_idx, key, pref of the rows that got one. The turns are a serial dictatorship, so they
-    give the same as deferred acceptance where every key prefers the least row_idx: in each round all
-    rows hold on to the best key that hasn't turned them down, and keys keep their least row. A round
-    is one partial aggregation and one join, whatever the number of rows.
+    Returns row_idx, key, pref of the rows that got one. Rows with the same preferences share a list
+    (assign_lists), found by sums of hashes, so that no row's preferences are ever gathered.
     """
     p = preferences if taken is None else preferences.join(taken.select("key").distinct(), "key", "left_anti")
     p = materialize(p.groupBy("row_idx", "key").agg(F.min("pref").alias("pref")), "preferences")
+    of = ["_a", "_b", "_n"]
+    told = p.groupBy("row_idx").agg(F.bit_xor(F.xxhash64("pref", "key")).alias("_a"), F.bit_xor(F.xxhash64("key", F.lit(7), "pref")).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    told = materialize(told, "digests")
+    rows = told.join(told.groupBy(*of).agg(F.min("row_idx").alias("list")), of).select("row_idx", "list")
+    rows = materialize(rows, "rows")
+    lists = p.join(rows.filter("row_idx = list").select("row_idx"), "row_idx").withColumnRenamed("row_idx", "list")
+    return assign_lists(rows, lists)
+
+
+def assign_lists(rows: DataFrame, lists: DataFrame, taken: DataFrame | None = None, more: Callable[[DataFrame], DataFrame | None] | None = None, told: list[int] | None = None) -> DataFrame:
+    """What rows get if each in turn, by row_idx, takes the first key of its list that is free.
+
+    rows: row_idx, list and maybe first, a key that the row tries before its list (null: none). lists: list, pref, key;
+    taken: key. more(lists that rows have come to the end of: list) may give further rows of lists, which
+    stand behind those there are, or None when there are no others. Returns row_idx, key, pref (0 for first). told gets the number of rounds.
+
+    The turns are a serial dictatorship, which equals deferred acceptance where keys prefer the least row:
+    a row that asks for a key because all that it likes better are gone takes it from all later ones.
+    Each round every row asks for the first key of its list that it may still get. Rows of one list can't
+    get the same key, nor one before what an earlier row of the list gets, so the k-th of them begins at
+    the k-th place, and whenever one moves the later ones move with it: a list that n rows share takes
+    one round, not n. What a round costs are joins of narrow rows; only rows that move look at lists.
+    """
+    forbidden = None if taken is None else materialize(taken.select("key").distinct(), "taken")
+
+    def placed(some: DataFrame, after: DataFrame | None) -> DataFrame:
+        """list, pos, key, pref: places in the list, behind those of `after` (list, last)."""
+        free = some if forbidden is None else some.join(forbidden, "key", "left_anti")
+        one = numbered(free.groupBy("list", "key").agg(F.min("pref").alias("pref")), "list", ["pref", "key"], "pos")
+        if after is not None:
+            one = one.join(after, "list", "left").withColumn("pos", F.col("pos") + F.coalesce("last", F.lit(0)))
+        return materialize(one.select("list", "pos", "key", "pref"), "places")
+
+    entries = placed(lists, None)
+    ends = materialize(entries.groupBy("list").agg(F.max("pos").alias("last")), "ends")
+    state = numbered(rows.select("row_idx", "list", F.col("first") if "first" in rows.columns else F.lit(None).cast(entries.schema["key"].dataType).alias("first")), "list", ["row_idx"], "_n")
+    state = state.join(ends, "list", "left").withColumn("last", F.coalesce("last", F.lit(0))).withColumn("block", F.floor((F.col("_n") - 1) / BLOCK).cast("long"))
+    if forbidden is not None:
+        state = state.join(forbidden.select(F.col("key").alias("first"), F.lit(True).alias("_no")), "first", "left").withColumn("first", F.when(F.col("_no").isNull(), F.col("first")))
+    columns = ["row_idx", "list", "last", "block", "pos", "key", "pref", "moved"]
+    zero = F.lit(0).cast(entries.schema["pref"].dataType)
+    # at place 0 a row asks for its first key; a key that is null is still to be looked for
+    judged = state.select("row_idx", "list", "last", "block", F.when(F.col("first").isNull(), 1).otherwise(0).cast("long").alias("pos"), F.col("first").alias("key"), F.when(F.col("first").isNotNull(), zero).alias("pref"), F.lit(True).alias("moved"))
+    judged, holders, n = materialize(_pushed(judged), "asked"), None, 0
+
+    def looked(some: DataFrame) -> DataFrame:
+        """Rows at the first place from pos on that they may still get, of the next LOOK."""
+        wish = some.filter("key IS NULL AND pos <= last").select("row_idx", "list", F.explode(F.sequence("pos", F.least(F.col("pos") + (LOOK - 1), F.col("last")))).alias("pos")).join(entries, ["list", "pos"])
+        if holders is not None:
+            wish = wish.join(holders, "key", "left").filter("holder IS NULL OR holder >= row_idx")
+        best = wish.groupBy("row_idx").agg(F.min(F.struct("pos", "key", "pref")).alias("_b"))
+        out = some.join(best, "row_idx", "left")
+        asks = F.col("key").isNotNull()
+        place = F.when(asks, F.col("pos")).otherwise(F.coalesce(F.col("_b.pos"), F.least(F.col("pos") + LOOK, F.greatest(F.col("last") + 1, F.col("pos")))))
+        return out.select("row_idx", "list", "last", "block", place.alias("pos"), F.coalesce("key", "_b.key").alias("key"), F.coalesce("pref", "_b.pref").alias("pref"), "moved")
+
     while True:
-        asked = p.groupBy("row_idx").agg(F.min(F.struct("pref", "key")).alias("b")).select("row_idx", "b.pref", "b.key")
-        holder = asked.groupBy("key").agg(F.min("row_idx").alias("holder"))
-        lost = materialize(asked.join(holder, "key").filter("row_idx > holder").select("row_idx", "key", "holder"), "refused")
-        if not lost.limit(1).count():
-            return asked.select("row_idx", "key", "pref")
-        # a key only ever passes to lesser rows, so every later row's wish for it is dead as well
-        p = materialize(p.join(holder, "key", "left").filter("holder IS NULL OR row_idx <= holder").select("row_idx", "key", "pref"), "preferences")
+        while judged.filter("moved").limit(1).count():
+            n += 1
+            state = materialize(judged.filter("NOT moved").unionByName(looked(judged.filter("moved"))), "asked")
+            asked = state.filter("moved AND key IS NOT NULL").groupBy("key").agg(F.min("row_idx").alias("holder"))
+            holders = materialize(asked if holders is None else holders.unionByName(asked).groupBy("key").agg(F.min("holder").alias("holder")), "holders")
+            lost = F.coalesce(F.col("holder") < F.col("row_idx"), F.lit(False))
+            seeks = F.col("key").isNull() & (F.col("pos") <= F.col("last"))
+            met = state.join(holders, "key", "left").withColumn("_lost", lost).withColumn("moved", F.col("_lost") | seeks)
+            met = met.select("row_idx", "list", "last", "block", (F.col("pos") + F.col("_lost").cast("int")).alias("pos"), F.when(~F.col("_lost"), F.col("key")).alias("key"), F.when(~F.col("_lost"), F.col("pref")).alias("pref"), "moved")
+            judged = materialize(_pushed(met.select(*columns)), "asked")
+        ended = judged.filter("key IS NULL").select("list").distinct()
+        extra = None if more is None or not ended.limit(1).count() else more(materialize(ended, "ended"))
+        if extra is None:
+            break
+        new = placed(extra.join(entries.select("list", "key"), ["list", "key"], "left_anti"), ends)
+        if new.limit(1).count():
+            entries = materialize(entries.unionByName(new), "places")
+            ends = materialize(entries.groupBy("list").agg(F.max("pos").alias("last")), "ends")
+            judged = judged.drop("last").join(ends, "list", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+            judged = materialize(judged.withColumn("moved", F.col("key").isNull() & (F.col("pos") <= F.col("last"))).select(*columns), "asked")
+    if told is not None:
+        told.append(n)
+    return judged.filter("key IS NOT NULL").select("row_idx", "key", "pref")
+
+
+def _pushed(state: DataFrame) -> DataFrame:
+    """Rows of one list, in their order, at least one place apart; those that move look for a key again.
+
+    With r rows of the list up to a row, it stands at r plus the largest (place - r) so far. Both are
+    taken within blocks of a list and then over blocks, so that no task orders a whole list.
+    """
+    rows = state.filter("pos > 0")
+    inner = Window.partitionBy("list", "block").orderBy("row_idx")
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_r", F.row_number().over(inner).cast("long")).withColumn("_m", F.max(F.col("pos") - F.col("_r")).over(upto))
+    blocks = rows.groupBy("list", "block").agg(F.max("_r").alias("_size"), F.max("_m").alias("_most"))
+    over = Window.partitionBy("list").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_o", F.coalesce(F.sum("_size").over(over), F.lit(0)))
+    blocks = blocks.withColumn("_v", F.max(F.col("_most") - F.col("_o")).over(over)).filter("_o > 0").select("list", "block", "_o", "_v")
+    place = F.coalesce(F.col("_o") + F.col("_r") + F.greatest(F.col("_v"), F.col("_m") - F.col("_o")), F.col("_r") + F.col("_m"))
+    rows = rows.join(blocks, ["list", "block"], "left").withColumn("_p", place).withColumn("_up", F.col("_p") > F.col("pos"))
+    seeks = F.col("_up") & (F.col("_p") <= F.col("last"))
+    rows = rows.select("row_idx", "list", "last", "block", F.col("_p").alias("pos"), F.when(~F.col("_up"), F.col("key")).alias("key"), F.when(~F.col("_up"), F.col("pref")).alias("pref"), (F.when(F.col("_up"), seeks).otherwise(F.col("moved"))).alias("moved"))
+    return state.filter("pos = 0").unionByName(rows)
 
 
 def assign_in_phases(*phases: DataFrame, taken: DataFrame | None = None) -> DataFrame:

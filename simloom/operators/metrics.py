@@ -25,6 +25,21 @@ def running_totals(df: DataFrame, order: str, columns: list[str], descending: bo
     return joined.select(*df.columns, *[(F.col(f"cum_{c}") + F.col(f"_{c}")).alias(f"cum_{c}") for c in columns])
 
 
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """df with each row's number (from 1) within its group by `order` (distinct in a group), without one task for a group.
+
+    Rows are range-partitioned by group and order; a partition's count of a group tells where the next one goes on.
+    """
+    by = [F.col(group), *[F.col(c) for c in order]]
+    placed = materialize(df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(group, "_p", before.alias("_before")).filter("_before IS NOT NULL")
+    own = F.row_number().over(Window.partitionBy(group, "_p").orderBy(*order))
+    joined = placed.withColumn(name, own).join(counts, [group, "_p"], "left")
+    return joined.select(*df.columns, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
+
+
 def by_score(df: DataFrame) -> DataFrame:
     """score, pos and neg of each distinct score. df: score, label (0 or 1)."""
     return df.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum(1 - F.col("label").cast("long")).alias("neg"))
