@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from simloom.functions import batch_edit
 from simloom.functions.text import collapse_spaces, tokens
 
 # Character pairs that look alike, in both orders, for position_confusion.
@@ -36,149 +38,107 @@ def levenshtein_similarity_folded(a: Column, b: Column) -> Column:
     return normalized(F.levenshtein(F.lower(a), F.lower(b)), a, b)
 
 
-def _pairs(f: Callable[[str, str], float]) -> Callable[[pd.Series, pd.Series], pd.Series]:
+def _pairs(f: Callable[[list[tuple[str, str]]], np.ndarray]) -> Callable[[pd.Series, pd.Series], pd.Series]:
+    """f over the distinct pairs of a batch, which don't hold nulls."""
+
     def scored(a: pd.Series, b: pd.Series) -> pd.Series:
-        memo: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(a, b, strict=True):
-            if None in pair:
-                out.append(None)
-                continue
-            if pair not in memo:
-                memo[pair] = f(*pair)
-            out.append(memo[pair])
-        return pd.Series(out, dtype="object")
+        place: dict[tuple[str, str], int] = {}
+        at = [None if x is None or y is None else place.setdefault((x, y), len(place)) for x, y in zip(a, b, strict=True)]
+        got = f(list(place)).tolist()
+        return pd.Series([None if k is None else got[k] for k in at], dtype="object")
 
     return scored
 
 
-def restricted_damerau(a: str, b: str) -> int:
-    """Optimal string alignment: no substring is edited twice."""
-    if a == b:
-        return 0
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a):
-        row = [i + 1]
-        for j, y in enumerate(b):
-            best = min(rows[-1][j + 1] + 1, row[j] + 1, rows[-1][j] + (x != y))
-            if i and j and x == b[j - 1] and y == a[i - 1]:
-                best = min(best, rows[-2][j - 1] + 1)
-            row.append(best)
-        rows = [rows[-1], row]
-    return rows[-1][-1]
+def token_set_indels(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """0 to 100: the best insert-delete ratio between the shared tokens and each side; 100 if one side's are all shared."""
+    out, rests = np.zeros(len(pairs)), []
+    for n, (a, b) in enumerate(pairs):
+        one, two = set(a.split()), set(b.split())
+        both = one & two
+        if both and (len(both) == len(one) or len(both) == len(two)):
+            out[n] = 100.0
+        elif one and two:
+            rests.append((n, len(" ".join(both)), " ".join(sorted(one - two)), " ".join(sorted(two - one))))
+    common = batch_edit.common_subsequence([(left, right) for _, _, left, right in rests])
+    for (n, shared, left, right), c in zip(rests, common.tolist(), strict=True):
+        gap = 1 if shared else 0
+        l_full, r_full = shared + gap + len(left), shared + gap + len(right)
+        # both full texts begin with the shared tokens: only the rests differ
+        best = 1 - (len(left) + len(right) - 2 * c) / (l_full + r_full)
+        if shared:
+            best = max(best, 1 - (gap + len(left)) / (shared + l_full), 1 - (gap + len(right)) / (shared + r_full))
+        out[n] = 100 * best
+    return out
+
+
+_ALIKE = {(p[0], p[1]): 1.0 for x in CONFUSED for p in (x, x[::-1])}
+
+
+def position_confusions(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Edits cost less towards the end, look-alike substitutions a quarter; over the longer length."""
 
+    def costs(la: np.ndarray, lb: np.ndarray, most_a: int, most_b: int) -> tuple[Callable, Callable, Callable]:
+        n = np.maximum(la, lb)
+        decay = [np.where(n <= 1, 1.0, 1.0 - 0.5 * place / np.maximum(n - 1, 1)) for place in range(max(most_a, most_b, 1))]
+        like = [w * CONFUSED_COST for w in decay]
+        place = lambda i, j: max(i, j) - 1 if not i or not j else round((i + j) / 2) - 1
+        edit = lambda i, j: decay[place(i, j)]
+        return edit, edit, lambda i, j, same, worth: np.where(same, 0.0, np.where(worth > 0, like[place(i, j)], decay[place(i, j)]))
 
-def full_damerau(a: str, b: str) -> int:
-    """Damerau's distance with any number of edits between transposed characters."""
-    far = len(a) + len(b)
-    last_row: dict[str, int] = {}
-    d = {(-1, -1): far}
-    for i in range(len(a) + 1):
-        d[i, -1], d[i, 0] = far, i
-    for j in range(len(b) + 1):
-        d[-1, j], d[0, j] = far, j
-    for i in range(1, len(a) + 1):
-        last_col = 0
-        for j in range(1, len(b) + 1):
-            k, m = last_row.get(b[j - 1], 0), last_col
-            same = a[i - 1] == b[j - 1]
-            if same:
-                last_col = j
-            swap = d[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1)
-            d[i, j] = min(d[i - 1, j - 1] + (not same), d[i, j - 1] + 1, d[i - 1, j] + 1, swap)
-        last_row[a[i - 1]] = i
-    return d[len(a), len(b)]
-
-
-def common_subsequence(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b):
-            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1]
-
-
-def indel_ratio(a: str, b: str) -> float:
-    total = len(a) + len(b)
-    return 1.0 if not total else 2 * common_subsequence(a, b) / total
+    lower = [(a.lower(), b.lower()) for a, b in pairs]
+    n = np.array([max(len(a), len(b), 1) for a, b in lower])
+    return np.clip(1 - batch_edit.weighted(lower, batch_edit.PairTable(_ALIKE, 0.0), costs) / n, 0.0, 1.0)
 
 
-def token_set_indel(a: str, b: str) -> float:
-    """0 to 100: the best insert-delete ratio between the shared tokens and each side; 100 if one side's are all shared."""
-    one, two = set(a.split()), set(b.split())
-    if not one or not two:
-        return 0.0
-    both, left, right = sorted(one & two), sorted(one - two), sorted(two - one)
-    if both and (not left or not right):
-        return 100.0
-    shared, l_text, r_text = " ".join(both), " ".join(left), " ".join(right)
-    gap = 1 if both else 0
-    l_full, r_full = len(shared) + gap + len(l_text), len(shared) + gap + len(r_text)
-    # both full texts begin with the shared tokens: only the rests differ
-    apart = len(l_text) + len(r_text) - 2 * common_subsequence(l_text, r_text)
-    best = 1 - apart / (l_full + r_full)
-    if both:
-        best = max(best, 1 - (gap + len(l_text)) / (len(shared) + l_full), 1 - (gap + len(r_text)) / (len(shared) + r_full))
-    return 100 * best
+def position_visuals(pairs: list[tuple[str, str]], alike: dict[tuple[str, str], float], strength: float = 1.0, least: float = 0.1) -> np.ndarray:
+    """Edits weigh 1 to 1 + strength, more to the front; substitutions cost what a table of look-alikes leaves."""
+    s = max(0.0, strength)
+    table = batch_edit.PairTable({k: max(least, 1 - v) for k, v in alike.items()}, 1.0)
 
+    def costs(la: np.ndarray, lb: np.ndarray, most_a: int, most_b: int) -> tuple[Callable, Callable, Callable]:
+        weights = lambda n, most: [np.where(n <= 1, 1 + s, 1 + s * (1 - place / np.maximum(n - 1, 1))) for place in range(most)]
+        wa, wb = weights(la, most_a), weights(lb, most_b)
+        return lambda i, j: wa[i - 1], lambda i, j: wb[j - 1], lambda i, j, same, worth: np.where(same, 0.0, (wa[i - 1] + wb[j - 1]) / 2 * worth)
 
-def _decay(i: int, n: int) -> float:
-    return 1.0 if n <= 1 else 1.0 - 0.5 * i / (n - 1)
+    folded = [(a.casefold(), b.casefold()) for a, b in pairs]
+    total = lambda n: sum(1 + s if n <= 1 else 1 + s * (1 - k / (n - 1)) for k in range(n))
+    totals = {n: total(n) for n in {len(t) for pair in folded for t in pair}}
+    whole = np.array([max(totals[len(a)], totals[len(b)], 1.0) for a, b in folded])
+    return np.where([a == b for a, b in folded], 1.0, np.maximum(0.0, 1 - batch_edit.weighted(folded, table, costs) / whole))
 
 
-_ALIKE = {p for x in CONFUSED for p in (x, x[::-1])}
+# The same for a single pair.
+
+
+def restricted_damerau(a: str, b: str) -> int:
+    return int(batch_edit.restricted_damerau([(a, b)])[0])
+
+
+def full_damerau(a: str, b: str) -> int:
+    return int(batch_edit.full_damerau([(a, b)])[0])
+
+
+def token_set_indel(a: str, b: str) -> float:
+    return float(token_set_indels([(a, b)])[0])
 
 
 def position_confusion(a: str, b: str) -> float:
-    """Edits cost less towards the end, look-alike substitutions a quarter; over the longer length."""
-    a, b = a.lower(), b.lower()
-    n = max(len(a), len(b))
-    if not n:
-        return 1.0
-    row = [0.0]
-    for j in range(len(b)):
-        row.append(row[-1] + _decay(j, n))
-    for i, x in enumerate(a, 1):
-        new = [row[0] + _decay(i - 1, n)]
-        for j, y in enumerate(b, 1):
-            w = _decay(round((i + j) / 2) - 1, n)
-            swap = 0.0 if x == y else w * CONFUSED_COST if x + y in _ALIKE else w
-            new.append(min(row[j] + w, new[-1] + w, row[j - 1] + swap))
-        row = new
-    return min(1.0, max(0.0, 1 - row[-1] / n))
+    return float(position_confusions([(a, b)])[0])
 
 
 def position_visual(a: str, b: str, alike: dict[tuple[str, str], float], strength: float = 1.0, least: float = 0.1) -> float:
-    """Edits weigh 1 to 1 + strength, more to the front; substitutions cost what a table of look-alikes leaves."""
-    a, b = a.casefold(), b.casefold()
-    s = max(0.0, strength)
-    weights = lambda t: [1 + s if len(t) <= 1 else 1 + s * (1 - k / (len(t) - 1)) for k in range(len(t))]
-    wa, wb = weights(a), weights(b)
-    whole = max(sum(wa), sum(wb), 1.0)
-    if a == b:
-        return 1.0
-    row = [0.0]
-    for w in wb:
-        row.append(row[-1] + w)
-    for x, w in zip(a, wa, strict=True):
-        new = [row[0] + w]
-        for j, (y, v) in enumerate(zip(b, wb, strict=True), 1):
-            like = alike.get((x, y))
-            cost = 0.0 if x == y else 1.0 if like is None else max(least, 1 - like)
-            new.append(min(row[j] + w, new[-1] + v, row[j - 1] + (w + v) / 2 * cost))
-        row = new
-    return max(0.0, 1 - row[-1] / whole)
-
-
-restricted_damerau_distance = F.pandas_udf(_pairs(restricted_damerau), T.LongType())
-full_damerau_distance = F.pandas_udf(_pairs(full_damerau), T.LongType())
-token_set_indel_ratio = F.pandas_udf(_pairs(token_set_indel), T.DoubleType())
-position_confusion_similarity = F.pandas_udf(_pairs(position_confusion), T.DoubleType())
+    return float(position_visuals([(a, b)], alike, strength, least)[0])
+
+
+restricted_damerau_distance = F.pandas_udf(_pairs(batch_edit.restricted_damerau), T.LongType())
+full_damerau_distance = F.pandas_udf(_pairs(batch_edit.full_damerau), T.LongType())
+token_set_indel_ratio = F.pandas_udf(_pairs(token_set_indels), T.DoubleType())
+position_confusion_similarity = F.pandas_udf(_pairs(position_confusions), T.DoubleType())
 
 
 def position_visual_similarity(alike: dict[tuple[str, str], float], strength: float = 1.0, least: float = 0.1) -> Callable[..., Column]:
-    return F.pandas_udf(_pairs(lambda a, b: position_visual(a, b, alike, strength, least)), T.DoubleType())
+    return F.pandas_udf(_pairs(lambda pairs: position_visuals(pairs, alike, strength, least)), T.DoubleType())
 
 
 def full_damerau_similarity(a: Column, b: Column) -> Column:
