@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions.distance import cosine, dot, norm
 from simloom.functions.text import find_starts
+from simloom.operators import nearest
 from simloom.storage import join_small, materialize
 
 #: Longest text whose deletion variants are enumerated; longer ones are indexed by segments.
@@ -233,18 +234,20 @@ def similar_to_sources(sources: DataFrame, candidates: DataFrame, least: float,
     return rows.filter(F.col("margin") >= margin)
 
 
-def nearest_by_features(rows: DataFrame, candidates: DataFrame, features: list[str], weight: float = 0.15, best: int = 8, seed: int = 0) -> DataFrame:
+def nearest_by_features(rows: DataFrame, candidates: DataFrame, features: list[str], weight: float = 0.15, best: int = 8, seed: int = 0, told: list[int] | None = None) -> DataFrame:
     """For each row one of the `best` candidates of its block, nearest in features and distance.
 
-    rows: id, block, distance and features; candidates the same. The objective is the Euclidean
-    distance of the features plus weight times the difference of distances; of the best ones a hash draws.
+    rows: id, block, distance and features; candidates the same, none of them null (a null block has no candidates). The objective is the Euclidean
+    distance of the features plus weight times the difference of distances; of the best ones a hash draws. Found by cuts of
+    the feature space (nearest.nearest), so no task holds a block; told gets the number of pairs compared.
     """
-    c = candidates.select(F.col("id").alias("candidate"), "block", F.col("distance").alias("_d"), *[F.col(f).alias(f"_{f}") for f in features])
-    gap = F.sqrt(sum(((F.col(f) - F.col(f"_{f}")) ** 2 for f in features[1:]), (F.col(features[0]) - F.col(f"_{features[0]}")) ** 2))
-    pairs = rows.join(c, "block").withColumn("objective", F.round(gap + weight * F.abs(F.col("distance") - F.col("_d")), 9))
-    pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("objective", "candidate"))).filter(F.col("_n") <= best)
+    every = [*features, "distance"]
+    of = lambda df: df.filter("block IS NOT NULL").select("id", "block", F.array(*[F.col(c).cast("double") for c in every]).alias("coords"), F.lit(None).alias("text"))
+    near = nearest.nearest(of(rows), of(candidates), nearest.FeatureSpace(weight), best, told=told)
+    near = near.withColumn("objective", F.round("distance", 9)).withColumnsRenamed({"query": "id", "point": "candidate"})
+    near = near.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("objective", "candidate"))).filter(F.col("_n") <= best)
     drawn = F.min_by(F.struct("candidate", "objective"), F.sha2(F.concat_ws("|", F.lit(seed), "id", "candidate").cast("binary"), 256))
-    return pairs.groupBy("id").agg(drawn.alias("p")).select("id", "p.candidate", "p.objective")
+    return near.groupBy("id").agg(drawn.alias("p")).select("id", "p.candidate", "p.objective")
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: list[str], relation: str = "many_to_one", complete: bool = False) -> DataFrame:
