@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from simloom.operators.metrics import numbered
 from simloom.storage import materialize
@@ -38,7 +39,7 @@ def assign_lists(rows: DataFrame, lists: DataFrame, taken: DataFrame | None = No
 
     rows: row_idx, list and maybe first, a key that the row tries before its list (null: none). lists: list, pref, key;
     taken: key. more(lists that rows have come to the end of: list) may give further rows of lists, which
-    stand behind those there are, or None when there are no others. Returns row_idx, key, pref (0 for first). told gets the number of rounds.
+    stand behind those there are, or None when there are no others. Returns row_idx, key, pref (0 for first, null if pref is no number). told gets the number of rounds.
 
     The turns are a serial dictatorship, which equals deferred acceptance where keys prefer the least row:
     a row that asks for a key because all that it likes better are gone takes it from all later ones.
@@ -64,7 +65,8 @@ def assign_lists(rows: DataFrame, lists: DataFrame, taken: DataFrame | None = No
     if forbidden is not None:
         state = state.join(forbidden.select(F.col("key").alias("first"), F.lit(True).alias("_no")), "first", "left").withColumn("first", F.when(F.col("_no").isNull(), F.col("first")))
     columns = ["row_idx", "list", "last", "block", "pos", "key", "pref", "moved"]
-    zero = F.lit(0).cast(entries.schema["pref"].dataType)
+    kind = entries.schema["pref"].dataType
+    zero = F.lit(0 if isinstance(kind, NumericType) else None).cast(kind)
     # at place 0 a row asks for its first key; a key that is null is still to be looked for
     judged = state.select("row_idx", "list", "last", "block", F.when(F.col("first").isNull(), 1).otherwise(0).cast("long").alias("pos"), F.col("first").alias("key"), F.when(F.col("first").isNotNull(), zero).alias("pref"), F.lit(True).alias("moved"))
     judged, holders, n = materialize(_pushed(judged), "asked"), None, 0

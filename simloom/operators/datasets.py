@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions.text import has_dot_com, hash_order, hash_uniform, number_or, ocr_rule_score
-from simloom.operators.assignment import assign_in_phases, assign_unique
+from simloom.operators.assignment import assign_lists, assign_unique
 from simloom.operators.metrics import running_totals
-from simloom.operators.similarity_join import join_blocks, length_ring, range_join
+from simloom.operators.nearest import nearest_texts
+from simloom.operators.similarity_join import length_ring, range_join
 from simloom.storage import materialize
 
-#: Candidates of a step, of these those that a choice looks at, and of these those that it is drawn from.
+#: Candidates of a step, of these those that a choice looks at, and of these those that it is drawn from.
 LIMIT, USABLE, POOL = 512, 64, 32
 
 
@@ -30,6 +33,11 @@ def visits(pool: DataFrame, count: int) -> DataFrame:
     return pool.filter(F.col("place") < count).select("name", "place", every.alias("_cycle")).select((F.col("place") + F.col("_cycle") * n).alias("row_idx"), "name")
 
 
+def _list(*columns: str) -> Column:
+    """The name of a list of wishes."""
+    return F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns]).alias("list")
+
+
 def positives_to_count(pool: DataFrame, variants: DataFrame, count: int, second_share: float = 0.65, taken: DataFrame | None = None, seed: int = 0, attempts: int = 100) -> DataFrame:
     """The first `count` visits that get a variant whose key nobody has: row_idx, name, preferred, generated, key.
 
@@ -43,12 +51,13 @@ def positives_to_count(pool: DataFrame, variants: DataFrame, count: int, second_
         raise ValueError("no names to visit")
     own = variants.join(pool.select("name", F.col("key").alias("_own")), "name").filter("key != _own")
     offered = own.select("name", "preferred").unionByName(variants.select("name", "preferred")).distinct()
+    lists = materialize(own.select(_list("name", "preferred"), F.col("rank").alias("pref"), "key"), "lists")
     tries = count
     while True:
         made = visits(pool, tries).withColumn("_two", hash_uniform(seed, F.col("row_idx")) < second_share)
         wish = made.join(offered.filter("preferred = 2").select("name", F.lit(True).alias("_has")), "name", "left")
         wish = wish.select("row_idx", "name", F.when(F.col("_two") & F.col("_has"), 2).otherwise(1).alias("preferred"))
-        got = assign_unique(wish.join(own, ["name", "preferred"]).select("row_idx", "key", F.col("rank").alias("pref")), taken)
+        got = assign_lists(wish.select("row_idx", _list("name", "preferred")), lists, taken)
         got = materialize(got.orderBy("row_idx").limit(count), "positives")
         if got.count() == count:
             break
@@ -71,13 +80,7 @@ def expanding_candidates(targets: DataFrame, names: DataFrame, reach: int = 4) -
     left, found = materialize(targets.select("name", "key", "wanted"), "targets"), None
     keys = firsts.select(F.col("name").alias("right_name"), F.col("key").alias("candidate_key"))
     for step, (cutoff, window) in enumerate(((reach, 5), (reach + 2, 8), (reach + 6, 12), (64, 64)), 1):
-        near = F.abs(F.length("left_name") - F.length("right_name")) <= window
-        if step <= 2:
-            pairs = range_join(left.select("name"), firsts.select("name"), cutoff).filter(near)
-        else:
-            asked = left.select(F.col("name").alias("left_name"))
-            pairs = join_blocks(firsts.select(F.col("name").alias("right_name")), asked, lambda a, b, near=near: a.join(b, near))
-            pairs = pairs.withColumn("distance", F.levenshtein("left_name", "right_name", cutoff)).filter("distance >= 0")
+        pairs = nearest_texts(left.select("name"), firsts.select("name"), LIMIT, cutoff, window)
         order = Window.partitionBy("left_name").orderBy("distance", F.length("right_name"), "right_name")
         pairs = pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= LIMIT)
         pairs = pairs.join(keys, "right_name").join(left.select(F.col("name").alias("left_name"), "key"), "left_name").filter("candidate_key != key")
@@ -142,64 +145,84 @@ def goals(rows: DataFrame, policy: str, seed: int = 0) -> DataFrame:
 
 
 def distance_negatives(rows: DataFrame, names: DataFrame, reach: int = 4, most: int = LIMIT, spare: int = 64, taken: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """A name that no other row has for each row in turn: row_idx, name, neighbor, distance, mode.
+    """A name that no other row has for each row in turn: row_idx, name, neighbor, distance, mode, and policy if rows have it.
 
-    rows: row_idx, name, key, goal; names: name, key; taken: key. A row takes the first free name at its
+    rows: row_idx, name, key, goal (at most reach) and maybe policy: rows of one policy don't see what others take. names: name,
+    key; taken: key. A row takes the first free name at its
     goal distance, else below it, nearest first, else above it; a hash orders names of one distance.
     Rows that find none within reach choose after the others, within reach + 8, and then of the
-    `spare` nearest in length. Rows are offered `most` names at a time, again until nothing is left to
-    give. mode is exact_target, nearest_fallback_radius_N or global_length_fallback.
+    `spare` nearest in length. mode is exact_target, nearest_fallback_radius_N or global_length_fallback.
+
+    Rows of one name and goal share a list (assignment.assign_lists). Lists begin with the names within 2, found by deletions;
+    who comes to the end of one gets the `most` nearest within reach, and then all of them, by cuts of space.
     """
+    columns = ["policy", "row_idx"] if "policy" in rows.columns else ["row_idx"]
+    policy = F.col("policy").cast("string") if "policy" in rows.columns else F.lit("")
     firsts = materialize(one_per_key(names), "names")
     keyed = firsts.select(F.col("name").alias("candidate"), F.col("key").alias("candidate_key"))
-    left, used, done = materialize(rows.select("row_idx", "name", "key", "goal"), "rows"), taken, None
+    asked = rows.select(F.struct("row_idx", policy.alias("policy")).alias("row_idx"), "name", "key", "goal", policy.alias("policy"))
+    left = materialize(asked.withColumn("list", F.concat_ws("\x1f", "policy", F.col("goal").cast("string"), "name")), "rows")
+    policies = left.select("policy").distinct()
+    used = None if taken is None else materialize(taken.select("key").distinct().crossJoin(F.broadcast(policies)).select(F.concat_ws("\x1f", "policy", "key").alias("key")), "taken")
+    within_2 = min(reach, max(2, left.agg(F.max("goal")).first()[0] or 0))
     at = F.greatest("distance", "goal")
-    within = F.when(F.col("distance") == F.col("goal"), F.lit("exact_target")).otherwise(F.concat(F.lit("nearest_fallback_radius_"), at.cast("string")))
+    done = None
 
-    def near() -> DataFrame:
-        return range_join(left.select("name").distinct(), firsts.select("name"), reach).select(F.col("left_name").alias("name"), F.col("right_name").alias("candidate"), "distance")
+    def offers(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """Rows of lists: what tells the order, and what the choice is."""
+        one = of.select("list", "name", "key", "goal", "policy").distinct().join(pairs, "name").join(keyed, "candidate").filter("candidate_key != key")
+        pref = F.struct(at.alias("at"), F.abs(F.col("distance") - F.col("goal")).alias("gap"), hash_order(seed, F.col("name"), F.col("candidate_key")).alias("hash"), "distance", "candidate")
+        return one.select("list", pref.alias("pref"), F.concat_ws("\x1f", "policy", "candidate_key").alias("key"))
 
-    def far() -> DataFrame:
-        pairs = join_blocks(firsts.select(F.col("name").alias("candidate")), left.select("name").distinct(), lambda a, b: a.join(b, F.abs(F.length("name") - F.length("candidate")) <= reach + 8))
-        return pairs.withColumn("distance", F.levenshtein("name", "candidate", reach + 8)).filter("distance >= 0")
+    def found(of: DataFrame, k: int | None, low: int, high: int) -> DataFrame:
+        near = nearest_texts(of.select("name").distinct(), firsts.select("name"), k, high)
+        return near.filter(F.col("distance") > low).select(F.col("left_name").alias("name"), F.col("right_name").alias("candidate"), "distance")
 
-    def by_length() -> DataFrame:
-        ring = length_ring(left.select("name").distinct(), firsts.select("name"), spare)
+    def lists(of: DataFrame, low: int, high: int, steps: list[int | None], start: DataFrame | None = None) -> tuple[DataFrame, Callable]:
+        steps = list(steps)
+
+        def more(ended: DataFrame) -> DataFrame | None:
+            some = of.join(ended, "list", "left_semi")
+            return offers(found(some, steps.pop(0), low, high), some) if steps else None
+
+        return offers(found(of, steps.pop(0), low, high) if start is None else start, of), more
+
+    def by_length(of: DataFrame) -> DataFrame:
+        ring = length_ring(of.select("name").distinct(), firsts.select("name"), spare)
         return ring.select(F.col("target").alias("name"), "candidate", F.levenshtein("target", "candidate").alias("distance"))
 
-    for pairs_of, mode in ((near, within), (far, within), (by_length, F.lit("global_length_fallback"))):
+    radius = F.concat(F.lit("nearest_fallback_radius_"), F.col("pref.at").cast("string"))
+    for phase in range(3):
         if not left.limit(1).count():
             break
-        pairs = materialize(pairs_of().join(keyed, "candidate"), "candidates")
-        while True:
-            free = pairs if used is None else pairs.join(used.select(F.col("key").alias("candidate_key")), "candidate_key", "left_anti")
-            order = Window.partitionBy("name", "goal").orderBy(at, F.abs(F.col("distance") - F.col("goal")), hash_order(seed, F.col("name"), F.col("candidate_key")))
-            offers = left.select("name", "key", "goal").distinct().join(free, "name").filter("candidate_key != key").withColumn("pref", F.row_number().over(order)).filter(F.col("pref") <= most)
-            offers = materialize(offers.drop("key"), "offers")
-            got = assign_unique(left.join(offers, ["name", "goal"]).select("row_idx", F.col("candidate_key").alias("key"), "pref"))
-            found = left.drop("key").join(got.select("row_idx", F.col("key").alias("candidate_key")), "row_idx").join(offers, ["name", "goal", "candidate_key"])
-            found = materialize(found.select("row_idx", "name", F.col("candidate").alias("neighbor"), "candidate_key", "distance", mode.alias("mode")), "negatives")
-            if not found.limit(1).count():
-                break
-            done = found if done is None else done.unionByName(found)
-            keys = found.select(F.col("candidate_key").alias("key"))
-            used = keys if used is None else used.select("key").unionByName(keys)
-            left = materialize(left.join(found.select("row_idx"), "row_idx", "left_anti"), "rows")
-            if not left.limit(1).count():
-                break
+        if phase == 0:
+            close = range_join(left.select("name").distinct(), firsts.select("name"), within_2) if within_2 <= 2 else nearest_texts(left.select("name").distinct(), firsts.select("name"), None, within_2)
+            close = close.select(F.col("left_name").alias("name"), F.col("right_name").alias("candidate"), "distance")
+            wishes, more = lists(left, within_2, reach, [most, None] if reach > within_2 else [], close)
+        elif phase == 1:
+            wishes, more = lists(left, reach, reach + 8, [most, None])
+        else:
+            wishes, more = offers(by_length(left), left), None
+        got = materialize(assign_lists(left.select("row_idx", "list"), wishes, used, more), "assigned")
+        mode = F.lit("global_length_fallback") if phase == 2 else F.when(F.col("pref.gap") == 0, "exact_target").otherwise(radius)
+        new = got.join(left.select("row_idx", "name", "policy"), "row_idx").select("row_idx", "policy", "name", F.col("pref.candidate").alias("neighbor"), F.col("pref.distance").alias("distance"), mode.alias("mode"), "key")
+        new = materialize(new, "negatives")
+        done = new if done is None else done.unionByName(new)
+        used = done.select("key") if taken is None else used.select("key").unionByName(new.select("key"))
+        left = materialize(left.join(new.select("row_idx"), "row_idx", "left_anti"), "rows")
     if done is None:
-        return rows.limit(0).select("row_idx", "name", F.lit("").alias("neighbor"), F.lit(0).alias("distance"), F.lit("").alias("mode"))
-    return done.select("row_idx", "name", "neighbor", "distance", "mode")
+        return rows.limit(0).select(*columns, "name", F.lit("").alias("neighbor"), F.lit(0).alias("distance"), F.lit("").alias("mode"))
+    return done.withColumn("row_idx", F.col("row_idx.row_idx")).select(*columns, "name", "neighbor", "distance", "mode")
 
 
 def distance_trials(rows: DataFrame, names: DataFrame, policies: dict[str, float] | None = None, seed: int = 0, **options) -> DataFrame:
-    """distance_negatives under each policy, compared: policy, distance, mode, n."""
-    out = None
+    """distance_negatives under each policy, compared: policy, distance, mode, n. All policies are served by the same jobs."""
+    asked = None
     for policy in policies or POLICIES:
-        made = distance_negatives(goals(rows, policy, seed), names, seed=seed, **options)
-        told = made.groupBy("distance", "mode").agg(F.count(F.lit(1)).alias("n")).select(F.lit(policy).alias("policy"), "distance", "mode", "n")
-        out = told if out is None else out.unionByName(told)
-    return out
+        some = goals(rows.select("row_idx", "name", "key"), policy, seed).withColumn("policy", F.lit(policy))
+        asked = some if asked is None else asked.unionByName(some)
+    made = distance_negatives(asked, names, seed=seed, **options)
+    return made.groupBy("policy", "distance", "mode").agg(F.count(F.lit(1)).alias("n")).select("policy", "distance", "mode", "n")
 
 
 def hard_negatives(rows: DataFrame, neighbors: DataFrame, names: DataFrame, positives: DataFrame, features: list[str], featured, spare: int = 64, taken: DataFrame | None = None, seed: int = 0) -> DataFrame:
@@ -210,9 +233,10 @@ def hard_negatives(rows: DataFrame, neighbors: DataFrame, names: DataFrame, posi
     neighbor draw a positive by hash, and take of the `spare` names of the nearest lengths those
     whose features and distance are nearest to it. taken: key.
     """
-    first = rows.join(neighbors, "name").filter("neighbor_key != key AND neighbor_key != ''").filter(~has_dot_com(F.col("neighbor")))
-    first = materialize(first.select("row_idx", F.col("neighbor_key").alias("key"), F.col("rank").alias("pref"), F.col("neighbor").alias("candidate")), "neighbors")
-    one = materialize(assign_unique(first.select("row_idx", "key", "pref"), taken), "assigned")
+    rows = materialize(rows.select("row_idx", "name", "key"), "rows")
+    first = rows.select("name", F.col("key").alias("_own")).distinct().join(neighbors, "name").filter("neighbor_key != _own AND neighbor_key != ''").filter(~has_dot_com(F.col("neighbor")))
+    first = materialize(first.select(_list("name", "_own"), F.col("neighbor_key").alias("key"), F.col("rank").alias("pref"), F.col("neighbor").alias("candidate")), "neighbors")
+    one = materialize(assign_lists(rows.select("row_idx", _list("name", "key")), first.select("list", "key", "pref"), taken), "assigned")
     left = materialize(rows.join(one.select("row_idx"), "row_idx", "left_anti"), "rows")
     n = positives.count()
     numbered = running_totals(positives.withColumn("_one", F.lit(1)), "id", ["_one"]).withColumn("_p", F.col("cum__one") - 1)
@@ -225,12 +249,16 @@ def hard_negatives(rows: DataFrame, neighbors: DataFrame, names: DataFrame, posi
     second = drawn.join(other, "name").filter("candidate_key != key").withColumn("objective", F.round(gap + 0.15 * F.abs(F.col("distance") - F.col("_d")), 9))
     second = second.withColumn("pref", F.row_number().over(Window.partitionBy("row_idx").orderBy("objective", "candidate")))
     second = materialize(second.select("row_idx", F.col("candidate_key").alias("key"), "pref", "candidate"), "options")
-    got = assign_in_phases(first.select("row_idx", "key", "pref"), second.select("row_idx", "key", "pref"), taken=taken)
-    named = first.withColumn("phase", F.lit(1)).unionByName(second.withColumn("phase", F.lit(2))).select("row_idx", "key", "phase", "candidate")
-    mode = F.when(F.col("phase") == 1, "nearest_neighbor_table").otherwise("feature_fallback")
-    return got.select("row_idx", "key", "phase").join(named, ["row_idx", "key", "phase"]).join(rows.select("row_idx", "name"), "row_idx").select("row_idx", "name", F.col("candidate").alias("neighbor"), mode.alias("mode"))
+    used = one.select("key") if taken is None else one.select("key").unionByName(taken.select("key"))
+    two = assign_unique(second.select("row_idx", "key", "pref"), used)
+    named = rows.select("row_idx", "name", _list("name", "key"))
+    best = first.groupBy("list", "key").agg(F.min_by("candidate", "pref").alias("candidate"))
+    near = one.join(named, "row_idx").join(best, ["list", "key"]).select("row_idx", "name", F.col("candidate").alias("neighbor"), F.lit("nearest_neighbor_table").alias("mode"))
+    alike = two.select("row_idx", "key").join(second.select("row_idx", "key", "candidate"), ["row_idx", "key"]).join(named, "row_idx")
+    return near.unionByName(alike.select("row_idx", "name", F.col("candidate").alias("neighbor"), F.lit("feature_fallback").alias("mode")))
 
 
+#: Columns of the rule table.
 RULE_COLUMNS = ["source_character", "replacement_character", "primary_sub", "unicode_name", "example_original_text", "example_substituted_text", "review_label", "legit_q25", "ocr_attack_contexts", "visual_similarity_score"]
 _NUMBERS = ("legit_q25", "ocr_attack_contexts", "visual_similarity_score")
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from simloom.functions.distance import levenshtein_similarity
 from simloom.functions.text import EDIT, apply_edits
-from simloom.operators.assignment import assign_unique
+from simloom.operators.assignment import assign_lists
 from simloom.operators.similarity_join import contains_join
-from simloom.storage import join_small, materialize
+from simloom.storage import materialize
 
 
 def pair_samples(pairs: DataFrame) -> DataFrame:
@@ -189,20 +189,55 @@ def spelled(plans: DataFrame, rules: dict[str, list[dict]], temperatures: dict[s
     return plans.select("row_idx", "name", "attempt_seed", *FAMILIES).mapInPandas(run, f"row_idx long, name string, generated string, operations {_OPS}, valid boolean")
 
 
+def _single_edits(name: str, family: str, rules: list[dict], temperature: float) -> tuple[list[Spelling], np.ndarray]:
+    """All that one step of a family can make of a name, with the chance of each."""
+    made, chances = [], []
+    if family == "adjacent":
+        ok = [(r, [r["swap_i"]]) for r in rules if r["real_name"] == name and 2 <= r["swap_i"] < len(name) - 1 and len(name) >= 8]
+    elif family == "multichar_forward":
+        blank = Spelling(name)
+        ok = [(r, p) for r in rules if (p := blank.places(r["source"]))]
+    else:
+        ok = [(r, [i]) for i, c in enumerate(name) for r in rules if r["source"] == c]
+    if not ok:
+        return made, np.zeros(0)
+    scores = np.array([r["score"] for r, _ in ok], float)
+    weights = np.exp((scores - scores.max()) / temperature)
+    for (r, places), w in zip(ok, weights / weights.sum(), strict=True):
+        for p in places:
+            s = Spelling(name)
+            if family == "adjacent":
+                s.put(p, 2, name[p + 1] + name[p], family, "scored_adjacent_swap", r["score"])
+            else:
+                s.put(p, len(r["source"]), r["replacement"], family, r["operation"], r["score"])
+            made.append(s)
+            chances.append(w / len(places))
+    return made, np.array(chances)
+
+
 def fallbacks(names: DataFrame, rules: dict[str, list[dict]], tries: int = 256) -> DataFrame:
-    """One-edit variants by seeded tries that cycle through the families: row_idx, name, pref, generated, operations."""
+    """One-edit variants by seeded tries that cycle through the families: row_idx, name, pref, generated, operations.
+
+    A name's single edits are listed once, with their chances; tries draw from that list.
+    """
+
+    def of(name: str) -> Iterator[tuple[int, str, list[dict]]]:
+        rng, seen = np.random.default_rng(seed_of("fallback", name)), {name.casefold()}
+        drawn: list[tuple[int, Spelling]] = []
+        for n, family in enumerate(FAMILIES):
+            made, chances = _single_edits(name, family, rules.get(family, []), 2.0)
+            if made:
+                which = rng.choice(len(made), -(-(tries - n) // 4), p=chances / chances.sum())
+                first = {int(k): t for t, k in reversed(list(enumerate(which)))}
+                drawn += [(4 * t + n, made[k]) for k, t in first.items()]
+        for t, s in sorted(drawn, key=lambda x: x[0]):
+            if _valid(s) and s.text().casefold() not in seen:
+                seen.add(s.text().casefold())
+                yield t + 2, s.text(), s.log
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for idx, name in zip(pdf["row_idx"], pdf["name"], strict=True):
-                seen = {name.casefold()}
-                for k in range(tries):
-                    state = Spelling(name)
-                    step(state, FAMILIES[k % 4], rules.get(FAMILIES[k % 4], []), 2.0, np.random.default_rng(seed_of("fallback", name, k)))
-                    if _valid(state) and state.text().casefold() not in seen:
-                        seen.add(state.text().casefold())
-                        out.append((idx, name, k + 2, state.text(), state.log))
+            out = [(idx, name, *v) for idx, name in zip(pdf["row_idx"], pdf["name"], strict=True) for v in of(name)]
             yield pd.DataFrame(out, columns=["row_idx", "name", "pref", "generated", "operations"])
 
     return names.select("row_idx", "name").mapInPandas(run, f"row_idx long, name string, pref int, generated string, operations {_OPS}")
@@ -292,32 +327,29 @@ def generate_unique(names: DataFrame, plans: DataFrame, rules: dict[str, list[di
 
     A row has up to `tries` fallbacks and `most` legal variants to choose from. Both depend on the name
     alone, so they are made once a name; legal ones only for names with rows left. Rows choose in the
-    order of row_idx (assignment.assign_unique). Returns row_idx, name, generated, operations, phase.
+    order of row_idx (assignment.assign_lists, where rows of a name share its list). Returns row_idx, name, generated, operations, phase.
     """
     names = materialize(names.select("row_idx", "name"), "names")
     real = names.select(F.lower("name").alias("key")).distinct()
-    used = real if taken is None else real.unionByName(taken.select("key"))
+    used = materialize(real if taken is None else real.unionByName(taken.select("key")).distinct(), "used")
+    columns = ["row_idx", "name", "generated", "operations"]
 
     def made(options: DataFrame) -> DataFrame:
         one = options.withColumn("key", F.lower("generated")).groupBy("name", "key").agg(F.min_by(F.struct("pref", "generated", "operations"), "pref").alias("o"))
         return materialize(one.select("name", "key", "o.pref", "o.generated", "o.operations"), "variants")
 
+    def chosen(got: DataFrame, options: DataFrame) -> DataFrame:
+        return got.join(names, "row_idx").join(options.drop("pref"), ["name", "key"]).select(*columns)
+
     other = made(fallbacks(names.groupBy("name").agg(F.min("row_idx").alias("row_idx")), rules, tries))
-    planned = spelled(plans, rules).filter("valid").select("row_idx", "name", F.lower("generated").alias("key"), F.lit(1).alias("pref"), "generated", "operations")
-    planned = materialize(planned, "planned")
-    asked = planned.select("row_idx", "pref", "key").unionByName(join_small(names, other.select("name", "pref", "key"), "name").select("row_idx", "pref", "key"))
-    got = materialize(assign_unique(asked, used), "assigned")
-    columns = ["row_idx", "name", "generated", "operations"]
-    first = got.filter("pref = 1").join(planned.drop("key", "pref"), "row_idx").select(*columns)
-    second = join_small(got.filter("pref > 1").join(names, "row_idx"), other.drop("pref"), ["name", "key"]).select(*columns)
-
-    # rows of a name have the same legal variants in the same order, so the k-th of them gets none before the k-th free one
-    left = names.join(got.select("row_idx"), "row_idx", "left_anti")
-    left = materialize(left.withColumn("_k", F.row_number().over(Window.partitionBy("name").orderBy("row_idx"))).filter(F.col("_k") <= most), "left")
-    legal = made(legal_variants(left.filter("_k = 1"), rules, most))
-    free = legal.join(used.unionByName(got.select("key")).distinct(), "key", "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("pref")))
-    more = assign_unique(left.join(free.select("name", "key", "pref", "_n"), "name").filter("_n >= _k").select("row_idx", "pref", "key"))
-    third = more.select("row_idx", "key").join(left, "row_idx").join(legal, ["name", "key"]).select(*columns)
+    planned = materialize(spelled(plans, rules).filter("valid").select("row_idx", "name", F.lower("generated").alias("key"), "generated", "operations"), "planned")
+    asked = names.join(planned.select("row_idx", F.col("key").alias("first")), "row_idx", "left").select("row_idx", F.col("name").alias("list"), "first")
+    got = materialize(assign_lists(asked, other.select(F.col("name").alias("list"), "pref", "key"), used), "assigned")
+    first = got.filter("pref = 0").join(planned.drop("key"), "row_idx").select(*columns)
+    second = chosen(got.filter("pref > 0"), other)
+    left = materialize(names.join(got.select("row_idx"), "row_idx", "left_anti"), "left")
+    legal = made(legal_variants(left.groupBy("name").agg(F.min("row_idx").alias("row_idx")), rules, most))
+    third = chosen(assign_lists(left.select("row_idx", F.col("name").alias("list")), legal.select(F.col("name").alias("list"), "pref", "key"), used.unionByName(got.select("key"))), legal)
     return first.unionByName(second).withColumn("phase", F.lit(1)).unionByName(third.withColumn("phase", F.lit(2)))
 
 

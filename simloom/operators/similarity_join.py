@@ -83,21 +83,23 @@ def nearest_names(targets: DataFrame, names: DataFrame, k: int, window: int = 5,
     targets: name; names: name, key (its uniqueness key). Names within the length window and the
     cutoff come first, then up to the fallback; of a key one name counts, and never the target's own.
     """
-    first = names.groupBy("key").agg(F.min("name").alias("name"))
+    first = materialize(names.groupBy("key").agg(F.min("name").alias("name")), "names")
     keys = first.select(F.col("name").alias("right_name"), "key")
     own = names.select(F.col("name").alias("left_name"), F.col("key").alias("own_key")).distinct()
+    most = max(cutoff, fallback)
+    asked = materialize(targets.select("name").distinct(), "targets")
 
-    def within(some: DataFrame, radius: int) -> DataFrame:
-        pairs = range_join(some, first, radius).filter(F.abs(F.length("left_name") - F.length("right_name")) <= window)
-        return materialize(join_small(join_small(pairs, keys, "right_name"), own, "left_name", "left").filter("own_key IS NULL OR key != own_key"), "near")
+    def others(pairs: DataFrame) -> DataFrame:
+        return materialize(join_small(join_small(pairs, keys, "right_name"), own, "left_name", "left").filter("own_key IS NULL OR key != own_key").select("left_name", "right_name", "distance"), "near")
 
-    asked = targets.select("name").distinct()
-    pairs = within(asked, cutoff)
-    if fallback > cutoff:  # the wide search is for those that the narrow one leaves short
+    # what deletions find is all that is within 2; whoever has k of them needs no more, the others are searched by cuts of space
+    pairs = others(range_join(asked, first.select("name"), min(2, most)).filter(F.abs(F.length("left_name") - F.length("right_name")) <= window))
+    if most > 2:
         served = pairs.groupBy(F.col("left_name").alias("name")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
         short = materialize(asked.join(served, "name", "left_anti"), "short")
-        if short.limit(1).count():
-            pairs = pairs.join(served.select(F.col("name").alias("left_name")), "left_name", "left_semi").unionByName(within(short, fallback))
+        if short.limit(1).count():  # one name more, as a target's own may be among them
+            wide = others(nearest.nearest_texts(short, first.select("name"), k + 1, most, window))
+            pairs = pairs.join(short.select(F.col("name").alias("left_name")), "left_name", "left_anti").unionByName(wide)
     order = Window.partitionBy("left_name").orderBy(F.col("distance") > cutoff, "distance", "right_name")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("left_name").alias("target"), F.col("right_name").alias("neighbor"), "distance", (F.length("right_name") - F.length("left_name")).alias("length_delta"), "rank")
