@@ -152,6 +152,28 @@ def levenshtein(pairs: Pairs) -> np.ndarray:
     return _by_words(pairs, _words_distance(False), _tables_distance(False))
 
 
+def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of each text, padded, and lengths: what levenshtein_rows takes."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    return _matrix(np.array(texts, object), int(lengths.max(initial=0))), lengths
+
+
+def levenshtein_rows(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of rows i of one encoded table to rows j of another."""
+    out = np.zeros(len(i), np.int64)
+    order = np.argsort(-lb[j], kind="stable")
+    n = max(1, CELLS // ((a.shape[1] + 1) * (b.shape[1] + 1)))
+    for at in range(0, len(order), n):
+        some = order[at : at + n]
+        x, y = i[some], j[some]
+        short = la[x] <= WORD_BITS
+        for run, held in ((_words_distance(False), short), (_tables_distance(False), ~short)):
+            if held.any():
+                x, y = i[some[held]], j[some[held]]
+                out[some[held]] = run(a[x, : max(1, int(la[x].max()))], la[x], b[y, : max(1, int(lb[y].max()))], lb[y])
+    return out
+
+
 def restricted_damerau(pairs: Pairs) -> np.ndarray:
     """Optimal string alignment: no substring is edited twice."""
     return _by_words(pairs, _words_distance(True), _tables_distance(True))

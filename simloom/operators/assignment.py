@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -14,6 +16,8 @@ from simloom.storage import materialize
 
 #: Places of a list that a round looks at for a row that was turned down, and rows of a list that are ordered together.
 LOOK, BLOCK = 16, 4096
+#: Rows and places of lists that are few enough for one task, which takes the turns as they are.
+TURNS = 2_000_000
 
 
 def assign_unique(preferences: DataFrame, taken: DataFrame | None = None) -> DataFrame:
@@ -47,9 +51,52 @@ def assign_lists(rows: DataFrame, lists: DataFrame, taken: DataFrame | None = No
     get the same key, nor one before what an earlier row of the list gets, so the k-th of them begins at
     the k-th place, and whenever one moves the later ones move with it: a list that n rows share takes
     one round, not n. What a round costs are joins of narrow rows; only rows that move look at lists.
+    Up to TURNS rows and places there are no rounds: one task takes the turns, with the same result.
     """
     forbidden = None if taken is None else materialize(taken.select("key").distinct(), "taken")
 
+    def turns(asking: DataFrame, places: DataFrame, gone: DataFrame | None) -> DataFrame | None:
+        """row_idx, key, pref by the turns themselves, in one task; None where rows and places are too many for it."""
+        if asking.limit(TURNS + 1).count() + places.limit(TURNS + 1).count() > TURNS:
+            return None
+        first = F.col("first") if "first" in asking.columns else F.lit(None).cast(places.schema["key"].dataType)
+        asked = asking.select("row_idx", "list", first.alias("first"))
+        if gone is not None:
+            asked = asked.join(gone.select(F.col("key").alias("first"), F.lit(True).alias("_no")), "first", "left").select("row_idx", "list", F.when(F.col("_no").isNull(), F.col("first")).alias("first"))
+        key = places.schema["key"].dataType.simpleString()
+        # numbers stand for rows and lists, so that only these and keys go to the task
+        one = materialize(asked.withColumn("_row", F.row_number().over(Window.orderBy("row_idx"))).withColumn("_list", F.xxhash64("list")), "turns")
+        listed = places.withColumn("_list", F.xxhash64("list"))
+
+        def take(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            right = right.sort_values(["_list", "pos"], kind="stable")
+            numbers, starts = np.unique(right["_list"].to_numpy(), return_index=True)
+            at, stop = dict(zip(numbers.tolist(), starts.tolist(), strict=True)), dict(zip(numbers.tolist(), [*starts[1:].tolist(), len(right)][: len(numbers)], strict=True))
+            keys, pos, used, out = right["key"].tolist(), right["pos"].tolist(), set(), []
+            left = left.sort_values("_row")
+            for r, name, own in zip(left["_row"].tolist(), left["_list"].tolist(), left["first"].tolist(), strict=True):
+                if own is not None and own == own and own not in used:
+                    used.add(own)
+                    out.append((r, own, 0))
+                    continue
+                k = at.get(name)
+                if k is None:
+                    continue
+                while k < stop[name] and keys[k] in used:  # what is gone is gone for later rows of the list too
+                    k += 1
+                at[name] = k
+                if k < stop[name]:
+                    used.add(keys[k])
+                    out.append((r, keys[k], pos[k]))
+            return pd.DataFrame(out, columns=["_row", "_key", "pos"])
+
+        whole = lambda df, *c: df.select(*c, F.lit(1).alias("_all")).groupBy("_all")
+        got = whole(one, "_row", "_list", "first").cogroup(whole(listed, "_list", "pos", "key")).applyInPandas(take, f"_row long, _key {key}, pos long")
+        told = got.join(one.select("_row", "row_idx", "list"), "_row").join(places.select("list", "pos", "pref"), ["list", "pos"], "left")
+        kind = places.schema["pref"].dataType
+        pref = F.when(F.col("pos") == 0, F.lit(0 if isinstance(kind, NumericType) else None).cast(kind)).otherwise(F.col("pref"))
+        return told.select("row_idx", F.col("_key").alias("key"), pref.alias("pref"))
+
     def placed(some: DataFrame, after: DataFrame | None) -> DataFrame:
         """list, pos, key, pref: places in the list, behind those of `after` (list, last)."""
         free = some if forbidden is None else some.join(forbidden, "key", "left_anti")
@@ -59,6 +106,19 @@ def assign_lists(rows: DataFrame, lists: DataFrame, taken: DataFrame | None = No
         return materialize(one.select("list", "pos", "key", "pref"), "places")
 
     entries = placed(lists, None)
+    if (few := turns(rows, entries, forbidden)) is not None:
+        while True:
+            got = materialize(few, "assigned")
+            ended = rows.join(got.select("row_idx"), "row_idx", "left_anti").select("list").distinct() if more is not None else None
+            extra = None if ended is None or not ended.limit(1).count() else more(materialize(ended, "ended"))
+            if extra is None:
+                if told is not None:
+                    told.append(0)
+                return got
+            last = entries.groupBy("list").agg(F.max("pos").alias("last"))
+            entries = materialize(entries.unionByName(placed(extra.join(entries.select("list", "key"), ["list", "key"], "left_anti"), last)), "places")
+            if (few := turns(rows, entries, forbidden)) is None:
+                break
     ends = materialize(entries.groupBy("list").agg(F.max("pos").alias("last")), "ends")
     state = numbered(rows.select("row_idx", "list", F.col("first") if "first" in rows.columns else F.lit(None).cast(entries.schema["key"].dataType).alias("first")), "list", ["row_idx"], "_n")
     state = state.join(ends, "list", "left").withColumn("last", F.coalesce("last", F.lit(0))).withColumn("block", F.floor((F.col("_n") - 1) / BLOCK).cast("long"))

@@ -16,6 +16,8 @@ from simloom.storage import materialize
 
 #: Candidates of a step, of these those that a choice looks at, and of these those that it is drawn from.
 LIMIT, USABLE, POOL = 512, 64, 32
+#: Names within 2 that a list begins with, and names that it gets when these are too few.
+CLOSE, FEW = 16, 8
 
 
 def one_per_key(names: DataFrame) -> DataFrame:
@@ -49,13 +51,14 @@ def positives_to_count(pool: DataFrame, variants: DataFrame, count: int, second_
     """
     if not pool.limit(1).count():
         raise ValueError("no names to visit")
-    own = variants.join(pool.select("name", F.col("key").alias("_own")), "name").filter("key != _own")
-    offered = own.select("name", "preferred").unionByName(variants.select("name", "preferred")).distinct()
+    variants = materialize(variants.select("name", "preferred", "rank", "generated", "key"), "variants")
+    own = materialize(variants.join(pool.select("name", F.col("key").alias("_own")), "name").filter("key != _own"), "variants")
+    offered = materialize(variants.filter("preferred = 2").select("name").distinct(), "offered")
     lists = materialize(own.select(_list("name", "preferred"), F.col("rank").alias("pref"), "key"), "lists")
     tries = count
     while True:
         made = visits(pool, tries).withColumn("_two", hash_uniform(seed, F.col("row_idx")) < second_share)
-        wish = made.join(offered.filter("preferred = 2").select("name", F.lit(True).alias("_has")), "name", "left")
+        wish = made.join(offered.withColumn("_has", F.lit(True)), "name", "left")
         wish = wish.select("row_idx", "name", F.when(F.col("_two") & F.col("_has"), 2).otherwise(1).alias("preferred"))
         got = assign_lists(wish.select("row_idx", _list("name", "preferred")), lists, taken)
         got = materialize(got.orderBy("row_idx").limit(count), "positives")
@@ -154,7 +157,7 @@ def distance_negatives(rows: DataFrame, names: DataFrame, reach: int = 4, most:
     `spare` nearest in length. mode is exact_target, nearest_fallback_radius_N or global_length_fallback.
 
     Rows of one name and goal share a list (assignment.assign_lists). Lists begin with the names within 2, found by deletions;
-    who comes to the end of one gets the `most` nearest within reach, and then all of them, by cuts of space.
+    who comes to the end of one gets the FEW nearest within reach, then the `most` nearest, and then all of them, by cuts of space.
     """
     columns = ["policy", "row_idx"] if "policy" in rows.columns else ["row_idx"]
     policy = F.col("policy").cast("string") if "policy" in rows.columns else F.lit("")
@@ -178,14 +181,21 @@ def distance_negatives(rows: DataFrame, names: DataFrame, reach: int = 4, most:
         near = nearest_texts(of.select("name").distinct(), firsts.select("name"), k, high)
         return near.filter(F.col("distance") > low).select(F.col("left_name").alias("name"), F.col("right_name").alias("candidate"), "distance")
 
-    def lists(of: DataFrame, low: int, high: int, steps: list[int | None], start: DataFrame | None = None) -> tuple[DataFrame, Callable]:
-        steps = list(steps)
+    def lists(of: DataFrame, low: int, high: int, start: DataFrame | None = None) -> tuple[DataFrame, Callable]:
+        """Lists as they begin, and how they go on: with what of start there is (first CLOSE of a list), then by search."""
+        steps = [] if high <= low else [most, None] if start is None else [FEW, most, None]
+        if start is None:
+            return offers(found(of, steps.pop(0), low, high), of), lambda ended: None if not steps else offers(found(some := of.join(ended, "list", "left_semi"), steps.pop(0), low, high), some)
+        whole = materialize(offers(start, of).withColumn("_n", F.row_number().over(Window.partitionBy("list").orderBy("pref"))), "offers")
+        rest = [whole.filter(F.col("_n") > CLOSE).drop("_n")]
 
         def more(ended: DataFrame) -> DataFrame | None:
+            if rest:
+                return rest.pop().join(ended, "list", "left_semi")
             some = of.join(ended, "list", "left_semi")
             return offers(found(some, steps.pop(0), low, high), some) if steps else None
 
-        return offers(found(of, steps.pop(0), low, high) if start is None else start, of), more
+        return whole.filter(F.col("_n") <= CLOSE).drop("_n"), more
 
     def by_length(of: DataFrame) -> DataFrame:
         ring = length_ring(of.select("name").distinct(), firsts.select("name"), spare)
@@ -198,9 +208,9 @@ def distance_negatives(rows: DataFrame, names: DataFrame, reach: int = 4, most:
         if phase == 0:
             close = range_join(left.select("name").distinct(), firsts.select("name"), within_2) if within_2 <= 2 else nearest_texts(left.select("name").distinct(), firsts.select("name"), None, within_2)
             close = close.select(F.col("left_name").alias("name"), F.col("right_name").alias("candidate"), "distance")
-            wishes, more = lists(left, within_2, reach, [most, None] if reach > within_2 else [], close)
+            wishes, more = lists(left, within_2, reach, close)
         elif phase == 1:
-            wishes, more = lists(left, reach, reach + 8, [most, None])
+            wishes, more = lists(left, reach, reach + 8)
         else:
             wishes, more = offers(by_length(left), left), None
         got = materialize(assign_lists(left.select("row_idx", "list"), wishes, used, more), "assigned")

@@ -67,12 +67,11 @@ def candidate_edits(names: DataFrame, rules: DataFrame) -> DataFrame:
     return names.join(edits, "name", "left").withColumn("edits", F.coalesce("edits", F.array().cast(f"array<{EDIT}>")))
 
 
-def edit_variants(edited: DataFrame, preferred: int = 1, pairs_of: int = 48, max_edits: int = 2) -> DataFrame:
-    """Variants with one or two edits: name, generated, operations, distance, rank.
+def distinct_variants(edited: DataFrame, pairs_of: int = 48, max_edits: int = 2) -> DataFrame:
+    """What one or two edits make of names: name, generated, operations, distance, and i, j, _p, _s, which tell how it arose.
 
     edited: what candidate_edits returns. Two edits come from the first pairs_of. A variant counts
-    once by its lower case, the first way that it arises; variants with .com go. Ranks prefer the
-    distance, at least and near to it, then priority and score.
+    once by its lower case, the first way that it arises; variants with .com go.
     """
     one = edited.select("name", F.posexplode("edits").alias("i", "a")).select("name", "i", F.lit(-1).alias("j"), F.array("a").alias("set"), F.col("a.priority").alias("_p"), F.col("a.negscore").alias("_s"))
     rows = one
@@ -86,9 +85,18 @@ def edit_variants(edited: DataFrame, preferred: int = 1, pairs_of: int = 48, max
     done = rows.withColumn("r", apply_edits(F.col("name"), F.col("set"))).filter("r IS NOT NULL").select("name", "i", "j", "_p", "_s", F.col("r.generated").alias("generated"), F.col("r.operations").alias("operations"))
     done = done.filter((F.col("generated") != F.col("name")) & ~F.contains(F.lower("generated"), F.lit(".com")))
     seen = Window.partitionBy("name", F.lower("generated")).orderBy((F.col("j") >= 0).cast("int"), "i", "j")
-    done = done.withColumn("_n", F.row_number().over(seen)).filter("_n = 1").withColumn("distance", F.levenshtein("generated", "name"))
+    return done.withColumn("_n", F.row_number().over(seen)).filter("_n = 1").withColumn("distance", F.levenshtein("generated", "name")).drop("_n")
+
+
+def ranked_variants(variants: DataFrame, preferred: int = 1) -> DataFrame:
+    """distinct_variants with rank: by the preferred distance, at least and near to it, then priority and score."""
     order = Window.partitionBy("name").orderBy((F.col("distance") < preferred).cast("int"), F.abs(F.col("distance") - preferred), "_p", "_s", "i", "j")
-    return done.withColumn("rank", F.row_number().over(order)).select("name", "generated", "operations", "distance", "rank")
+    return variants.withColumn("rank", F.row_number().over(order)).select("name", "generated", "operations", "distance", "rank")
+
+
+def edit_variants(edited: DataFrame, preferred: int = 1, pairs_of: int = 48, max_edits: int = 2) -> DataFrame:
+    """Variants with one or two edits, ranked: name, generated, operations, distance, rank."""
+    return ranked_variants(distinct_variants(edited, pairs_of, max_edits), preferred)
 
 
 def rule_examples(rules: DataFrame, names: DataFrame, most: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ then the nearest other leaves, then all whose gap is within the k-th distance fo
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,9 +39,14 @@ class FeatureSpace:
         d = np.maximum(np.maximum(low[None, :, -1] - q[:, -1, None], q[:, -1, None] - high[None, :, -1]), 0)
         return np.sqrt(out) + self.weight * d
 
-    def exact(self, q: np.ndarray, p: np.ndarray, q_text: list, p_text: list) -> np.ndarray:
-        d = q - p
-        return np.sqrt((d[:, :-1] ** 2).sum(1)) + self.weight * np.abs(d[:, -1])
+    def exact(self, q: np.ndarray, p: np.ndarray, q_text: list, p_text: list) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function of pairs of places."""
+
+        def told(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            d = q[i] - p[j]
+            return np.sqrt((d[:, :-1] ** 2).sum(1)) + self.weight * np.abs(d[:, -1])
+
+        return told
 
 
 class EditSpace:
@@ -85,20 +90,23 @@ class EditSpace:
 
     def gap(self, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         n = len(self.pivots)
-        less, more = np.zeros((2, len(q), len(low)), np.float32)
-        for k in range(n + 1, q.shape[1]):
-            less += np.maximum(low[None, :, k] - q[:, k, None], 0)
-            more += np.maximum(q[:, k, None] - high[None, :, k], 0)
+        over = None if self.window is None else np.maximum(low[None, :, n] - q[:, n, None], q[:, n, None] - high[None, :, n]) > self.window
+        q, low, high = (np.ascontiguousarray(np.minimum(x, 127).astype(np.int8).T) for x in (q, low, high))  # what is cut off only makes bounds lower
+        less, more = np.zeros((2, q.shape[1], low.shape[1]), np.int16)
+        for k in range(n + 1, len(q)):
+            less += np.maximum(low[k][None, :] - q[k][:, None], 0)
+            more += np.maximum(q[k][:, None] - high[k][None, :], 0)
         out = np.maximum(less, more)
         for k in range(n + 1):
-            d = np.maximum(low[None, :, k] - q[:, k, None], q[:, k, None] - high[None, :, k])
-            np.maximum(out, d, out=out)
-            if k == n and self.window is not None:
-                out[d > self.window] = np.inf
+            np.maximum(out, np.maximum(low[k][None, :] - q[k][:, None], q[k][:, None] - high[k][None, :]), out=out)
+        out = out.astype(np.float32)
+        if over is not None:
+            out[over] = np.inf
         return out
 
-    def exact(self, q: np.ndarray, p: np.ndarray, q_text: list, p_text: list) -> np.ndarray:
-        return batch_edit.levenshtein(list(zip(q_text, p_text, strict=True)))
+    def exact(self, q: np.ndarray, p: np.ndarray, q_text: list, p_text: list) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        one, two = batch_edit.encoded(q_text), batch_edit.encoded(p_text)
+        return lambda i, j: batch_edit.levenshtein_rows(*one, *two, i, j)
 
 
 class Cuts:
@@ -161,6 +169,10 @@ def nearest(queries: DataFrame, points: DataFrame, space, k: int | None, bound:
             out[at] = cuts.leaf(b, x[at])
         return pd.Series(out)
 
+    if not sample:  # every block is a leaf, and nothing else is to be met
+        packed = _packed(points.withColumn("leaf", F.lit(0)), ["block", "leaf"], POINTS, F.struct("id", "coords", "text"), "points")
+        found = materialize(_meet(queries.select("*", F.lit(0).alias("leaf"), F.lit(bound).alias("bound")), packed, space, k), "near")
+        return _best(found, k, told)
     queries = materialize(queries.withColumn("leaf", leaf("block", "coords")), "placed-queries")
     points = materialize(points.withColumn("leaf", leaf("block", "coords")), "placed-points")
     packed = _packed(points, ["block", "leaf"], POINTS, F.struct("id", "coords", "text"), "points")
@@ -186,8 +198,6 @@ def nearest(queries: DataFrame, points: DataFrame, space, k: int | None, bound:
     found = materialize(_meet(queries.withColumn("bound", F.lit(bound)), packed, space, k), "near")
     seen = queries.withColumn("met", F.array("leaf"))
     for most in (*NEAR_LEAVES, None):
-        if len(boxes) == 0:
-            break
         asked = seen.withColumn("bound", F.lit(bound)) if k is None else seen.join(_kth(found, k), "id", "left").withColumn("bound", F.least(F.coalesce("kth", F.lit(bound)), F.lit(bound))).drop("kth")
         asked = asked.withColumn("_to", F.array_except(reached("block", "leaf", "coords", "bound"), "met"))
         if most is not None:
@@ -197,6 +207,11 @@ def nearest(queries: DataFrame, points: DataFrame, space, k: int | None, bound:
         more = materialize(_meet(routes, packed, space, k), "near")
         found = found.unionByName(more)
         seen = asked.drop("_to", "bound")
+    return _best(found, k, told)
+
+
+def _best(found: DataFrame, k: int | None, told: list[int] | None) -> DataFrame:
+    """The k nearest of what was found, and all that are as near as the k-th."""
     if told is not None:
         told.append(int(found.filter("point IS NULL").agg(F.sum("distance")).first()[0] or 0))
     found = found.filter("point IS NOT NULL")
@@ -277,7 +292,7 @@ def _meet(routes: DataFrame, packed: DataFrame, space, k: int | None) -> DataFra
             for n in range(b.num_rows):
                 (q_id, q, q_text, rows), (p_id, p, p_text, _) = side(b.column(0)[n]), side(b.column(1)[n])
                 within = np.asarray(rows.field("bound").to_pylist(), float)
-                i, j, d, count = _within(space.gap(q, p, p), within, k, lambda i, j: space.exact(q[i], p[j], [q_text[x] for x in i], [p_text[x] for x in j]))
+                i, j, d, count = _within(space.gap(q, p, p), within, k, space.exact(q, p, q_text, p_text))
                 columns = ([q_id[x] for x in i] + [q_id[0]], [p_id[x] for x in j] + [None], [*d.tolist(), float(count)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query", "point", "distance"])
 

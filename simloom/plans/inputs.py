@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.storage import table
+from simloom.storage import materialize, table
 
 TOKENS_SQL = "tokens AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,14}')) AS name FROM documents)"
 SPOOF_SQL = """CASE WHEN contains(name, 'm') THEN replace(name, 'm', 'rn') WHEN contains(name, 'w') THEN replace(name, 'w', 'vv')
@@ -22,6 +22,11 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode(found).alias("name")).distinct()
 
 
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, key, row_idx: the tokens in an order of their hashes, stored."""
+    return materialize(tokens(spark, sf_dir).select("name", F.col("name").alias("key"), F.conv(F.substring(F.md5("name"), 1, 15), 16, 10).cast("long").alias("row_idx")), "token-rows")
+
+
 def spoof(name: Column) -> Column:
     """One fixed ASCII edit of a name."""
     out = F.concat(F.substring(name, 1, 2), F.substring(name, 4, 1), F.substring(name, 3, 1), F.substring(name, 5, 100))

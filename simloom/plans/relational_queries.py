@@ -11,7 +11,7 @@ from simloom.operators import assignment, checks, datasets, forest, metrics, ran
 from simloom.operators import generators, similarity_join
 from simloom.operators import similarity_join as J
 from simloom.plans import text_queries
-from simloom.plans.inputs import PAIRS_SQL, SCORED_SQL, TOKENS_SQL, pairs, part_names, scored, spoof, tokens
+from simloom.plans.inputs import PAIRS_SQL, SCORED_SQL, TOKENS_SQL, pairs, part_names, scored, spoof, token_rows, tokens
 from simloom.plans.registry import query
 from simloom.storage import materialize, new_path, table
 from simloom.streaming import registry as streams
@@ -484,10 +484,11 @@ def distance_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def positives_to_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many positives as there are names, by visits over a cycling pool; tested against brute force."""
-    names = _named(spark, sf_dir)
+    """As many positives as there are document tokens, by visits over a cycling pool; tested against brute force."""
+    names = token_rows(spark, sf_dir)
     pool = metrics.running_totals(names.withColumn("_one", F.lit(1)), "name", ["_one"]).select("name", "key", (F.col("cum__one") - 1).alias("place"))
-    every = [generators.edit_variants(generators.candidate_edits(names.select("name"), text_queries.rule_table(spark)), preferred=p).withColumn("preferred", F.lit(p)) for p in (1, 2)]
+    made = materialize(generators.distinct_variants(generators.candidate_edits(names.select("name"), text_queries.rule_table(spark))), "variants")
+    every = [generators.ranked_variants(made, p).withColumn("preferred", F.lit(p)) for p in (1, 2)]
     variants = every[0].unionByName(every[1]).select("name", "preferred", "rank", "generated", F.lower("generated").alias("key"))
     made = datasets.positives_to_count(pool, variants, names.count())
     return made.select("row_idx", "name", F.col("preferred").cast("long").alias("preferred"), "generated")

@@ -9,7 +9,7 @@ from simloom.functions import distance as D
 from simloom.functions import text as X
 from simloom.operators import generators as G
 from simloom.operators import sampling
-from simloom.plans.inputs import PAIRS_SQL, TOKENS_SQL, pairs, tokens
+from simloom.plans.inputs import PAIRS_SQL, TOKENS_SQL, pairs, token_rows, tokens
 from simloom.plans.registry import query
 from simloom.storage import table
 
@@ -251,8 +251,9 @@ def edit_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def generate_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans, the ordered edit pipeline, fallbacks, capacity variants and the greedy assignment over all rows."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("row_idx"))
+    """Plans, the ordered edit pipeline, fallbacks, capacity variants and the greedy assignment over all document tokens and part rows."""
+    part = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), (-F.col("p_partkey")).alias("row_idx"))
+    names = token_rows(spark, sf_dir).select("name", "row_idx").unionByName(part)
     params = {"short_max": 6, "medium_max": 10, "short": (1, 2), "medium": (0.1, 0.3), "long": (0.1, 0.3), "skew": "low", "least": 1, "most": 4, "caps": dict.fromkeys(G.FAMILIES, 2), "chances": dict.fromkeys(G.FAMILIES, 0.7), "ocr_share": 0.65, "replaceable": "olei", "seed": 42}
     made = G.generate_unique(names, G.count_plans(names, params), RULES)
     return made.select("row_idx", "name", "generated", F.to_json("operations").alias("operations_json"), F.col("phase").cast("long").alias("phase"))

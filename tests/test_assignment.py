@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from simloom.operators import assignment
 
+@pytest.fixture(autouse=True, params=[0, 2_000_000], ids=["rounds", "turns"])
+def turns(request, monkeypatch):
+    monkeypatch.setattr(assignment, "TURNS", request.param)
+    return request.param
+
+
 LISTS, ROWS = "list string, pref int, key string", "row_idx long, list string"
 
 
