@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.storage import join_small, materialize
+from simloom.storage import join_small, materialize, scratch
 
 #: Words are runs of anything but these whitespace characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source's documents are ordered in ranges of about so many.
 RANGE_ROWS = 512
+#: Weights are counted in so many classes an octave, over so many octaves to either side of 1; what lies beyond joins the last ones.
+CLASSES, OCTAVES = 8, 16
 
 
 def word_count(text: Column) -> Column:
@@ -67,15 +69,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     An empty table gives no rows; sources of no words get the target 0.
 
     Scale: text is read once and never shuffled. A source is cut in key ranges of about RANGE_ROWS
-    documents, sized by the source's count: sums of ranges are prefix-summed by source, and
-    documents within their own range, so that no task holds a source.
+    documents, which are even as its weights have been counted by class: a share s of documents of weight w has a part
+    s * (1 - exp(-key * w)) of its keys up to a key. Sums of ranges are prefix-summed by source, and
+    documents within their own range, so that no task holds a source. What was stored on the way is freed.
     """
+    with scratch(docs.sparkSession) as tables:
+        return tables.keep(_mixed(docs, weights, share, most, weight, seed), "mix")
+
+
+def key_place(key: Column, classes: Column) -> Column:
+    """The share of a source's keys up to this one, by its classes (array of share, mean): rises with the key."""
+    return F.aggregate(classes, F.lit(0.0), lambda s, c: s + c["share"] * (1 - F.exp(-key * c["mean"])))
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], share: float, most: float, weight: Column | None, seed: int) -> DataFrame:
     w = weight if weight is not None else letter_share(F.col("text"))
     positive = lambda q: F.when((q > 0) & (q < float("inf")), q)  # noqa: E731  NaN is above every number
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), positive(w.cast("double")).alias("_q")).withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("_q"))
     rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     rows = materialize(rows, "mix-rows")
-    sizes = materialize(rows.groupBy("_s", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"), F.avg("_q").alias("_mean")), "mix-sizes")
+    octave = F.greatest(F.lit(-OCTAVES), F.least(F.lit(OCTAVES), F.log2("_q")))
+    counted = rows.groupBy("_s", "source", F.floor(octave * CLASSES).alias("_class")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.count("_q").alias("keys"), F.avg("_q").alias("mean"))
+    counted = materialize(counted, "mix-classes")
+    kept = F.filter(F.collect_list(F.struct("keys", "mean")), lambda c: c["keys"] > 0)
+    sizes = counted.groupBy("_s", "source").agg(F.sum("size").alias("source_size"), F.sum("keys").alias("_n"), kept.alias("_kept"))
+    shares = F.transform("_kept", lambda c: F.struct((c["keys"] / F.col("_n")).alias("share"), c["mean"].alias("mean")))
+    sizes = materialize(sizes.withColumn("_classes", shares).drop("_kept"), "mix-sizes")
     plan = source_targets(sizes.select("source", "source_size"), weights, share, most)
     plan = plan.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).drop("source", "source_size")
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
@@ -83,8 +102,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     plan = plan.withColumn("_rest", F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("long"))
     plan = materialize(plan.withColumn("_ranges", F.ceil(F.col("_n") / RANGE_ROWS).cast("long")), "mix-plan")
 
-    # 1 - exp(-key * mean weight) is near to even over (0, 1) and rises with the key
-    at = F.floor(F.col("_ranges") * (F.lit(1.0) - F.exp(-F.col("_key") * F.col("_mean"))))
+    at = F.floor(F.col("_ranges") * key_place(F.col("_key"), F.col("_classes")))
     every = join_small(rows.drop("source"), plan, "_s")
     whole = every.filter("_key IS NULL").withColumn("taken", (F.col("_epochs") * F.col("size")).cast("long"))
     placed = every.filter("_key IS NOT NULL").withColumn("_range", F.least(at, F.col("_ranges") - 1))

@@ -116,3 +116,24 @@ def test_weights_that_are_not_positive(spark):
     assert sum(got[k] for k in (0, 1, 7)) == 30 + 20
     less = {r.doc_id: r.taken for r in mixing.mix(docs, weights=(1,), share=0.25, most=2.0, weight=F.col("weight")).collect()}
     assert sum(less.values()) == 20 and all(less[k] == 0 for k in (2, 3, 4, 5, 6))
+
+
+def test_ranges_are_even_for_mixed_weights(spark):
+    """A tenth of the documents weigh 0.05, the others 0.8; no range has four times the median."""
+    n = 200_000
+    keys = spark.range(n).select((-F.log(mixing.uniform(F.col("id"), 3)) / F.when(F.col("id") % 10 == 0, 0.05).otherwise(0.8)).alias("key"))
+    classes = F.array(*[F.struct(F.lit(s).alias("share"), F.lit(m).alias("mean")) for s, m in ((0.1, 0.05), (0.9, 0.8))])
+    ranges = n // mixing.RANGE_ROWS
+    sizes = sorted(r["count"] for r in keys.groupBy(F.least(F.floor(mixing.key_place(F.col("key"), classes) * ranges), F.lit(ranges - 1)).alias("r")).count().collect())
+    assert len(sizes) == ranges and sizes[-1] < 4 * sizes[len(sizes) // 2]
+
+
+def test_mix_leaves_no_tables_but_its_result(spark, tmp_path):
+    import os
+
+    from simloom import storage
+
+    folder = storage.shared_dir(spark).removeprefix("file:") + f"/simloom-{spark.sparkContext.applicationId}"
+    seen = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    mixing.mix(spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, source string")).collect()
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - seen] == ["mix"]
