@@ -51,10 +51,9 @@ def positives_to_count(pool: DataFrame, variants: DataFrame, count: int, second_
     """
     if not pool.limit(1).count():
         raise ValueError("no names to visit")
-    variants = materialize(variants.select("name", "preferred", "rank", "generated", "key"), "variants")
-    own = materialize(variants.join(pool.select("name", F.col("key").alias("_own")), "name").filter("key != _own"), "variants")
+    own = materialize(variants.select("name", "preferred", "rank", "generated", "key").join(pool.select("name", F.col("key").alias("_own")), "name").filter("key != _own"), "variants")
     offered = materialize(variants.filter("preferred = 2").select("name").distinct(), "offered")
-    lists = materialize(own.select(_list("name", "preferred"), F.col("rank").alias("pref"), "key"), "lists")
+    lists = own.select(_list("name", "preferred"), F.col("rank").alias("pref"), "key")
     tries = count
     while True:
         made = visits(pool, tries).withColumn("_two", hash_uniform(seed, F.col("row_idx")) < second_share)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions.text import safe_divide
-from simloom.storage import materialize
+from simloom.storage import join_small, materialize
 
 
 def running_totals(df: DataFrame, order: str, columns: list[str], descending: bool = False) -> DataFrame:
@@ -137,26 +137,102 @@ def stats(values: Column, prefix: str = "") -> list[Column]:
     return [F.count(values).alias(f"{prefix}count"), F.avg(values).alias(f"{prefix}mean"), q(0.25).alias(f"{prefix}q25"), q(0.5).alias(f"{prefix}median"), F.min(values).alias(f"{prefix}min"), F.stddev_pop(values).alias(f"{prefix}std")]
 
 
+#: Rows of a group whose quantiles one hash table may find, rows of a cell that are sorted at once, and cuts of a round.
+HELD, SORTED, CUTS = 200_000, 4096, 64
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: Column, shares: list[float]) -> DataFrame:
+    """by and q: the exact quantiles of each group's values in the order of shares, interpolated between neighbours; nulls don't count.
+
+    Groups of up to HELD values go through a hash table each. For larger ones ranks are selected: sketches of a fixed size cut
+    a group in cells, cells are counted, and those that hold a wanted rank are cut again, until they have SORTED
+    values or a single one. So no task holds a group, whatever its size and its distribution.
+    """
+    part = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    rows = materialize(df.select(part.alias("part"), *by, value.cast("double").alias("v")).filter("v IS NOT NULL"), "values")
+    sizes = materialize(rows.groupBy("part").agg(*[F.first(c).alias(c) for c in by], F.count(F.lit(1)).alias("n")), "sizes")
+    large = materialize(sizes.filter(F.col("n") > HELD).select("part", "n"), "large")
+    rows = rows.select("part", "v")
+    told = join_small(rows, large.select("part"), "part", "left_anti").groupBy("part").agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in shares])).alias("q"))
+    if large.limit(1).count():
+        told = told.unionByName(_selected(join_small(rows, large.select("part"), "part", "left_semi"), large, shares))
+    return sizes.join(told, "part").select(*by, "q")
+
+
+def _selected(rows: DataFrame, large: DataFrame, shares: list[float]) -> DataFrame:
+    """part, q for parts that are too large to sort. rows: part, v; large: part, n."""
+    place = [F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(shares)]
+    want = materialize(large.select("part", F.explode(F.array(*place)).alias("w")).select(F.col("part").alias("root"), "w.i", F.floor("w.at").alias("low"), F.ceil("w.at").alias("high"), (F.col("w.at") - F.floor("w.at")).alias("share")), "ranks")
+    todo = want.select("root", F.explode(F.array_distinct(F.array("low", "high"))).alias("rank")).distinct().select("root", "rank", F.col("root").alias("part"), F.col("rank").alias("k"))
+    found, grid = None, F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    while True:
+        cuts = materialize(rows.groupBy("part").agg(F.percentile_approx("v", grid, F.lit(2000)).alias("cuts")), "cuts")
+        below, upto = F.size(F.filter("cuts", lambda c: c < F.col("v"))), F.size(F.filter("cuts", lambda c: c <= F.col("v")))
+        placed = materialize(join_small(rows, cuts, "part").select("part", "v", (below + upto).alias("cell")), "cells")  # values that are cuts have cells of their own
+        over = Window.partitionBy("part").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        counts = placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0)))
+        at = materialize(todo.join(counts, "part").filter("k >= before AND k < before + n").withColumn("k", F.col("k") - F.col("before")), "ranks")
+        one = at.filter("least = most").select("root", "rank", F.col("least").alias("v"))
+        sort = at.filter(f"least < most AND n <= {SORTED}")
+        lists = join_small(placed, materialize(sort.select("part", "cell").distinct(), "sorted"), ["part", "cell"], "left_semi").groupBy("part", "cell").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+        few = sort.join(lists, ["part", "cell"]).select("root", "rank", F.get("vs", F.col("k").cast("int")).alias("v"))
+        told = materialize(one.unionByName(few), "found")
+        found = told if found is None else found.unionByName(told)
+        todo = at.filter(f"least < most AND n > {SORTED}").select("root", "rank", F.concat_ws("/", "part", "cell").alias("part"), "k")
+        if not todo.limit(1).count():
+            break
+        next_cells = materialize(at.filter(f"least < most AND n > {SORTED}").select("part", "cell").distinct(), "open")
+        rows = materialize(join_small(placed, next_cells, ["part", "cell"], "left_semi").select(F.concat_ws("/", "part", "cell").alias("part"), "v"), "values")
+    low, high = (found.select("root", F.col("rank").alias(c), F.col("v").alias(f"v_{c}")) for c in ("low", "high"))
+    values = want.join(low, ["root", "low"]).join(high, ["root", "high"]).withColumn("x", F.col("v_low") + (F.col("v_high") - F.col("v_low")) * F.col("share"))
+    return values.groupBy(F.col("root").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+
+
+def with_quantiles(df: DataFrame, by: list[str], aggregates: list[Column], quantiles: dict[str, tuple[Column, float]]) -> DataFrame:
+    """aggregates and exact quantiles (name: value, share) of each group: in one pass if no group has more than HELD rows."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if not sizes.filter(F.col("_n") > HELD).limit(1).count():
+        return df.groupBy(*by).agg(*aggregates, *[F.percentile(v, F.lit(p)).alias(n) for n, (v, p) in quantiles.items()])
+    out = df.groupBy(*by).agg(*aggregates)
+    values: dict[str, list[str]] = {}
+    for name, (v, _) in quantiles.items():
+        values.setdefault(str(v), []).append(name)
+    for names in values.values():
+        q = exact_quantiles(df, by, quantiles[names[0]][0], [quantiles[n][1] for n in names])
+        q = q.select(*[F.col(c).alias(f"_{c}") for c in by], *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+        on = F.lit(True)
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        out = out.join(q, on, "left").drop(*[f"_{c}" for c in by])
+    return out
+
+
 def stats_by(df: DataFrame, value: str, by: str) -> DataFrame:
-    """stats overall and for each value of `by`, in one pass; the overall row has grouping 1 and null."""
-    return df.groupingSets([[F.col(by)], []], F.col(by)).agg(F.grouping(by).cast("int").alias("overall"), *stats(F.col(value)))
+    """stats overall and for each value of `by`; the overall row has overall 1 and null for by."""
+    v = F.col(value)
+    aggregates = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.stddev_pop(v).alias("std")]
+    if df.limit(HELD + 1).count() <= HELD:
+        return df.groupingSets([[F.col(by)], []], F.col(by)).agg(F.grouping(by).cast("int").alias("overall"), *stats(v))
+    quantiles = {"q25": (v, 0.25), "median": (v, 0.5)}
+    own = with_quantiles(df, [by], aggregates, quantiles).withColumn("overall", F.lit(0))
+    whole = with_quantiles(df, [], aggregates, quantiles).withColumn("overall", F.lit(1)).withColumn(by, F.lit(None).cast(df.schema[by].dataType))
+    return own.unionByName(whole).select(by, "overall", "count", "mean", "q25", "median", "min", "std")
 
 
 def distance_summary(df: DataFrame, distance: str, length: str, by: list[str]) -> DataFrame:
     """Mean and quartiles of distances, absolute and relative to the length."""
     rel = F.col(distance) / F.greatest(F.col(length), F.lit(1))
-    cols = []
-    for name, c in (("abs", F.col(distance)), ("rel", rel)):
-        cols += [F.avg(c).alias(f"{name}_mean"), *[F.percentile(c, F.lit(p)).alias(f"{name}_{q}") for q, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]]
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *cols)
+    values, shares = {"abs": F.col(distance), "rel": rel}, {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    means = [F.avg(c).alias(f"{name}_mean") for name, c in values.items()]
+    out = with_quantiles(df, by, [F.count(F.lit(1)).alias("n"), *means], {f"{name}_{q}": (c, p) for name, c in values.items() for q, p in shares.items()})
+    return out.select(*by, "n", *[f"{name}_{x}" for name in values for x in ("mean", *shares)])
 
 
 def rule_quantiles(df: DataFrame, by: list[str], score: str, least: int) -> DataFrame:
     """Quantiles, mean and support of each rule's scores."""
     q = {"min": 0.0, "q25": 0.25, "median": 0.5, "max": 1.0}
-    cols = [F.percentile(score, F.lit(p)).alias(f"score_{k}") for k, p in q.items()]
-    out = df.groupBy(*by).agg(*cols, F.avg(score).alias("score_mean"), F.count(score).alias("num_scored_examples"))
-    return out.withColumn("meets_min_support", F.col("num_scored_examples") >= least)
+    out = with_quantiles(df, by, [F.avg(score).alias("score_mean"), F.count(score).alias("num_scored_examples")], {f"score_{k}": (F.col(score), p) for k, p in q.items()})
+    return out.select(*by, *[f"score_{k}" for k in q], "score_mean", "num_scored_examples").withColumn("meets_min_support", F.col("num_scored_examples") >= least)
 
 
 def rule_support(rules: DataFrame, examples: DataFrame, by: str, order: str, value: str) -> DataFrame:

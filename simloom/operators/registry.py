@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simloom.operators.metrics import with_quantiles
 from simloom.operators.ranking import last_per_key
 from simloom.storage import materialize, recover, swap_in
 
@@ -53,7 +54,8 @@ def replaced(rows: DataFrame, replacements: DataFrame, keep_unreplaced: Column)
 
 def above_threshold(rows: DataFrame, least: float, quantile: float) -> tuple[DataFrame, DataFrame]:
     """(kept, report): negatives, and positives whose score is above the greater of `least` and the positives' quantile."""
-    cut = rows.filter("label = 1").agg(F.greatest(F.lit(float(least)), F.coalesce(F.percentile("score", F.lit(quantile)), F.lit(float(least)))).alias("threshold"))
+    cut = with_quantiles(rows.filter("label = 1"), [], [F.count(F.lit(1)).alias("n")], {"q": (F.col("score"), quantile)})
+    cut = cut.select(F.greatest(F.lit(float(least)), F.coalesce("q", F.lit(float(least)))).alias("threshold"))
     marked = rows.join(F.broadcast(cut)).withColumn("kept", (F.col("label") == 0) | F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)))
     report = marked.groupBy("threshold").agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if((F.col("label") == 1) & F.col("kept")).alias("kept_positives"), F.count_if(F.col("label") == 0).alias("negatives"))
     return marked.filter("kept").drop("kept", "threshold"), report

@@ -487,7 +487,7 @@ def positives_to_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many positives as there are document tokens, by visits over a cycling pool; tested against brute force."""
     names = token_rows(spark, sf_dir)
     pool = metrics.running_totals(names.withColumn("_one", F.lit(1)), "name", ["_one"]).select("name", "key", (F.col("cum__one") - 1).alias("place"))
-    made = materialize(generators.distinct_variants(generators.candidate_edits(names.select("name"), text_queries.rule_table(spark))), "variants")
+    made = materialize(generators.distinct_variants(generators.candidate_edits(names.select("name"), text_queries.rule_table(spark))).withColumn("operations", F.lit(None).cast("string")), "variants")
     every = [generators.ranked_variants(made, p).withColumn("preferred", F.lit(p)) for p in (1, 2)]
     variants = every[0].unionByName(every[1]).select("name", "preferred", "rank", "generated", F.lower("generated").alias("key"))
     made = datasets.positives_to_count(pool, variants, names.count())
