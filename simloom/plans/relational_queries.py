@@ -13,6 +13,7 @@ from simloom.operators import similarity_join as J
 from simloom.plans import text_queries
 from simloom.plans.inputs import PAIRS_SQL, SCORED_SQL, TOKENS_SQL, pairs, part_names, scored, spoof, token_rows, tokens
 from simloom.plans.registry import query
+from simloom.sources import runs
 from simloom.storage import materialize, new_path, table
 from simloom.streaming import registry as streams
 
@@ -582,3 +583,21 @@ def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) FILTER (starts_with(o_orderpriority, '1')) AS n_1, count(*) FILTER (starts_with(o_orderpriority, '5-L')) AS \"n_5-L\" FROM orders")
 def mode_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.mode_counts(table(spark, sf_dir, "orders"), "o_orderpriority", ["1", "5-L"])
+
+
+@query("""WITH c AS (SELECT c_custkey AS run, CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS pooling, CASE WHEN c_nationkey % 4 = 0 THEN 'n/a' END AS bad, c_acctbal AS width FROM customer),
+    l AS (SELECT user_id AS run, event_id AS epoch, CASE WHEN event_type IN ('purchase', 'click') THEN value END AS m, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+    b AS (SELECT run, count(*) AS n_rows, max(m) AS best, arg_min(epoch, struct_pack(a := -m, b := epoch)) FILTER (m IS NOT NULL) AS best_at, CAST(sum(k) AS BIGINT) AS k FROM l GROUP BY run)
+    SELECT run, n_rows, best, best_at, coalesce(pooling, 'unknown') AS pooling, CASE WHEN bad IS NULL THEN width ELSE -1.0 END::DOUBLE AS slice_width, k FROM c JOIN b USING (run)""")
+def run_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each customer as a run: a configuration of changing fields, and a log whose rows have the metric for some events only."""
+    customer, events = table(spark, sf_dir, "customer"), table(spark, sf_dir, "events")
+    model = F.when(F.col("c_nationkey") % 3 == 0, F.lit("{}")).otherwise(F.to_json(F.struct(F.struct(F.col("c_mktsegment").alias("pooling")).alias("model"))))
+    width = F.when(F.col("c_nationkey") % 4 == 0, F.lit('"n/a"')).otherwise(F.col("c_acctbal").cast("string"))
+    config = F.concat(F.expr("regexp_replace({0}, '}}$', '')".format("m")), F.when(F.col("m") == "{}", "").otherwise(","), F.lit('"slicing":{"slice_width":'), width, F.lit("}}"))
+    configs = customer.withColumn("m", model).select(F.col("c_custkey").alias("run"), F.parse_json(config).alias("config"))
+    metric = F.when(F.col("event_type").isin("purchase", "click"), F.concat(F.lit(',"val_auc":'), F.col("value").cast("string"))).otherwise(F.concat(F.lit(',"'), "event_type", F.lit('":'), F.col("value").cast("string")))
+    logs = events.select(F.col("user_id").alias("run"), F.parse_json(F.concat(F.lit('{"epoch":'), F.col("event_id").cast("string"), metric, F.lit(',"props":'), "props", F.lit("}"))).alias("row"))
+    told = runs.summarized(configs, logs, {"pooling": ("$.model.pooling", "string", "unknown"), "slice_width": ("$.slicing.slice_width", "double", -1.0)})
+    k = logs.groupBy("run").agg(F.sum(F.try_variant_get("row", "$.props.k", "long")).alias("k"))
+    return told.join(k, "run")
