@@ -168,6 +168,7 @@ def distance_negatives(rows: DataFrame, names: DataFrame, reach: int = 4, most:
     used = None if taken is None else materialize(taken.select("key").distinct().crossJoin(F.broadcast(policies)).select(F.concat_ws("\x1f", "policy", "key").alias("key")), "taken")
     within_2 = min(reach, max(2, left.agg(F.max("goal")).first()[0] or 0))
     at = F.greatest("distance", "goal")
+    few = firsts.limit(most + 1).count() <= most  # the nearest of them are all of them
     done = None
 
     def offers(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -181,20 +182,29 @@ def distance_negatives(rows: DataFrame, names: DataFrame, reach: int = 4, most:
         return near.filter(F.col("distance") > low).select(F.col("left_name").alias("name"), F.col("right_name").alias("candidate"), "distance")
 
     def lists(of: DataFrame, low: int, high: int, start: DataFrame | None = None) -> tuple[DataFrame, Callable]:
-        """Lists as they begin, and how they go on: with what of start there is (first CLOSE of a list), then by search."""
-        steps = [] if high <= low else [most, None] if start is None else [FEW, most, None]
+        """Lists as they begin, and how they go on, each list step by step: with what of start there is (first CLOSE of a list), then by search."""
+        every = [None] if few else [FEW, most, None]
+        steps = [lambda some, k=k: offers(found(some, k, low, high), some) for k in (every if high > low else [])]
         if start is None:
-            return offers(found(of, steps.pop(0), low, high), of), lambda ended: None if not steps else offers(found(some := of.join(ended, "list", "left_semi"), steps.pop(0), low, high), some)
-        whole = materialize(offers(start, of).withColumn("_n", F.row_number().over(Window.partitionBy("list").orderBy("pref"))), "offers")
-        rest = [whole.filter(F.col("_n") > CLOSE).drop("_n")]
+            begin = steps.pop(0)(of)
+        else:
+            whole = materialize(offers(start, of).withColumn("_n", F.row_number().over(Window.partitionBy("list").orderBy("pref"))), "offers")
+            begin = whole.filter(F.col("_n") <= CLOSE).drop("_n")
+            steps.insert(0, lambda some: whole.filter(F.col("_n") > CLOSE).drop("_n").join(some.select("list").distinct(), "list", "left_semi"))
+        served = of.select("list").distinct().withColumn("step", F.lit(0))
 
         def more(ended: DataFrame) -> DataFrame | None:
-            if rest:
-                return rest.pop().join(ended, "list", "left_semi")
-            some = of.join(ended, "list", "left_semi")
-            return offers(found(some, steps.pop(0), low, high), some) if steps else None
-
-        return whole.filter(F.col("_n") <= CLOSE).drop("_n"), more
+            nonlocal served
+            at = materialize(served.join(ended.withColumn("_ended", F.lit(True)), "list", "left"), "steps")
+            waiting = sorted(r.step for r in at.filter(F.col("_ended") & (F.col("step") < len(steps))).select("step").distinct().collect())
+            out = None
+            for n in waiting:
+                one = steps[n](of.join(at.filter(F.col("_ended") & (F.col("step") == n)), "list", "left_semi"))
+                out = one if out is None else out.unionByName(one)
+            served = at.select("list", (F.col("step") + F.coalesce(F.col("_ended").cast("int"), F.lit(0))).alias("step"))
+            return out
+
+        return begin, more
 
     def by_length(of: DataFrame) -> DataFrame:
         ring = length_ring(of.select("name").distinct(), firsts.select("name"), spare)
