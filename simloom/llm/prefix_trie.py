@@ -77,7 +77,7 @@ def family_nodes(conversations: DataFrame) -> DataFrame:
                         end()
                     if f != family:
                         family, head = f, []
-                        if len(nodes) >= HELD_NODES // 10:
+                        if len(nodes) >= max(1, HELD_NODES // 10):
                             yield out()
                     conv, key, depth, skip = c, ROOT, 0, 0
                     add(ROOT, None, 0)
