@@ -233,7 +233,7 @@ def review_score(q25: Column, visual: Column) -> Column:
 
 
 def difficulty_bucket(rate: Column) -> Column:
-    """safe_hard up to .20, ambiguous from .35 to .65, else ocr_easy; null for no rate."""
+    """safe_hard up to .20, ambiguous from .35 to .65, else ocr_easy (fixed values); null for no rate."""
     return F.when(rate <= 0.20, "safe_hard").when((rate >= 0.35) & (rate <= 0.65), "ambiguous").when(rate.isNotNull(), "ocr_easy")
 
 

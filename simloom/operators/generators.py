@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from simloom.functions.distance import levenshtein_similarity
 from simloom.functions.text import EDIT, apply_edits
 from simloom.operators.assignment import assign_lists
+from simloom.operators.sampling import SKEWS
 from simloom.operators.similarity_join import contains_join
 from simloom.storage import materialize
 
@@ -303,8 +304,6 @@ def count_plans(names: DataFrame, params: dict) -> DataFrame:
     the length; skew; least and most characters; caps and chances by family; ocr_share; replaceable
     (characters that rules cover); seed.
     """
-    beta = {"low": (1.0, 3.0), "high": (3.0, 1.0), "middle": (2.5, 2.5)}
-
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -312,7 +311,7 @@ def count_plans(names: DataFrame, params: dict) -> DataFrame:
                 rng, n = np.random.default_rng(seed_of(params["seed"], "plan", name, idx)), len(name)
                 bucket = "short" if n <= params["short_max"] else "medium" if n <= params["medium_max"] else "long"
                 low, high = params[bucket]
-                u = rng.beta(*beta[params["skew"]]) if params["skew"] in beta else rng.random()
+                u = rng.beta(*SKEWS[params["skew"]]) if params["skew"] in SKEWS else rng.random()
                 x = low + u * (high - low) if high > low else low
                 total = round(x) if bucket == "short" else round(n * x)
                 total = min(max(params["least"], total), params["most"], sum(c in params["replaceable"] for c in name))

@@ -103,14 +103,15 @@ def rebalanced_plan(generated: dict[str, int], validation: int, test_to_train: f
     return {s: {"rows": 2 * n, "positive_rows": n, "negative_rows": n} for s, n in capped.items()}
 
 
+#: Parameters of the Beta distribution for each skew.
+SKEWS = {"low": (1.0, 3.0), "high": (3.0, 1.0), "middle": (2.5, 2.5)}
+
+
 def random_draws(df: DataFrame, kind: str, low: float, high: float, seed_column: str, out: str = "value", skew: str = "", times: int = 1, chance: float = 0.5) -> DataFrame:
     """df with a draw for each row, seeded by a column: kind is int, float (both between low and high, skewed by
     low, high, middle or nothing, through Beta draws) or binomial (of `times`, with `chance`)."""
     import numpy as np
 
-    # fixed values: parameters of the Beta distribution for each skew
-    beta = {"low": (1.0, 3.0), "high": (3.0, 1.0), "middle": (2.5, 2.5)}
-
     def one(seed: int) -> float:
         rng = np.random.default_rng(seed)
         if kind == "binomial":
@@ -118,7 +119,7 @@ def random_draws(df: DataFrame, kind: str, low: float, high: float, seed_column:
             return float(times if p >= 1 else rng.binomial(max(0, times), p))
         if high <= low:
             return float(low)
-        x = low + (rng.beta(*beta[skew]) if skew in beta else rng.random()) * (high - low)
+        x = low + (rng.beta(*SKEWS[skew]) if skew in SKEWS else rng.random()) * (high - low)
         return float(round(x)) if kind == "int" else float(x)
 
     def draw(batches):
