@@ -28,6 +28,9 @@ NEAR_LEAVES = (2, 8)
 class FeatureSpace:
     """Coordinates are features, the last one a distance: Euclidean gap of the features plus weight times that of the distances."""
 
+    #: Distances this much beyond the k-th still count, as they may be equal to it once they are rounded to 9 digits.
+    slack = 2e-9
+
     def __init__(self, weight: float):
         self.weight = weight
 
@@ -57,6 +60,7 @@ class EditSpace:
     """
 
     GROUPS = 26
+    slack = 0.0
 
     def __init__(self, pivots: list[str], window: int | None = None):
         self.pivots, self.window = pivots, window
@@ -149,7 +153,7 @@ def _stacked(coords: pd.Series) -> np.ndarray:
 
 
 def nearest(queries: DataFrame, points: DataFrame, space, k: int | None, bound: float = float("inf"), told: list[int] | None = None) -> DataFrame:
-    """The k nearest points of each query in its block, with all that are as near as the k-th: query, point, distance.
+    """The k nearest points of each query in its block, with all that are as near as the k-th (or within the space's slack of it): query, point, distance.
 
     queries: id, block, coords, text; points the same (text may be null where the space takes none; block null is a block too).
     Distances above bound don't count; with k None all within bound are returned. told gets the number of pairs whose distance was computed.
@@ -172,7 +176,7 @@ def nearest(queries: DataFrame, points: DataFrame, space, k: int | None, bound:
     if not sample:  # every block is a leaf, and nothing else is to be met
         packed = _packed(points.withColumn("leaf", F.lit(0)), ["block", "leaf"], POINTS, F.struct("id", "coords", "text"), "points")
         found = materialize(_meet(queries.select("*", F.lit(0).alias("leaf"), F.lit(bound).alias("bound")), packed, space, k), "near")
-        return _best(found, k, told)
+        return _best(found, k, space.slack, told)
     queries = materialize(queries.withColumn("leaf", leaf("block", "coords")), "placed-queries")
     points = materialize(points.withColumn("leaf", leaf("block", "coords")), "placed-points")
     packed = _packed(points, ["block", "leaf"], POINTS, F.struct("id", "coords", "text"), "points")
@@ -198,7 +202,7 @@ def nearest(queries: DataFrame, points: DataFrame, space, k: int | None, bound:
     found = materialize(_meet(queries.withColumn("bound", F.lit(bound)), packed, space, k), "near")
     seen = queries.withColumn("met", F.array("leaf"))
     for most in (*NEAR_LEAVES, None):
-        asked = seen.withColumn("bound", F.lit(bound)) if k is None else seen.join(_kth(found, k), "id", "left").withColumn("bound", F.least(F.coalesce("kth", F.lit(bound)), F.lit(bound))).drop("kth")
+        asked = seen.withColumn("bound", F.lit(bound)) if k is None else seen.join(_kth(found, k), "id", "left").withColumn("bound", F.least(F.coalesce(F.col("kth") + space.slack, F.lit(bound)), F.lit(bound))).drop("kth")
         asked = asked.withColumn("_to", F.array_except(reached("block", "leaf", "coords", "bound"), "met"))
         if most is not None:
             asked = asked.withColumn("_to", F.slice("_to", 1, most))
@@ -207,18 +211,21 @@ def nearest(queries: DataFrame, points: DataFrame, space, k: int | None, bound:
         more = materialize(_meet(routes, packed, space, k), "near")
         found = found.unionByName(more)
         seen = asked.drop("_to", "bound")
-    return _best(found, k, told)
+    return _best(found, k, space.slack, told)
 
 
-def _best(found: DataFrame, k: int | None, told: list[int] | None) -> DataFrame:
-    """The k nearest of what was found, and all that are as near as the k-th."""
+def _best(found: DataFrame, k: int | None, slack: float, told: list[int] | None) -> DataFrame:
+    """The k nearest of what was found, and all that are within the slack of the k-th."""
     if told is not None:
         told.append(int(found.filter("point IS NULL").agg(F.sum("distance")).first()[0] or 0))
     found = found.filter("point IS NOT NULL")
     if k is None:
         return found
     rank = F.rank().over(Window.partitionBy("query").orderBy("distance"))
-    return found.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+    if not slack:
+        return found.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+    kth = F.max(F.when(F.col("_r") <= k, F.col("distance"))).over(Window.partitionBy("query"))
+    return found.withColumn("_r", rank).withColumn("_far", kth + slack).filter(F.col("distance") <= F.col("_far")).drop("_r", "_far")
 
 
 def _packed(rows: DataFrame, by: list[str], size: int, row: Column, name: str) -> DataFrame:
@@ -242,7 +249,7 @@ def _kth(found: DataFrame, k: int) -> DataFrame:
     return best.select(F.col("query").alias("id"), F.col("distance").alias("kth"))
 
 
-def _within(gaps: np.ndarray, within: np.ndarray, k: int | None, exact) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def _within(gaps: np.ndarray, within: np.ndarray, k: int | None, slack: float, exact) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Pairs (i, j) within the bounds with their distances, and how many were computed.
 
     Points come in order of their gap, k of them, then twice as many and so on, so that what is near gives a bound for the rest.
@@ -265,7 +272,7 @@ def _within(gaps: np.ndarray, within: np.ndarray, k: int | None, exact) -> tuple
         told = np.full(some.shape, np.inf)
         told[i, c] = d
         best = np.partition(np.concatenate([best, told], 1), k - 1, axis=1)[:, :k]
-        within = np.minimum(within, best[:, k - 1])
+        within = np.minimum(within, best[:, k - 1] + slack)
         found.append((i, some[i, c], d))
         at, step, count = at + step, step * 2, count + len(d)
     if not found:
@@ -292,7 +299,7 @@ def _meet(routes: DataFrame, packed: DataFrame, space, k: int | None) -> DataFra
             for n in range(b.num_rows):
                 (q_id, q, q_text, rows), (p_id, p, p_text, _) = side(b.column(0)[n]), side(b.column(1)[n])
                 within = np.asarray(rows.field("bound").to_pylist(), float)
-                i, j, d, count = _within(space.gap(q, p, p), within, k, space.exact(q, p, q_text, p_text))
+                i, j, d, count = _within(space.gap(q, p, p), within, k, space.slack, space.exact(q, p, q_text, p_text))
                 columns = ([q_id[x] for x in i] + [q_id[0]], [p_id[x] for x in j] + [None], [*d.tolist(), float(count)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query", "point", "distance"])
 

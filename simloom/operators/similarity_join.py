@@ -240,7 +240,7 @@ def nearest_by_features(rows: DataFrame, candidates: DataFrame, features: list[s
     """For each row one of the `best` candidates of its block, nearest in features and distance.
 
     rows: id, block, distance and features; candidates the same, none of them null (a null block has no candidates). The objective is the Euclidean
-    distance of the features plus weight times the difference of distances; of the best ones a hash draws. Found by cuts of
+    distance of the features plus weight times the difference of distances, rounded to 9 digits, ties by candidate; of the best ones a hash draws. Found by cuts of
     the feature space (nearest.nearest), so no task holds a block; told gets the number of pairs compared.
     """
     every = [*features, "distance"]

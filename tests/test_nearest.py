@@ -61,3 +61,14 @@ def test_nearest_by_features_against_brute_force(spark, monkeypatch):
             want[i] = (near[0][1], near[0][0])
     assert got == {i: (c, pytest.approx(o)) for i, (c, o) in want.items()}
     assert told[0] < sum(b == c for _, b, *_ in rows for _, c, *_ in points) / 2
+
+
+@pytest.mark.parametrize("many", [0, 600])
+def test_nearest_by_features_ties_once_rounded(spark, monkeypatch, many):
+    """0.15 * (0.3 - 0.1) and 0.15 * (0.5 - 0.3) differ in their last bits only: a tie that the smaller id wins, in another leaf too."""
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 16)
+    assert 0.15 * abs(0.3 - 0.1) < 0.15 * abs(0.3 - 0.5) and round(0.15 * abs(0.3 - 0.1), 9) == round(0.15 * abs(0.3 - 0.5), 9)
+    schema = "id long, block long, distance double, f double"
+    points = [(1, 1, 0.5, 0.0), (2, 1, 0.1, 0.0)] + [(10 + k, 1, 0.6 + k, 0.0) for k in range(many // 2)] + [(1000 + k, 1, -0.6 - k, 0.0) for k in range(many // 2)]
+    got = similarity_join.nearest_by_features(spark.createDataFrame([(7, 1, 0.3, 0.0)], schema), spark.createDataFrame(points, schema), ["f"], best=1).collect()
+    assert [(r.id, r.candidate, round(r.objective, 9)) for r in got] == [(7, 1, 0.03)]
