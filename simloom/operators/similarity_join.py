@@ -21,12 +21,17 @@ FEW_RULES = 64
 
 
 def deletions(x: Column, radius: int) -> Column:
-    """x and all that is left of it after up to `radius` deletions."""
-    less = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))).otherwise(F.array().cast("array<string>"))
-    levels = [F.array(x)]
+    """x and all that is left of it after up to `radius` deletions. They go from left to right, so that each set of places comes once."""
+
+    def less(t: Column) -> Column:
+        s, n = t["s"], F.length(t["s"])
+        one = lambda i: F.struct(F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, n)).alias("s"), i.alias("at"))
+        return F.when(t["at"] <= n, F.transform(F.sequence(t["at"], n), one)).otherwise(F.array().cast("array<struct<s:string,at:int>>"))
+
+    levels = [F.array(F.struct(x.alias("s"), F.lit(1).alias("at")))]
     for _ in range(radius):
-        levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], less))))
-    return F.array_distinct(F.flatten(F.array(*levels)))
+        levels.append(F.flatten(F.transform(levels[-1], less)))
+    return F.array_distinct(F.flatten(F.array(*[F.transform(v, lambda t: t["s"]) for v in levels])))
 
 
 def segments(x: Column, radius: int) -> Column:
@@ -59,22 +64,29 @@ def range_join(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     """All (left_name, right_name, distance) of edit distance up to radius. Both sides: name, distinct.
 
     Up to radius 2, texts meet on what is left after deletions; long texts, and larger radii, meet on
-    a shared segment. Candidates are made distinct, then verified with a cutoff.
+    a shared segment. Texts at distance d have something left after d deletions at most in common, so
+    where they meet after more they are passed over. Candidates are verified with a cutoff, then made distinct.
+
+    Rows with keys are many times the names, which Spark's estimates of sizes don't show: it would take
+    them for small and collect them for a broadcast. So both sides are always shuffled.
     """
+
+    def verified(one: DataFrame, two: DataFrame, least: Column) -> DataFrame:
+        met = one.hint("merge").join(two.hint("merge"), "_k").withColumn("distance", F.levenshtein("left_name", "right_name", radius))
+        return met.filter(F.col("distance") >= least).select("left_name", "right_name", "distance")
+
     a, b = left.select(F.col("name").alias("left_name")), right.select(F.col("name").alias("right_name"))
     found = []
     if radius <= 2:
         short = DELETION_LENGTH + radius
         one = a.filter(F.length("left_name") <= short).withColumn("_k", F.explode(deletions(F.col("left_name"), radius)))
         two = b.filter(F.length("right_name") <= short).withColumn("_k", F.explode(deletions(F.col("right_name"), radius)))
-        found.append(one.join(two, "_k").select("left_name", "right_name"))
+        found.append(verified(one, two, F.greatest(F.length("left_name"), F.length("right_name")) - F.length("_k")))
         a, b = a.filter(F.length("left_name") > DELETION_LENGTH - radius), b.filter(F.length("right_name") > DELETION_LENGTH - radius)
     one = a.withColumn("_k", F.explode(segment_probes(F.col("left_name"), radius)))
     two = b.withColumn("_k", F.explode(segments(F.col("right_name"), radius)))
-    found.append(one.join(two, "_k").select("left_name", "right_name"))
-    pairs = found[0] if len(found) == 1 else found[0].union(found[1])
-    distance = F.levenshtein("left_name", "right_name", radius)
-    return pairs.distinct().withColumn("distance", distance).filter("distance >= 0")
+    found.append(verified(one, two, F.lit(0)))
+    return (found[0] if len(found) == 1 else found[0].union(found[1])).distinct()
 
 
 def nearest_names(targets: DataFrame, names: DataFrame, k: int, window: int = 5, cutoff: int = 5, fallback: int = 8) -> DataFrame:

@@ -34,6 +34,16 @@ def test_range_join_equals_brute_force(spark, radius):
     assert got == {(a, b, lev(a, b)) for a, b in itertools.product(words, words) if lev(a, b) <= radius}
 
 
+@pytest.mark.parametrize("radius", [2, 4])
+def test_range_join_collects_no_side(spark, tmp_path, radius):
+    """A stored table of names is small, what its names are looked up by is not: no side may be broadcast."""
+    names_df(spark, ["abcd", "abce", "x" * 30]).write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names"))
+    joined = J.range_join(names, names, radius)
+    assert joined.count() == 5
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_names_and_picks(spark):
     words = ["google", "gogle", "goggle", "giggle", "amazon", "amazn", "zzzzzzzzzzzzzzzzzzzz"]
     df = names_df(spark, words).withColumn("key", F.lower("name"))
