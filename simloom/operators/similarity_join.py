@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from simloom.storage import join_small, materialize
 DELETION_LENGTH = 24
 #: Rows of a block that is broadcast where every row must meet every other side's row.
 BLOCK_ROWS = 5_000
+#: Vectors of a tile, vectors and pairs that are a task's work at least, and how far below the k-th similarity rounding to 9 digits reaches.
+TILE, TASK_ROWS, TASK_PAIRS, SLACK = 4096, 1024, 2**25, 2e-9
 #: Rules that are looked for one by one.
 FEW_RULES = 64
 
@@ -207,17 +211,96 @@ def join_blocks(rows: DataFrame, small: DataFrame, pair: Callable[[DataFrame, Da
     return found
 
 
+def _best_of_tile(x: tuple[np.ndarray, ...], q: tuple[np.ndarray, ...], k: int, floor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The k best vectors of a tile for each query, and what rounding may put before them: places of queries, ids, similarities.
+
+    x, q: ids, rows, norms. One product of matrices tells what is near the k-th; only that is scored by sums in order, as
+    SQL does. Of equal similarities the k least ids are enough. floor: each query's k-th so far, raised here.
+    """
+    (ids, rows, norms), (own, asked, asked_norms) = x, q
+    columns, wanted = np.ascontiguousarray(rows.T), np.ascontiguousarray(asked.T)
+    scores = (asked / asked_norms[:, None]) @ (columns / norms)
+    scores[own[:, None] == ids[None, :]] = -np.inf
+    least = floor.copy()
+    if len(ids) >= k:
+        least = np.maximum(least, np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k])
+    i, j = np.nonzero((scores >= least[:, None] - SLACK) & (scores > -np.inf))
+    s = np.zeros(len(i))
+    for d in range(len(columns)):
+        s += wanted[d][i] * columns[d][j]
+    s /= asked_norms[i] * norms[j]
+    order = np.lexsort((ids[j], -s, i))
+    i, j, s = i[order], j[order], s[order]
+    new = np.ones(len(i), bool)
+    new[1:] = i[1:] != i[:-1]
+    place = np.arange(len(i))
+    start = np.flatnonzero(new)
+    number = place - np.repeat(start, np.diff(np.append(start, len(i))))
+    kth = number == k - 1
+    floor[i[kth]] = np.maximum(floor[i[kth]], s[kth])
+    new[1:] |= s[1:] != s[:-1]
+    start = np.flatnonzero(new)
+    same = place - np.repeat(start, np.diff(np.append(start, len(i))))
+    keep = (same < k) & (s >= floor[i] - SLACK)
+    return i[keep], ids[j[keep]], s[keep]
+
+
 def knn_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The k vectors (id, vector) of the highest cosine for each query (query_id, query): exact, ties by id.
+    """The k vectors (id, vector) of the highest cosine for each query (query_id, query): exact, ties by id. Ids are whole numbers.
 
-    Queries go in blocks, of which each is broadcast; a block's partial top k needs no shuffle of vectors.
+    Queries go in blocks, of which each is broadcast and meets the vectors where they lie, in tiles, as products of
+    matrices; a tile gives some k rows for each query, so vectors aren't shuffled by query. Vectors of another length
+    than most, or without a finite norm, meet the others one by one.
     """
-    v = vectors.select("id", "vector", F.greatest(norm(F.col("vector")), F.lit(1e-6)).alias("_nv"))
-    q = queries.select("query_id", "query", F.greatest(norm(F.col("query")), F.lit(1e-6)).alias("_nq"))
-    pairs = join_blocks(v, q, lambda v, q: v.join(q, F.col("id") != F.col("query_id")))
-    scored = pairs.select("query_id", "id", F.round(dot(F.col("query"), F.col("vector")) / (F.col("_nq") * F.col("_nv")), 9).alias("similarity"))
+    width = vectors.agg(F.mode(F.size("vector"))).first()[0] or 0
+    told = lambda df, name: df.withColumn("_n", F.greatest(norm(F.col(name)), F.lit(1e-6))).withColumn("_odd", ~F.coalesce((F.size(name) == width) & (norm(F.col(name)) < 1e100), F.lit(False)))
+    v, q = told(vectors.select("id", "vector"), "vector"), told(queries.select("query_id", "query"), "query")
+    asked = materialize(q.filter("NOT _odd AND query_id IS NOT NULL").select(F.col("query_id").cast("long"), F.col("query").cast("array<double>"), "_n"), "asked")
+    rows = v.filter("NOT _odd AND id IS NOT NULL").select(F.col("id").cast("long"), F.col("vector").cast("array<double>"), "_n")
+    many, size = asked.count(), rows.count()
+    rows = materialize(rows.repartition(max(1, min(-(-many * size // TASK_PAIRS), -(-size // TASK_ROWS)))), "vectors")
+    kinds = [vectors.schema["id"].dataType, queries.schema["query_id"].dataType]
+    schema = "query_id long, id long, similarity double"
+    found = vectors.sparkSession.createDataFrame([], schema)
+    blocks = -(-many // BLOCK_ROWS)
+    for n in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toArrow()
+        if not block.num_rows:
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast(_arrays(block, width))
+
+        def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, some, norms = shared.value
+            floor = np.full(len(own), -np.inf)
+            for b in batches:
+                for tile in (b.slice(at, TILE) for at in range(0, b.num_rows, TILE)):
+                    x = _arrays(tile, width)
+                    for at in range(0, len(own), TILE // 16):
+                        s = slice(at, at + TILE // 16)
+                        i, ids, scores = _best_of_tile(x, (own[s], some[s], norms[s]), k, floor[s])
+                        yield pa.RecordBatch.from_arrays([pa.array(own[s][i]), pa.array(ids), pa.array(scores)], names=["query_id", "id", "similarity"])
+
+        near = rows.mapInArrow(search, schema).withColumn("similarity", F.round("similarity", 9))
+        found = found.unionByName(materialize(_ranked(near, k).drop("rank"), "near"))
+        shared.destroy()
+    found = found.select(F.col("query_id").cast(kinds[1]).alias("query_id"), F.col("id").cast(kinds[0]).alias("id"), "similarity")
+    for some, others in ((v.filter("_odd"), q), (v.filter("NOT _odd"), q.filter("_odd"))):
+        if (some if others is q else others).limit(1).count():
+            nv, nq = F.col("_nv"), F.col("_nq")
+            pairs = join_blocks(some.select("id", "vector", F.col("_n").alias("_nv")), others.select("query_id", "query", F.col("_n").alias("_nq")), lambda v, q: v.join(q, F.col("id") != F.col("query_id")))
+            found = found.unionByName(pairs.select("query_id", "id", F.round(dot(F.col("query"), F.col("vector")) / (nq * nv), 9).alias("similarity")))
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _arrays(rows: pa.Table | pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors as a matrix, and norms."""
+    ids, vectors, norms = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns)
+    return np.asarray(ids), np.asarray(vectors.flatten()).reshape(len(ids), width), np.asarray(norms)
 
 
 def nearest_prototype(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:

@@ -44,6 +44,23 @@ def test_range_join_collects_no_side(spark, tmp_path, radius):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_knn_cosine_by_tiles(spark, monkeypatch):
+    """Tiles, blocks of queries, copies, vectors of odd lengths and without norm: the same as pair by pair, in fewer rows than pairs."""
+    monkeypatch.setattr(J, "TILE", 32)
+    monkeypatch.setattr(J, "BLOCK_ROWS", 20)
+    rng = random.Random(5)
+    base = [[rng.choice([-1.0, 0.5, 2.0]) for _ in range(6)] for _ in range(40)]
+    rows = [(k, base[rng.randrange(40)]) for k in range(300)] + [(300, [0.0] * 6), (301, [1.0, 2.0]), (302, None), (303, [float("nan")] * 6), (304, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<float>")
+    q = v.filter("id % 10 = 0 OR id >= 300").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    got = J.knn_cosine(q, v, 5)
+    pairs = q.join(v, F.col("id") != F.col("query_id")).withColumn("similarity", F.round(J.cosine(F.col("query"), F.col("vector")), 9))
+    want = pairs.withColumn("rank", F.row_number().over(J.Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).filter("rank <= 5")
+    told = lambda df: sorted(repr(tuple(r)) for r in df.select("query_id", "rank", "id", "similarity").collect())
+    assert told(got) == told(want)
+    assert "NestedLoop" not in J.knn_cosine(q.filter("query_id < 300"), v.filter("id < 300"), 5)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_names_and_picks(spark):
     words = ["google", "gogle", "goggle", "giggle", "amazon", "amazn", "zzzzzzzzzzzzzzzzzzzz"]
     df = names_df(spark, words).withColumn("key", F.lower("name"))
