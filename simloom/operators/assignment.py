@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from simloom.operators.metrics import numbered
-from simloom.storage import materialize
+from simloom.storage import materialize, shuffled
 
 
 #: Places of a list that a round looks at for a row that was turned down, and rows of a list that are ordered together.
@@ -92,17 +92,17 @@ def assign_lists(rows: DataFrame, lists: DataFrame, taken: DataFrame | None = No
 
         whole = lambda df, *c: df.select(*c, F.lit(1).alias("_all")).groupBy("_all")
         got = whole(one, "_row", "_list", "first").cogroup(whole(listed, "_list", "pos", "key")).applyInPandas(take, f"_row long, _key {key}, pos long")
-        told = got.join(one.select("_row", "row_idx", "list"), "_row").join(places.select("list", "pos", "pref"), ["list", "pos"], "left")
+        told = got.join(shuffled(one.select("_row", "row_idx", "list")), "_row").join(shuffled(places.select("list", "pos", "pref")), ["list", "pos"], "left")
         kind = places.schema["pref"].dataType
         pref = F.when(F.col("pos") == 0, F.lit(0 if isinstance(kind, NumericType) else None).cast(kind)).otherwise(F.col("pref"))
         return told.select("row_idx", F.col("_key").alias("key"), pref.alias("pref"))
 
     def placed(some: DataFrame, after: DataFrame | None) -> DataFrame:
         """list, pos, key, pref: places in the list, behind those of `after` (list, last)."""
-        free = some if forbidden is None else some.join(forbidden, "key", "left_anti")
+        free = some if forbidden is None else some.join(shuffled(forbidden), "key", "left_anti")
         one = numbered(free.groupBy("list", "key").agg(F.min("pref").alias("pref")), "list", ["pref", "key"], "pos")
         if after is not None:
-            one = one.join(after, "list", "left").withColumn("pos", F.col("pos") + F.coalesce("last", F.lit(0)))
+            one = one.join(shuffled(after), "list", "left").withColumn("pos", F.col("pos") + F.coalesce("last", F.lit(0)))
         return materialize(one.select("list", "pos", "key", "pref"), "places")
 
     entries = placed(lists, None)
@@ -121,7 +121,7 @@ def assign_lists(rows: DataFrame, lists: DataFrame, taken: DataFrame | None = No
                 break
     ends = materialize(entries.groupBy("list").agg(F.max("pos").alias("last")), "ends")
     state = numbered(rows.select("row_idx", "list", F.col("first") if "first" in rows.columns else F.lit(None).cast(entries.schema["key"].dataType).alias("first")), "list", ["row_idx"], "_n")
-    state = state.join(ends, "list", "left").withColumn("last", F.coalesce("last", F.lit(0))).withColumn("block", F.floor((F.col("_n") - 1) / BLOCK).cast("long"))
+    state = state.join(shuffled(ends), "list", "left").withColumn("last", F.coalesce("last", F.lit(0))).withColumn("block", F.floor((F.col("_n") - 1) / BLOCK).cast("long"))
     if forbidden is not None:
         state = state.join(forbidden.select(F.col("key").alias("first"), F.lit(True).alias("_no")), "first", "left").withColumn("first", F.when(F.col("_no").isNull(), F.col("first")))
     columns = ["row_idx", "list", "last", "block", "pos", "key", "pref", "moved"]
@@ -133,11 +133,11 @@ def assign_lists(rows: DataFrame, lists: DataFrame, taken: DataFrame | None = No
 
     def looked(some: DataFrame) -> DataFrame:
         """Rows at the first place from pos on that they may still get, of the next LOOK."""
-        wish = some.filter("key IS NULL AND pos <= last").select("row_idx", "list", F.explode(F.sequence("pos", F.least(F.col("pos") + (LOOK - 1), F.col("last")))).alias("pos")).join(entries, ["list", "pos"])
+        wish = some.filter("key IS NULL AND pos <= last").select("row_idx", "list", F.explode(F.sequence("pos", F.least(F.col("pos") + (LOOK - 1), F.col("last")))).alias("pos")).join(shuffled(entries), ["list", "pos"])
         if holders is not None:
-            wish = wish.join(holders, "key", "left").filter("holder IS NULL OR holder >= row_idx")
+            wish = wish.join(shuffled(holders), "key", "left").filter("holder IS NULL OR holder >= row_idx")
         best = wish.groupBy("row_idx").agg(F.min(F.struct("pos", "key", "pref")).alias("_b"))
-        out = some.join(best, "row_idx", "left")
+        out = some.join(shuffled(best), "row_idx", "left")
         asks = F.col("key").isNotNull()
         place = F.when(asks, F.col("pos")).otherwise(F.coalesce(F.col("_b.pos"), F.least(F.col("pos") + LOOK, F.greatest(F.col("last") + 1, F.col("pos")))))
         return out.select("row_idx", "list", "last", "block", place.alias("pos"), F.coalesce("key", "_b.key").alias("key"), F.coalesce("pref", "_b.pref").alias("pref"), "moved")
@@ -150,7 +150,7 @@ def assign_lists(rows: DataFrame, lists: DataFrame, taken: DataFrame | None = No
             holders = materialize(asked if holders is None else holders.unionByName(asked).groupBy("key").agg(F.min("holder").alias("holder")), "holders")
             lost = F.coalesce(F.col("holder") < F.col("row_idx"), F.lit(False))
             seeks = F.col("key").isNull() & (F.col("pos") <= F.col("last"))
-            met = state.join(holders, "key", "left").withColumn("_lost", lost).withColumn("moved", F.col("_lost") | seeks)
+            met = state.join(shuffled(holders), "key", "left").withColumn("_lost", lost).withColumn("moved", F.col("_lost") | seeks)
             met = met.select("row_idx", "list", "last", "block", (F.col("pos") + F.col("_lost").cast("int")).alias("pos"), F.when(~F.col("_lost"), F.col("key")).alias("key"), F.when(~F.col("_lost"), F.col("pref")).alias("pref"), "moved")
             judged = materialize(_pushed(met.select(*columns)), "asked")
         ended = judged.filter("key IS NULL").select("list").distinct()

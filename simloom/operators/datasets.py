@@ -12,7 +12,7 @@ from simloom.operators.assignment import assign_lists, assign_unique
 from simloom.operators.metrics import running_totals
 from simloom.operators.nearest import nearest_texts
 from simloom.operators.similarity_join import length_ring, range_join
-from simloom.storage import materialize
+from simloom.storage import materialize, shuffled
 
 #: Candidates of a step, of these those that a choice looks at, and of these those that it is drawn from.
 LIMIT, USABLE, POOL = 512, 64, 32
@@ -51,23 +51,25 @@ def positives_to_count(pool: DataFrame, variants: DataFrame, count: int, second_
     """
     if not pool.limit(1).count():
         raise ValueError("no names to visit")
-    own = materialize(variants.select("name", "preferred", "rank", "generated", "key").join(pool.select("name", F.col("key").alias("_own")), "name").filter("key != _own"), "variants")
+    own = materialize(variants.select("name", "preferred", "rank", "generated", "key").join(shuffled(pool.select("name", F.col("key").alias("_own"))), "name").filter("key != _own"), "variants")
     offered = materialize(variants.filter("preferred = 2").select("name").distinct(), "offered")
     lists = own.select(_list("name", "preferred"), F.col("rank").alias("pref"), "key")
     tries = count
     while True:
         made = visits(pool, tries).withColumn("_two", hash_uniform(seed, F.col("row_idx")) < second_share)
-        wish = made.join(offered.withColumn("_has", F.lit(True)), "name", "left")
+        wish = made.join(shuffled(offered.withColumn("_has", F.lit(True))), "name", "left")
         wish = wish.select("row_idx", "name", F.when(F.col("_two") & F.col("_has"), 2).otherwise(1).alias("preferred"))
         got = assign_lists(wish.select("row_idx", _list("name", "preferred")), lists, taken)
-        got = materialize(got.orderBy("row_idx").limit(count), "positives")
+        if tries > count:  # more visits than asked for may all have got one: the first ones by a running count, not in one task
+            got = running_totals(materialize(got.withColumn("_one", F.lit(1)), "assigned"), "row_idx", ["_one"]).filter(F.col("cum__one") <= count).drop("_one", "cum__one")
+        got = materialize(got, "positives")
         if got.count() == count:
             break
         if tries > count * attempts:
             raise ValueError(f"{got.count()} of {count} positives after {tries} visits")
         tries *= 2
     best = own.groupBy("name", "preferred", "key").agg(F.min_by("generated", "rank").alias("generated"))
-    return got.select("row_idx", "key").join(wish, "row_idx").join(best, ["name", "preferred", "key"]).select("row_idx", "name", "preferred", "generated", "key")
+    return got.select("row_idx", "key").join(shuffled(wish), "row_idx").join(shuffled(best), ["name", "preferred", "key"]).select("row_idx", "name", "preferred", "generated", "key")
 
 
 def expanding_candidates(targets: DataFrame, names: DataFrame, reach: int = 4) -> DataFrame:

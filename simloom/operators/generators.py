@@ -16,7 +16,7 @@ from simloom.functions.text import EDIT, apply_edits
 from simloom.operators.assignment import assign_lists
 from simloom.operators.sampling import SKEWS
 from simloom.operators.similarity_join import contains_join
-from simloom.storage import materialize
+from simloom.storage import materialize, shuffled
 
 
 def pair_samples(pairs: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def candidate_edits(names: DataFrame, rules: DataFrame) -> DataFrame:
     found = contains_join(rules, names.select("name").distinct().withColumn("row_idx", F.lit(0)))
     edit = F.struct(F.col("priority").cast("int"), (-F.col("score")).alias("negscore"), F.col("start").alias("position"), "replacement", "family", "source", F.col("score").cast("double"), "operation").cast(EDIT)
     edits = found.join(rules, "source").groupBy("name").agg(F.array_sort(F.collect_list(edit)).alias("edits"))
-    return names.join(edits, "name", "left").withColumn("edits", F.coalesce("edits", F.array().cast(f"array<{EDIT}>")))
+    return names.join(shuffled(edits), "name", "left").withColumn("edits", F.coalesce("edits", F.array().cast(f"array<{EDIT}>")))
 
 
 def distinct_variants(edited: DataFrame, pairs_of: int = 48, max_edits: int = 2) -> DataFrame:

@@ -128,5 +128,14 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str] | str, how: str =
     return df.join(F.broadcast(small) if small.limit(rows + 1).count() <= rows else small, on, how)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that Spark shall not broadcast.
+
+    Its estimates come from the sizes of compressed files and miss what explode and collect_list add, so that a
+    side that grows with the corpus can look small enough to be collected in the driver.
+    """
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

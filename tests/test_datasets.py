@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions import text as X
 from simloom.operators import datasets as S
+from simloom.operators import generators
 
 
 def edit(a, b):
@@ -72,6 +73,15 @@ def test_positives_to_count(spark):
         S.positives_to_count(*args, 40, attempts=2)
 
 
+def test_edits_of_stored_names_are_not_broadcast(spark, tmp_path):
+    """Lists of edits are many times the stored names that Spark estimates them by."""
+    spark.createDataFrame([("amazon",), ("zzz",)], "name string").write.parquet(str(tmp_path / "names"))
+    rules = spark.createDataFrame([("ocr", "m", "rn", 1.0, 10, "replace")], "family string, source string, replacement string, score double, priority int, operation string")
+    edited = generators.candidate_edits(spark.read.parquet(str(tmp_path / "names")), rules)
+    assert {(r.name, len(r.edits)) for r in edited.collect()} == {("amazon", 1), ("zzz", 0)}
+    assert "LeftOuter, Build" not in edited._jdf.queryExecution().executedPlan().toString()
+
+
 def brute_expanding(asked, names, reach):
     first = {}
     for n in sorted(names):
