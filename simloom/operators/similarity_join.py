@@ -72,11 +72,14 @@ def range_join(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     where they meet after more they are passed over. Candidates are verified with a cutoff, then made distinct.
 
     Rows with keys are many times the names, which Spark's estimates of sizes don't show: it would take
-    them for small and collect them for a broadcast. So both sides are always shuffled.
+    them for small and collect them for a broadcast. So both sides are always shuffled,
+    into a fixed number of parts, as keys compress so well that few parts would be left of them.
     """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def verified(one: DataFrame, two: DataFrame, least: Column) -> DataFrame:
-        met = one.hint("merge").join(two.hint("merge"), "_k").withColumn("distance", F.levenshtein("left_name", "right_name", radius))
+        dealt = lambda df: df.repartition(parts, "_k").hint("merge")
+        met = dealt(one).join(dealt(two), "_k").withColumn("distance", F.levenshtein("left_name", "right_name", radius))
         return met.filter(F.col("distance") >= least).select("left_name", "right_name", "distance")
 
     a, b = left.select(F.col("name").alias("left_name")), right.select(F.col("name").alias("right_name"))
