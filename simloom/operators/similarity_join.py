@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,8 @@ from simloom.storage import join_small, materialize
 
 #: Longest text whose deletion variants are enumerated; longer ones are indexed by segments.
 DELETION_LENGTH = 24
+#: Texts of a length meet on replaced and moved characters where these are so many times fewer than what deletions leave.
+FEWER = 3
 #: Rows of a block that is broadcast where every row must meet every other side's row.
 BLOCK_ROWS = 5_000
 #: Vectors of a tile, vectors and pairs that are a task's work at least, and how far below the k-th similarity rounding to 9 digits reaches.
@@ -64,6 +69,58 @@ def segment_probes(x: Column, radius: int) -> Column:
     return F.array_distinct(every)
 
 
+def varying_places(names: DataFrame, longest: int) -> dict[int, list[int]]:
+    """For each length of names: places, from 1, where not all names of that length have the same character. Longer ones count as longest + 1, without places."""
+    n = F.least(F.length("name"), F.lit(longest + 1))
+    places = F.when((n > 0) & (n <= longest), F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(0)))
+    at = names.filter("name IS NOT NULL").select(n.alias("n"), F.explode(places).alias("i"), "name").withColumn("c", F.when(F.col("i") > 0, F.ascii(F.substring("name", F.col("i"), F.lit(1)))).otherwise(0))
+    out: dict[int, list[int]] = {}
+    for r in at.groupBy("n", "i").agg((F.min("c") != F.max("c")).alias("varies")).orderBy("n", "i").collect():
+        out.setdefault(r.n, []).extend([r.i] if r.varies else [])
+    return out
+
+
+def for_length(of: dict[int, Column]) -> Column:
+    """The value for a name's length."""
+    return F.create_map(*[x for n, v in of.items() for x in (F.lit(n), v)])[F.length("name")]
+
+
+def replaced_keys(names: DataFrame, places: dict[int, list[int]], radius: int) -> DataFrame:
+    """name, _k, _p, _q, _d: what is left of a name without up to `radius` (0 to 2) of its places, and the characters there.
+
+    Names of a length that share _k and differ in _p and in _q (one place: the same twice) differ in just these _d places.
+    """
+    def at(some: tuple[int, ...], low: int, high: int) -> Column:
+        i, j = (some[0], some[-1]) if some else (0, 0)
+        return F.struct(*[F.lit(v).alias(k) for k, v in (("i", i), ("j", j), ("low", low), ("high", high), ("d", len(some)))])
+
+    every = {n: F.array(*[at(some, (v or [1])[0], (v or [n])[-1]) for d in range(radius + 1) for some in combinations(v, d)]) for n, v in places.items()}
+    rows = names.filter(F.length("name").isin(*places)).select("name", F.explode(for_length(every)).alias("_at")).select("name", "_at.*")
+    i, j, low, high = (F.col(c) for c in ("i", "j", "low", "high"))
+    cut = lambda start, n: F.substring("name", start, F.greatest(F.lit(0), n))
+    key = F.concat(F.char(F.length("name") + 64), F.char(i + 64), F.char(j + 64), cut(low, i - low), cut(i + 1, j - i - 1), cut(j + 1, high - j))
+    code = lambda c: F.when(c > 0, F.ascii(F.substring("name", c, F.lit(1)))).otherwise(0)
+    return rows.select("name", key.alias("_k"), code(i).alias("_p"), code(j).alias("_q"), F.col("d").alias("_d"))
+
+
+def moved_keys(names: DataFrame, places: dict[int, list[int]]) -> DataFrame:
+    """name, _k, _g, _f, _l: what is left of a name without one character; the run of equal ones that it is from goes from _f to _l, the run before from _g.
+
+    Only runs are taken whose first or last place varies, as only there two names can begin or end to differ.
+    """
+    low = for_length({n: F.lit((v or [n])[0]) for n, v in places.items()})
+    vary = for_length({n: F.array(*[F.lit(i) for i in v]).cast("array<int>") for n, v in places.items()})
+    char = lambda c: F.substring("name", c, F.lit(1))
+    n, at = F.length("name"), F.col("_l")
+    rows = names.filter(n.isin(*places)).select("name", low.alias("_low"), vary.alias("_v")).select("*", F.explode(F.sequence("_low", n)).alias("_l"))
+    rows = rows.filter((at == n) | (char(at) != char(at + 1)))
+    begin = lambda end: F.length(F.rtrim(F.substring("name", F.lit(1), end), char(end))) + 1
+    rows = rows.withColumn("_f", begin(at)).filter("array_contains(_v, _f) OR array_contains(_v, _l)")
+    rows = rows.withColumn("_g", F.when(F.col("_f") > 1, begin(F.col("_f") - 1)).otherwise(0))
+    key = F.concat(F.char(n + 64), F.substring("name", F.col("_low"), at - F.col("_low")), F.substring("name", at + 1, n - at))
+    return rows.select("name", key.alias("_k"), "_g", "_f", "_l")
+
+
 def range_join(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     """All (left_name, right_name, distance) of edit distance up to radius. Both sides: name, distinct.
 
@@ -71,29 +128,63 @@ def range_join(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     a shared segment. Texts at distance d have something left after d deletions at most in common, so
     where they meet after more they are passed over. Candidates are verified with a cutoff, then made distinct.
 
+    Where many places of a length have the same character in all names (numbered names), what is left after deletions
+    is shared by far more than are near. Texts of one such length meet on what is left but for
+    replaced places that vary, or for one character that moved. Both say the distance, and bring each pair once: a
+    pair that differs in up to two places is left to the former, and one that can be told by either's
+    moved character counts where the left's goes from the first difference. So nothing is verified or made distinct.
+
     Rows with keys are many times the names, which Spark's estimates of sizes don't show: it would take
     them for small and collect them for a broadcast. So both sides are always shuffled,
     into a fixed number of parts, as keys compress so well that few parts would be left of them.
     """
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = left.select("name"), right.select("name")
+
+    def meet(keyed: Callable[[DataFrame], DataFrame], one: DataFrame, two: DataFrame) -> DataFrame:
+        """Pairs of rows that share _k; columns but for the key are called left_ and right_."""
+        def side(df: DataFrame, prefix: str) -> DataFrame:
+            dealt = keyed(df).repartition(parts, "_k")
+            return dealt.select("_k", *[F.col(c).alias(prefix + c) for c in dealt.columns if c != "_k"]).hint("merge")
+
+        return side(one, "left_").join(side(two, "right_"), "_k")
 
-    def verified(one: DataFrame, two: DataFrame, least: Column) -> DataFrame:
-        dealt = lambda df: df.repartition(parts, "_k").hint("merge")
-        met = dealt(one).join(dealt(two), "_k").withColumn("distance", F.levenshtein("left_name", "right_name", radius))
-        return met.filter(F.col("distance") >= least).select("left_name", "right_name", "distance")
+    def verified(met: DataFrame, least: Column, wanted: Column) -> DataFrame:
+        told = met.filter(wanted).withColumn("distance", F.levenshtein("left_name", "right_name", radius))
+        return told.filter(F.col("distance") >= least).select("left_name", "right_name", "distance").distinct()
 
-    a, b = left.select(F.col("name").alias("left_name")), right.select(F.col("name").alias("right_name"))
+    n_left, n_right = F.length("left_name"), F.length("right_name")
+    exploded = lambda keys: lambda df: df.withColumn("_k", F.explode(keys(F.col("name"), radius)))
     found = []
+    wanted = F.lit(True)
     if radius <= 2:
         short = DELETION_LENGTH + radius
-        one = a.filter(F.length("left_name") <= short).withColumn("_k", F.explode(deletions(F.col("left_name"), radius)))
-        two = b.filter(F.length("right_name") <= short).withColumn("_k", F.explode(deletions(F.col("right_name"), radius)))
-        found.append(verified(one, two, F.greatest(F.length("left_name"), F.length("right_name")) - F.length("_k")))
-        a, b = a.filter(F.length("left_name") > DELETION_LENGTH - radius), b.filter(F.length("right_name") > DELETION_LENGTH - radius)
-    one = a.withColumn("_k", F.explode(segment_probes(F.col("left_name"), radius)))
-    two = b.withColumn("_k", F.explode(segments(F.col("right_name"), radius)))
-    found.append(verified(one, two, F.lit(0)))
-    return (found[0] if len(found) == 1 else found[0].union(found[1])).distinct()
+        places = varying_places(a if left is right else a.unionByName(b), short)
+        lengths = [n for n in places if n <= short]
+        rows = {n: sum(comb(len(places[n]), d) for d in range(radius + 1)) + (len(places[n]) if radius == 2 else 0) for n in lengths}
+        alike = {n: places[n] for n in lengths if FEWER * rows[n] <= sum(comb(n, d) for d in range(radius + 1))}
+        if alike:
+            met = meet(lambda df: replaced_keys(df, alike, radius), a, b)
+            met = met.filter("left__d = 0 OR left__p != right__p AND left__q != right__q")
+            found.append(met.select("left_name", "right_name", F.col("left__d").alias("distance")))
+        if alike and radius == 2:
+            met = meet(lambda df: moved_keys(df, alike), a, b)
+            either = "substring(right_name, right__l, left__f - right__l) = substring(left_name, right__l + 1, left__f - right__l)"
+            met = met.filter(f"left__l < right__f AND right__g > left__l OR right__l < left__f AND left__g > right__l AND NOT {either}")
+            found.append(met.select("left_name", "right_name", F.lit(2).alias("distance")))
+        others = [n for n in lengths if n not in alike or any(0 < abs(m - n) <= radius for m in lengths)]
+        if others:
+            one, two = (df.filter(F.length("name").isin(*others)) for df in (a, b))
+            apart = (n_left != n_right) | ~n_left.isin(*alike) if alike else wanted
+            found.append(verified(meet(exploded(deletions), one, two), F.greatest(n_left, n_right) - F.length("_k"), apart))
+        if found and short + 1 not in places:
+            return found[0] if len(found) == 1 else reduce(DataFrame.union, found)
+        a, b = a.filter(F.length("name") > DELETION_LENGTH), b.filter(F.length("name") > DELETION_LENGTH)
+        wanted = F.greatest(n_left, n_right) > short
+    one = exploded(segment_probes)(a).repartition(parts, "_k").withColumnRenamed("name", "left_name").hint("merge")
+    two = exploded(segments)(b).repartition(parts, "_k").withColumnRenamed("name", "right_name").hint("merge")
+    found.append(verified(one.join(two, "_k"), F.lit(0), wanted))
+    return reduce(DataFrame.union, found)
 
 
 def nearest_names(targets: DataFrame, names: DataFrame, k: int, window: int = 5, cutoff: int = 5, fallback: int = 8) -> DataFrame:

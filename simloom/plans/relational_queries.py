@@ -14,7 +14,7 @@ from simloom.plans import text_queries
 from simloom.plans.inputs import PAIRS_SQL, SCORED_SQL, TOKENS_SQL, pairs, part_names, scored, spoof, token_rows, tokens
 from simloom.plans.registry import query
 from simloom.sources import runs
-from simloom.storage import materialize, new_path, table
+from simloom.storage import join_small, materialize, new_path, table
 from simloom.streaming import registry as streams
 
 #: functions.text.hash_uniform of what is hashed.
@@ -34,8 +34,14 @@ def nearest_names_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT a.c_name AS left_name, b.c_name AS right_name, CAST(levenshtein(a.c_name, b.c_name) AS BIGINT) AS distance
     FROM customer a JOIN customer b ON a.c_name < b.c_name WHERE levenshtein(a.c_name, b.c_name) <= 2""")
 def range_join_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).distinct()
-    return J.range_join(names, names, 2).filter("left_name < right_name").select("left_name", "right_name", F.col("distance").cast("long").alias("distance"))
+    names = materialize(table(spark, sf_dir, "customer").filter("c_name IS NOT NULL").groupBy(F.col("c_name").alias("name")).agg(F.count(F.lit(1)).alias("copies")), "names")
+    near = J.range_join(names, names, 2).filter("left_name < right_name")
+    again = materialize(names.filter("copies > 1"), "copies")
+    if again.limit(1).count():  # a pair comes for each copy of both names
+        for side in ("left", "right"):
+            near = join_small(near, again.select(F.col("name").alias(f"{side}_name"), "copies"), f"{side}_name", "left")
+            near = near.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1))))).drop("copies", "_copy")
+    return near.select("left_name", "right_name", F.col("distance").cast("long").alias("distance"))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS left_name, b.name AS right_name, CAST(levenshtein(a.name, b.name) AS BIGINT) AS distance

@@ -44,6 +44,42 @@ def test_range_join_collects_no_side(spark, tmp_path, radius):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2])
+def test_range_join_of_numbered_names(spark, tmp_path, monkeypatch, radius):
+    """Names that are alike but for some places meet once, at their distance: nothing is verified or made distinct. Also with other lengths, and on two sides."""
+    numbers = [f"Customer#{k:09d}" for k in range(0, 3000, 41)] + ["Customer#000001212", "Customer#000002121", "Customer#000012002", "Customer#000020012", "Customer#000012345", "Customer#000023451"]
+    names_df(spark, sorted(set(numbers))).write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names"))
+    pairs = lambda rows: sorted((r.left_name, r.right_name, r.distance) for r in rows)
+    near = lambda one, two: sorted((a, b, lev(a, b)) for a, b in itertools.product(one, two) if lev(a, b) <= radius)
+    joined = J.range_join(names, names, radius)
+    assert pairs(joined.collect()) == near(set(numbers), set(numbers))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert radius == 0 or "Aggregate" not in plan and "levenshtein" not in plan
+    rng = random.Random(radius)
+    mixed = sorted({"né-00" + "".join(rng.choice("01\U0001F600") for _ in range(5)) + end for end in ("", "0", "1z") for _ in range(15)} | {"x" * 25 + t for t in ("", "a", "ab", "abc", "b")} | {""})
+    other = sorted({"né-00" + "".join(rng.choice("01é") for _ in range(5)) + end for end in ("", "0", "1z") for _ in range(15)} | {"x" * 24 + t for t in ("", "a", "ab", "abc")})
+    assert pairs(J.range_join(names_df(spark, mixed), names_df(spark, other), radius).collect()) == near(mixed, other)
+    monkeypatch.setattr(J, "FEWER", 0)  # every length
+    words = ["".join(t) for t in itertools.product("ab", repeat=5)] + ["", "a", "b", "abc", "aabbaa"]
+    assert pairs(J.range_join(names_df(spark, words), names_df(spark, words), radius).collect()) == near(words, words)
+
+
+def test_range_join_d2_counts_copies(spark, tmp_path):
+    """SQL gives a pair for each copy of both names."""
+    import duckdb
+
+    from simloom.plans import catalog
+
+    names = ["Customer#001"] * 3 + ["Customer#012"] * 2 + ["Customer#900", "Customer#10", None, None, ""]
+    names_df(spark, names).withColumnRenamed("name", "c_name").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = catalog.queries()["range_join_d2"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(catalog.oracle_sql()["range_join_d2"]).fetchall())
+    assert len(got) > 6
+
+
 def test_knn_cosine_by_tiles(spark, monkeypatch):
     """Tiles, blocks of queries, copies, vectors of odd lengths and without norm: the same as pair by pair, in fewer rows than pairs."""
     monkeypatch.setattr(J, "TILE", 32)
